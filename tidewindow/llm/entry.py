@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewindow.llm.bpe_automaton import bpe_round_trip
 from tidewindow.llm.common import table, tokenizer_json
+from tidewindow.llm.exact_dedup import exact_dedup
 from tidewindow.llm.token_counts import token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,8 +23,25 @@ def op3_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"), tokenizer_json("word_bpe_49k.json"))
 
 
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op3_bpe_automaton": op3_bpe_automaton,
+    "op4_exact_dedup": op4_exact_dedup,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op4_exact_dedup": r"""
+WITH hashed AS (
+    SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS h FROM documents
+)
+SELECT doc_id,
+       min(doc_id) OVER (PARTITION BY h) AS keep_id,
+       count(*) OVER (PARTITION BY h) AS group_size,
+       doc_id = min(doc_id) OVER (PARTITION BY h) AS kept,
+       h AS text_sha256
+FROM hashed
+""",
 }
-ORACLE_SQL: dict[str, str] = {}
