@@ -11,6 +11,7 @@ from tidewindow.llm.bpe_automaton import bpe_round_trip
 from tidewindow.llm.common import table, tokenizer_json
 from tidewindow.llm.exact_dedup import exact_dedup
 from tidewindow.llm.token_counts import token_counts
+from tidewindow.llm.token_output import read_token_files, write_token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,10 +28,16 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = write_token_files(table(spark, sf_dir, "documents"), tokenizer_json("byte_bpe_50k.json"), end_id=2)
+    return read_token_files(files).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op3_bpe_automaton": op3_bpe_automaton,
     "op4_exact_dedup": op4_exact_dedup,
+    "op8_token_output": op8_token_output,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_exact_dedup": r"""
