@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidewindow.llm.bpe_automaton import bpe_round_trip
 from tidewindow.llm.common import table, tokenizer_json
 from tidewindow.llm.exact_dedup import exact_dedup
+from tidewindow.llm.near_dup import near_duplicates
 from tidewindow.llm.token_counts import token_counts
 from tidewindow.llm.token_output import read_token_files, write_token_files
 
@@ -20,6 +21,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_json("byte_bpe_50k.json"))
 
 
+def op2_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"), tokenizer_json("word_bpe_49k.json"))
 
@@ -35,6 +40,7 @@ def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
+    "op2_minhash_near_dup": op2_minhash_near_dup,
     "op3_bpe_automaton": op3_bpe_automaton,
     "op4_exact_dedup": op4_exact_dedup,
     "op8_token_output": op8_token_output,
