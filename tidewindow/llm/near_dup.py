@@ -206,6 +206,7 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
     for t in _runs(batches, 3):
         bk, ci, cj, chunk, ids, c, size, n, *sig, block = (t.column(k).to_numpy() for k in range(13))
+        sig = [x.view(np.uint64) for x in sig]  # the bit count of a negative number is that of its absolute value
         group = np.cumsum(np.r_[True, (bk[1:] != bk[:-1]) | (ci[1:] != ci[:-1]) | (cj[1:] != cj[:-1])])
         mixed = ci != cj
         asks = []
