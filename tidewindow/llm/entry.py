@@ -11,6 +11,7 @@ from tidewindow.llm.bpe_automaton import bpe_round_trip
 from tidewindow.llm.common import table, tokenizer_json
 from tidewindow.llm.exact_dedup import exact_dedup
 from tidewindow.llm.near_dup import near_duplicates
+from tidewindow.llm.pii import pii_digest
 from tidewindow.llm.token_counts import token_counts
 from tidewindow.llm.token_output import read_token_files, write_token_files
 
@@ -33,6 +34,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_digest(table(spark, sf_dir, "documents"))
+
+
 def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = write_token_files(table(spark, sf_dir, "documents"), tokenizer_json("byte_bpe_50k.json"), end_id=2)
     return read_token_files(files).select("doc_id", "start", "n_tokens", "ids_crc32")
@@ -43,6 +48,7 @@ QUERIES: dict[str, Query] = {
     "op2_minhash_near_dup": op2_minhash_near_dup,
     "op3_bpe_automaton": op3_bpe_automaton,
     "op4_exact_dedup": op4_exact_dedup,
+    "op7_pii": op7_pii,
     "op8_token_output": op8_token_output,
 }
 ORACLE_SQL: dict[str, str] = {
