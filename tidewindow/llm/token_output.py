@@ -39,10 +39,12 @@ from tidewindow.llm.common import shared_dir, small_batches, text_or_empty, writ
 SEEK_MAGIC, SKIPPABLE, IDS_MAGIC = 0x8F92EAB1, 0x184D2A5E, 0x184D2A50
 #: The characters that the tokenizer's splitter counts as white space.
 BLANK = r"\t-\r \x85\xa0  -     　"
+#: Letters after which a space, stop or comma surely ends what the tokenizer merges.
+LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 #: A text falls into these chunks, and the tokenizer never merges over their bounds.
-CHUNKS = rf" ?[^{BLANK}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+"
+CHUNKS = rf" ?[{LETTERS}]+(?=[ .,\n])| ?[^{BLANK}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+"
 #: Chunks whose ids a Python worker remembers at most; then only those of its last batch stay.
-MEMO = 500_000
+MEMO = 700_000
 NO_ID = -(1 << 63)
 
 
@@ -61,6 +63,32 @@ class ChunkEncoder:
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.chunks = re.compile(CHUNKS).findall
         self.memo: dict[str, bytes] = {}
+        self.length = np.zeros(self.library.get_vocab_size(), np.int64)  # of a token, in bytes
+        for token, i in self.library.get_vocab().items():
+            self.length[i] = len(token)
+        self.spaced = re.compile(f" [^{BLANK}]").match
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Chunks that begin with a space, joined, are a text that falls into them again; token lengths tell the bounds."""
+        joined = [w for w in chunks if self.spaced(w)]
+        for at in range(0, len(joined), 20_000):
+            some = joined[at : at + 20_000]
+            ids = np.array(self.library.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.cumsum(np.fromiter((len(w.encode()) for w in some), np.int64, len(some)))
+            at_token = np.cumsum(self.length[ids])
+            bounds = np.searchsorted(at_token, ends)
+            if not np.array_equal(at_token[bounds], ends):
+                raise ValueError("tokens cross the bounds of chunks")
+            self._keep(some, ids.tobytes(), np.r_[0, bounds + 1])
+        other = [w for w in chunks if not self.spaced(w)]
+        for at in range(0, len(other), 20_000):
+            some = other[at : at + 20_000]
+            got = self.library.encode(some, is_pretokenized=True, add_special_tokens=False)
+            self._keep(some, np.array(got.ids, "<u4").tobytes(), np.searchsorted(np.array(got.word_ids, np.int64), np.arange(len(some) + 1)))
+
+    def _keep(self, chunks: list[str], ids: bytes, bounds: np.ndarray) -> None:
+        cut = (bounds * 4).tolist()
+        self.memo.update((w, ids[a:b]) for w, a, b in zip(chunks, cut[:-1], cut[1:], strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         whole = [any(s in t for s in self.specials) for t in texts]
@@ -70,12 +98,7 @@ class ChunkEncoder:
         new = [w for w in words if w not in memo]
         if len(memo) + len(new) > MEMO:
             memo = self.memo = {w: memo[w] for w in words if w in memo}
-        for at in range(0, len(new), 50_000):
-            some = new[at : at + 50_000]
-            got = self.library.encode(some, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(got.ids, "<u4").tobytes()
-            bounds = (np.searchsorted(np.array(got.word_ids, np.int64), np.arange(len(some) + 1)) * 4).tolist()
-            memo.update((w, ids[a:b]) for w, a, b in zip(some, bounds[:-1], bounds[1:], strict=True))
+        self._learn(new)
         return [
             np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if w else b"".join(map(memo.__getitem__, p))
             for t, w, p in zip(texts, whole, parts, strict=True)
