@@ -12,8 +12,11 @@ from tidewindow.llm.common import table, tokenizer_json
 from tidewindow.llm.exact_dedup import exact_dedup
 from tidewindow.llm.near_dup import near_duplicates
 from tidewindow.llm.pii import pii_digest
+from tidewindow.llm.quality_gam import fit_gam, score_quality
+from tidewindow.llm.quality_rules import quality_rules
 from tidewindow.llm.token_counts import token_counts
 from tidewindow.llm.token_output import read_token_files, write_token_files
+from tidewindow.llm.toxicity import fit_toxicity, score_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +37,15 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return score_toxicity(docs, fit_toxicity(docs, labels, "toxic"), cut=0.5)
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(table(spark, sf_dir, "documents"))
 
@@ -43,13 +55,21 @@ def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(files).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op10_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return score_quality(docs, fit_gam(docs, labels, "quality"), cut=0.3)
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op2_minhash_near_dup": op2_minhash_near_dup,
     "op3_bpe_automaton": op3_bpe_automaton,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_toxicity": op5_toxicity,
+    "op6_quality_rules": op6_quality_rules,
     "op7_pii": op7_pii,
     "op8_token_output": op8_token_output,
+    "op10_quality_gam": op10_quality_gam,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_exact_dedup": r"""
