@@ -28,25 +28,42 @@ from tidewindow.llm.common import small_batches, text_or_empty, written
 from tidewindow.llm.labelled import held_out, training_rows
 
 #: Labelled rows that are learned from, and terms of the classifier, at most.
-TRAIN_ROWS, TERMS = 10_000, 300
+TRAIN_ROWS, TERMS = 10_000, 600
 #: Terms of toxic training rows whose counts come to the driver, at most: the most frequent.
 CANDIDATES = 30_000
 #: Fixed value: common insults of general use.
 INSULTS = ("idiot", "moron", "stupid", "loser", "scum", "trash", "pathetic", "worthless", "disgusting", "imbecile", "dumb", "fool", "jerk", "bastard")
+#: Letters of the beginnings of words that can be terms.
+BEGINNINGS = (4, 5, 7)
 STRIP = ".,;:!?\"'()[]"
 
 
 def terms_of(text: str) -> set[str]:
-    """Lower-case words, and the first four and five letters of longer ones (marked by a dash)."""
+    """Lower-case words, and beginnings of longer ones: those there are (``abcd-``), those of
+    two different words (``abcd-2``), and those of many for the text's size (``abcd-%``)."""
     words = {w.strip(STRIP) for w in text.lower().split()}
-    return words | {w[:4] + "-" for w in words if len(w) > 4} | {w[:5] + "-" for w in words if len(w) > 5}
+    out = set(words)
+    many = max(2, len(words) // 60)
+    for k in BEGINNINGS:
+        for b, n in Counter([w[:k] for w in words if len(w) > k]).items():
+            out.add(b + "-")
+            if n > 1:
+                out.add(b + "-2")
+                if n >= many:
+                    out.add(b + "-%")
+    return out
 
 
 class LabelModel:
-    """A naive generative model of votes (rows x voters, 0 or 1) with shared weights for correlated voters."""
+    """A generative model of votes (rows x voters, 0 or 1).
 
-    def __init__(self, votes: np.ndarray, start: np.ndarray, rounds: int = 25):
+    The last voter is the label given, right in a fixed share of cases; the rates of the
+    others are estimated. Voters whose votes stay correlated within the classes share weight.
+    """
+
+    def __init__(self, votes: np.ndarray, start: np.ndarray, *, label_right: float = 0.998, rounds: int = 25):
         """``start``: a first guess of each row's probability of class 1."""
+        self.label_right = label_right
         self.weight = np.ones(votes.shape[1])
         r = start
         for k in range(rounds):
@@ -61,20 +78,16 @@ class LabelModel:
         self.prior = float(np.clip((n1 + 1) / (n1 + n0 + 2), 1e-4, 1 - 1e-4))
         self.in1 = (votes.T @ r + 0.5) / (n1 + 1)
         self.in0 = (votes.T @ (1 - r) + 0.5) / (n0 + 1)
+        self.in1[-1], self.in0[-1] = self.label_right, 1 - self.label_right
 
     def _correlate(self, votes: np.ndarray, r: np.ndarray) -> None:
-        """Voters linked by a residual correlation of over a half share one weight."""
+        """A voter's weight is one over the sum of its residual correlations above a quarter, its own included."""
         rest = votes - (np.outer(r, self.in1) + np.outer(1 - r, self.in0))
         norm = np.sqrt((rest**2).sum(0)) + 1e-9
-        linked = np.abs(rest.T @ rest / np.outer(norm, norm)) > 0.5
-        group = np.arange(len(norm))
-        for _ in range(len(norm)):
-            low = np.where(linked, group[None, :], len(norm)).min(1)
-            low = np.minimum(low, group)
-            if (low == group).all():
-                break
-            group = low
-        self.weight = 1 / np.bincount(group, minlength=len(norm))[group]
+        tied = np.abs(rest.T @ rest / np.outer(norm, norm))
+        np.fill_diagonal(tied, 1)
+        self.weight = 1 / np.where(tied > 0.25, tied, 0).sum(1)
+        self.weight[-1] = 1
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
         on, off = np.log(self.in1 / self.in0), np.log((1 - self.in1) / (1 - self.in0))
