@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidewindow.llm.bpe_automaton import bpe_round_trip
 from tidewindow.llm.common import table, tokenizer_json
 from tidewindow.llm.exact_dedup import exact_dedup
+from tidewindow.llm.mixing import mix_sources
 from tidewindow.llm.near_dup import near_duplicates
 from tidewindow.llm.pii import pii_digest
 from tidewindow.llm.quality_gam import fit_gam, score_quality
@@ -55,6 +56,10 @@ def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(files).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"), budget=0.8)
+
+
 def op10_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return score_quality(docs, fit_gam(docs, labels, "quality"), cut=0.3)
@@ -69,6 +74,7 @@ QUERIES: dict[str, Query] = {
     "op6_quality_rules": op6_quality_rules,
     "op7_pii": op7_pii,
     "op8_token_output": op8_token_output,
+    "op9_mixing": op9_mixing,
     "op10_quality_gam": op10_quality_gam,
 }
 ORACLE_SQL: dict[str, str] = {
