@@ -1,23 +1,15 @@
-"""Small helpers over array columns."""
+"""Helpers that keep plans small."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of ``value``, evaluated once however often the body uses it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
-def total(values: Column) -> Column:
-    """The sum of an array of doubles, in its order."""
-    return F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
-
+def made_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``df`` with new columns that the optimizer computes once, however often later ones use them.
 
-def weight_where(items: Column, test: Callable[[Column], Column]) -> Column:
-    """The sum of ``w`` over the items that pass."""
-    return F.aggregate(items, F.lit(0.0), lambda s, x: F.when(test(x), s + x["w"]).otherwise(s))
+    Projections on top of each other are merged, and with them every use of a column gets
+    a copy of its expression; a generator of one row in between stops that.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))

@@ -13,7 +13,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewindow.functions.arrays import bind, total, weight_where
+from tidewindow.functions.arrays import made_once
 from tidewindow.functions.dates import length_label, month_index, month_label, window_label
 from tidewindow.functions.numbers import plain, round3
 
@@ -56,34 +56,38 @@ def masses(dated: DataFrame) -> DataFrame:
     )
     hits = dated.filter("s < t").select("now", "id", F.explode(F.sequence("s", F.least("e", F.col("t") - 1))).alias("m")).distinct()
     hits = hits.groupBy("now", "id").agg(F.collect_set("m").alias("hits"))
-    rows = per.join(hits, ["now", "id"], "left").withColumn("hits", F.coalesce("hits", F.array().cast("array<int>")))
-    t = F.col("t")
-    months = F.when(F.col("first") < t, F.sequence("first", t - 1)).otherwise(F.array().cast("array<int>"))
-
-    def item(m: Column) -> Column:
-        within = lambda h: F.exists(F.sequence(F.lit(0), F.lit(h - 1)), lambda k: F.array_contains(F.col("hits"), m + k))
-        return F.struct(m.alias("m"), year_weight(t, m).alias("w"), *(within(h).alias(f"h{h}") for h in (1, 2, 3, 6)))
-
-    def all_masses(g: Column) -> Column:
-        in_month = lambda c: lambda x: F.pmod(x["m"], F.lit(12)) == c
-        year = F.sequence(F.lit(0), F.lit(11))
-        one = F.transform(year, lambda c: F.struct(weight_where(g, lambda x: in_month(c)(x) & x["h1"]).alias("k"), weight_where(g, in_month(c)).alias("n")))
-        seen = lambda x, h: x["m"] + (h - 1) < t
-        two = F.transform(year, lambda c: F.struct(weight_where(g, lambda x: in_month(c)(x) & seen(x, 2) & x["h2"]).alias("k"), weight_where(g, lambda x: in_month(c)(x) & seen(x, 2)).alias("n")))
-        stretch = F.struct(weight_where(g, lambda x: seen(x, 2) & x["h2"]).alias("k"), weight_where(g, lambda x: seen(x, 2)).alias("n"))
-        ahead = lambda x: (F.pmod(x["m"], F.lit(12)) == F.pmod(t + 1, F.lit(12))) & seen(x, max(HORIZONS))
-
-        def horizon(h: int) -> Column:
-            k, n = weight_where(g, lambda x: seen(x, h) & x[f"h{h}"]), weight_where(g, lambda x: seen(x, h))
-            return F.struct(
-                weight_where(g, lambda x: ahead(x) & x[f"h{h}"]).alias("k"), weight_where(g, ahead).alias("n"),
-                F.when(n > 0, k / n).otherwise(0.0).alias("prior"), F.size(F.filter(g, lambda x: seen(x, h))).alias("starts"),
-            )
-
-        return F.struct(one.alias("cal1"), two.alias("cal2"), stretch.alias("stretch"), F.array(*map(horizon, HORIZONS)).alias("horizon"))
-
-    made = rows.withColumn("x", bind(F.transform(months, item), all_masses))
-    return made.select("now", "t", "id", "bank", "code", "n", "last_end", "lo", "hi", F.when(F.col("ended.pct").isNotNull(), F.col("ended")).alias("ended"), "x.*")
+    rows = per.join(hits, ["now", "id"], "left")
+    t, m, w = F.col("t"), F.col("m"), F.col("w")
+    keys = per.columns
+    # the rows of a route are on one task already, so neither the months nor their sums move
+    months = rows.select(*keys, "hits", F.explode_outer(F.when(F.col("first") < t, F.sequence("first", t - 1))).alias("m"))
+    hit = {h: F.coalesce(F.arrays_overlap("hits", F.array(*(m + k for k in range(h)))), F.lit(False)).alias(f"h{h}") for h in (1, 2, 3, 6)}
+    months = months.select(*keys, "m", F.pmod(m, F.lit(12)).alias("cal"), year_weight(t, m).alias("w"), *hit.values())
+    sums: dict[str, Column] = {}
+
+    def mass(name: str, test: Column, h: int) -> None:
+        """Sums ``name_n`` of the months that pass, and ``name_k`` of those with a window in the h months from them."""
+        for part, also in (("n", F.lit(True)), ("k", F.col(f"h{h}"))):
+            sums[f"{name}_{part}"] = F.coalesce(F.sum(F.when(test & also, w)), F.lit(0.0))
+
+    seen = lambda h: m + (h - 1) < t  # noqa: E731  all of the h months are past
+    for c in range(12):
+        mass(f"one{c}", F.col("cal") == c, 1)
+        mass(f"two{c}", (F.col("cal") == c) & seen(2), 2)
+    mass("stretch", seen(2), 2)
+    ahead = (F.col("cal") == F.pmod(t + 1, F.lit(12))) & seen(max(HORIZONS))
+    for h in HORIZONS:
+        mass(f"ahead{h}", ahead, h)
+        mass(f"any{h}", seen(h), h)
+        sums[f"starts{h}"] = F.coalesce(F.sum(F.when(seen(h), 1)), F.lit(0))
+    made = months.groupBy(*keys).agg(*(x.alias(name) for name, x in sums.items()))
+    pair = lambda name: F.struct(F.col(f"{name}_k").alias("k"), F.col(f"{name}_n").alias("n"))
+    prior = lambda h: F.when(F.col(f"any{h}_n") > 0, F.col(f"any{h}_k") / F.col(f"any{h}_n")).otherwise(0.0)
+    horizon = [F.struct(F.col(f"ahead{h}_k").alias("k"), F.col(f"ahead{h}_n").alias("n"), prior(h).alias("prior"), F.col(f"starts{h}").alias("starts")) for h in HORIZONS]
+    return made.select(
+        "now", "t", "id", "bank", "code", "n", "last_end", "lo", "hi", F.when(F.col("ended.pct").isNotNull(), F.col("ended")).alias("ended"),
+        F.array(*(pair(f"one{c}") for c in range(12))).alias("cal1"), F.array(*(pair(f"two{c}") for c in range(12))).alias("cal2"), pair("stretch").alias("stretch"), F.array(*horizon).alias("horizon"),
+    )
 
 
 def shrunk(k: Column, n: Column, prior: Column) -> Column:
@@ -110,23 +114,28 @@ def with_priors(mass: DataFrame) -> DataFrame:
 def finished(mass: DataFrame, *, monotone: bool = True) -> DataFrame:
     """Probabilities and labels from masses; see :func:`derive_history`."""
     rows = with_priors(mass)
-    all_k, all_n = (total(F.transform("cal1", lambda x: x[f])) for f in "kn")
-    mp = bind(F.when(all_n > 0, all_k / all_n).otherwise(0.0), lambda prior: F.transform("cal1", lambda x: round3(shrunk(x["k"], x["n"], prior))))
-    p2 = F.transform("cal2", lambda x: round3(F.least(F.lit(MOST), shrunk(x["k"], x["n"], F.col("prior2")))))
-    wait = F.transform("horizon", lambda x: round3(F.least(F.lit(MOST), shrunk(x["k"], x["n"], x["prior"]))))
-    rows = rows.withColumns({"mp": mp, "p2": p2, "raw_wait": F.when(F.forall("horizon", lambda x: x["starts"] > 0), wait)})
-    raised = F.array(F.col("raw_wait")[0], F.greatest(F.col("raw_wait")[0], F.col("raw_wait")[1]), F.array_max("raw_wait"))
-    rows = rows.withColumn("wait", F.when(F.col("raw_wait").isNotNull(), raised) if monotone else F.col("raw_wait"))
     t = F.col("t")
-    coming = F.transform(F.sequence(F.lit(1), F.lit(12)), lambda a: F.struct(F.element_at("mp", (F.pmod(t + a, F.lit(12)) + 1).cast("int")).alias("p"), (-a).alias("soon")))
+    all_k, all_n = (sum((F.col("cal1")[c][f] for c in range(12)), F.lit(0.0)) for f in "kn")
+    prior1 = F.when(all_n > 0, all_k / all_n).otherwise(0.0)
+    rows = made_once(rows, {"prior1": prior1})
+    # the values of calendar month c as columns of their own: no lambda, and each computed once
+    mp = {f"mp{c}": round3(shrunk(F.col("cal1")[c]["k"], F.col("cal1")[c]["n"], F.col("prior1"))) for c in range(12)}
+    p2 = F.array(*(round3(F.least(F.lit(MOST), shrunk(F.col("cal2")[c]["k"], F.col("cal2")[c]["n"], F.col("prior2")))) for c in range(12)))
+    wait = F.array(*(round3(F.least(F.lit(MOST), shrunk(F.col("horizon")[k]["k"], F.col("horizon")[k]["n"], F.col("horizon")[k]["prior"]))) for k in range(len(HORIZONS))))
+    enough = F.least(*(F.col("horizon")[k]["starts"] for k in range(len(HORIZONS)))) > 0
+    rows = made_once(rows, {**mp, "p2": p2, "raw_wait": F.when(enough, wait)})
+    ahead = lambda c: F.pmod(F.lit(c) - t - 1, F.lit(12)) + 1  # noqa: E731  months until calendar month c, 1 to 12
+    rows = made_once(rows, {"best": F.greatest(*(F.struct(F.col(f"mp{c}").alias("p"), (-ahead(c)).alias("soon")) for c in range(12)))})
     since = F.datediff("now", "last_end") / 30.44
     recency = F.when(since < 12, 1.0).when(since <= 24, 0.75).otherwise(0.5)
-    rows = rows.withColumn("best", F.array_max(coming))
     prob = F.least(F.lit(95), F.floor(100 * F.col("best.p") * recency + 0.5).cast("int"))
-    following = F.struct(month_label(t - F.col("best.soon")).alias("label"), prob.alias("prob"))
+    raw = F.col("raw_wait")
+    raised = F.when(raw.isNotNull(), F.array(raw[0], F.greatest(raw[0], raw[1]), F.greatest(raw[0], raw[1], raw[2])))
+    rows = made_once(rows, {"prob": prob, "wait": raised if monotone else raw})
+    following = F.struct(month_label(t - F.col("best.soon")).alias("label"), "prob")
     return rows.select(
-        "now", "id", "bank", "code", "n", "mp", "p2", "wait", (F.col("wait") != F.col("raw_wait")).alias("wait_raised"), typical(F.col("lo"), F.col("hi")).alias("typical"),
-        F.when((F.col("n") >= 2) & (F.col("best.p") > 0) & (prob > 0), following).alias("next"), "ended", "last_end",
+        "now", "id", "bank", "code", "n", F.array(*(F.col(f"mp{c}") for c in range(12))).alias("mp"), "p2", "wait", (F.col("wait") != raw).alias("wait_raised"), typical(F.col("lo"), F.col("hi")).alias("typical"),
+        F.when((F.col("n") >= 2) & (F.col("best.p") > 0) & (F.col("prob") > 0), following).alias("next"), "ended", "last_end",
     )
 
 
