@@ -34,7 +34,7 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Characters whose classes differ between versions of Unicode; a text with one is split by the library's own splitter.
 UNUSUAL = r"[^\x00-\u052f\u2010-\u2027\u20ac]"
 #: Encoded words that a Python worker remembers at most; then it forgets all.
-MEMO = 400_000
+MEMO = 250_000
 #: Symbols of words that are encoded together.
 BLOCK = 400_000
 

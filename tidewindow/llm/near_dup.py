@@ -36,7 +36,7 @@ CUT = 0.52
 #: Rows of a block of signatures, and members of a block of sets, on average.
 BLOCK, MEMBERS = 2000, 256
 #: Bytes of text that are hashed at once.
-BYTES = 2_000_000
+BYTES = 800_000
 
 _rng = np.random.default_rng(20_240_501)
 _BYTE = _rng.integers(1, 2**64, 256, np.uint64)
