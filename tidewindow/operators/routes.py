@@ -73,10 +73,10 @@ def forecast_routes(history: DataFrame, live: DataFrame, times: DataFrame | None
     return top.select(*FIELDS, "pos").unionByName(ended.select(*FIELDS, "pos"))
 
 
-def all_routes(raw: DataFrame, history: DataFrame, now: date, times: DataFrame | None = None, *, most: int = MOST_FORECASTS) -> tuple[DataFrame, DataFrame]:
+def all_routes(raw: DataFrame, history: DataFrame, now: date, times: DataFrame | None = None, *, most: int = MOST_FORECASTS, day_first: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """(routes with ``pos``, unmapped rows) of raw bonuses and :func:`derive_history` rows that also have ``hist`` and ``ord``."""
     rows = resolve_bonuses(raw)
-    live = live_routes(best_bonuses(rows, now), history, times)
+    live = live_routes(best_bonuses(rows, now, day_first=day_first), history, times)
     return live.unionByName(forecast_routes(history, live, times, most=most)), unmapped(rows)
 
 

@@ -144,7 +144,8 @@ def publish(
     windows = archive.select(*watched.columns).unionByName(watched)
     firsts = windows.groupBy("id").agg(F.min("ord").alias("ord"))
     history = derive_history(windows, [today], monotone=not compat).join(history_lines(windows), "id").join(firsts, "id")
-    routes, missing = all_routes(raw, history, today, times)
+    # banners write the day first, in dates with a year too
+    routes, missing = all_routes(raw, history, today, times, day_first=None if compat else F.col("source") == "banners")
     routes = routes.cache()
 
     feed_path = os.path.join(out_dir, "feed.json")
