@@ -211,3 +211,19 @@ def test_rules(spark):
     doc = {"banks": {"A": {"name": "a", "short": "a", "bg": "b", "fg": None}}, "airlineDomains": {"X": "x.com"}, "bankDomains": {"A": "a.com"}, "airlineValues": {"X": 1.0}, "airlineIconUrls": {"X": "http://x", "Q": "https://q"}, "transferTimes": {"A": {"X": ""}, "Z": {"X": "1"}}, "airlineValueMeta": {"X": {"currency": "BRL", "asOf": "2026-01-01", "source": "s"}, "Y": {"currency": "USD", "asOf": "26", "source": ""}}, "directory": {"A": {"air": [["n", None]], "hotel": []}}}
     got = {(r["subject"], r["rule"]) for r in V.partner_violations(P.partner_tables(spark, doc)).collect()}
     assert got == {("A", "bank fg missing"), ("X", "icon not https"), ("Q", "icon of unknown code"), ("A.X", "time empty"), ("Z", "time of unknown bank"), ("X", "BRL without rate"), ("Y", "asOf"), ("Y", "source empty"), ("Y", "meta without value"), ("A.air", "tuple")}
+
+
+def test_refresh_and_document_check(spark):
+    from tidewindow.plans.refresh import changed, document_violations, refresh_directory
+
+    rows = directory(spark, [("ESF", "air", "Smiles", "2:1"), ("ESF", "air", "TAP Miles&Go", "—")])
+    rate = lambda n: f"<p>{n} pontos Esfera = 1 milha</p>"
+    html = [("ESF", None, f"<title>Smiles | Esfera</title>{rate(3)}"), ("ESF", None, f"<title>Esfera</title>{rate(9)}"), ("ESF", "Hilton", "<p>none</p>"), ("ESF", "Dotz", rate(1))]
+    got = refresh_directory(rows, spark.createDataFrame(html, "bank string, name string, html string"), NOW)
+    assert {(r["name"], r["ratio"], r["change"]) for r in got.collect()} == {("Smiles (GOL)", "3:1", "updated"), ("TAP Miles&Go", "—", None), ("Hilton Honors", "—", "added")}
+    assert changed(got) and not changed(refresh_directory(rows, spark.createDataFrame([], "bank string, name string, html string"), NOW))
+    route = {"id": "a", "bank": "B", "airline": "x", "code": "C", "time": "t", "typical": "t", "mp": [0.1] * 12, "hist": []}
+    check = lambda doc: {(r["subject"], r["rule"]) for r in document_violations(spark, json.dumps(doc)).collect()}
+    assert check({"version": 1, "generatedAt": "x", "routes": [route]}) == set()
+    assert check({"version": 1, "routes": [route | {"zz": 1}], "x": 1}) == {("feed", "missing key generatedAt"), ("feed", "unknown key x"), ("routes[0]", "unknown key zz")}
+    assert document_violations(spark, "[]").count() == 1

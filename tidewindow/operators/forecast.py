@@ -50,8 +50,9 @@ def masses(dated: DataFrame) -> DataFrame:
     """
     recent = F.datediff("now", "end")
     newest = F.struct("end", "start", (-F.col("ord")).alias("first"))
-    per = dated.groupBy("now", "id", "bank", "code", "t").agg(
-        F.count("*").alias("n"), F.min("s").alias("first"), F.max("end").alias("last_end"), F.min("pct").alias("lo"), F.max("pct").alias("hi"),
+    same = [F.first(c).alias(c) for c in ("bank", "code", "t")]  # alike in all rows of a group; grouped by (now, id) alone, rows need not move for the join
+    per = dated.groupBy("now", "id").agg(
+        *same, F.count("*").alias("n"), F.min("s").alias("first"), F.max("end").alias("last_end"), F.min("pct").alias("lo"), F.max("pct").alias("hi"),
         F.max_by(F.struct("pct", F.col("end").alias("endedAt")), F.when((recent > 0) & (recent <= RECENT_DAYS), newest)).alias("ended"),
     )
     hits = dated.filter("s < t").select("now", "id", F.explode(F.sequence("s", F.least("e", F.col("t") - 1))).alias("m")).distinct()
