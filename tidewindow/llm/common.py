@@ -39,12 +39,8 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; /tmp/checkpoints where the session has none."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file:///tmp/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
+    """The folder that driver and executors share, as the session names it; /tmp/checkpoints where it names none."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints").rstrip("/")
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
