@@ -2,10 +2,10 @@
 
 Tokens are summed into cells of source, language and topic. A factor for each source,
 language and topic is raked in turn until the weighted cells meet all three target
-marginals; a document's weight is the product of its three factors. Weights are scaled so
-that the expected tokens meet the budget, with no probability over 1, and a document is
-taken if a hash of its id falls below its probability. Cells and factors stay tables, one
-row a cell or value; a sweep is one job, written to the shared folder.
+marginals; a cell's weight is the product of its factors. Weights are scaled so that the
+expected tokens meet the budget, with no probability over 1, and a document is taken if a
+hash of its id falls below its probability. Cells stay a table; a sweep is one job, written
+to the shared folder.
 
 Defined results: a null source, language or topic counts as the empty one; a null or empty
 text has no tokens and the probability of its cell; a value whose target is missing or
@@ -15,7 +15,7 @@ rows share a decision; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewindow.llm.common import text_or_empty, written
@@ -55,42 +55,26 @@ def flattened(cells: DataFrame) -> DataFrame:
 
 
 def rake(cells: DataFrame, targets: DataFrame) -> DataFrame:
-    """``dim, value, factor`` so that tokens x factors meet the targets (dim, value, share; any scale a dim)."""
-    cells = cells.filter("tokens > 0")
-    there = None
+    """``cells`` with ``weight`` so that tokens x weights meet the targets (dim, value, share; any scale a dim)."""
+    now = cells
     for d in DIMENSIONS:
-        part = cells.select(F.lit(d).alias("dim"), F.col(d).alias("value")).distinct()
-        there = part if there is None else there.unionByName(part)
-    goals = there.join(targets, ["dim", "value"], "left").select("dim", "value", F.coalesce("share", F.lit(0.0)).alias("share"))
-    total = F.sum("share").over(Window.partitionBy("dim"))
-    goals = written(goals.select("dim", "value", F.when(total > 0, F.col("share") / total).otherwise(0.0).alias("share")), "targets")
-    factors = {d: goals.filter(F.col("dim") == d).select("value", F.lit(1.0).alias("factor"), F.lit(1.0).alias("moved")) for d in DIMENSIONS}
-    table = None
+        goal = targets.filter(F.col("dim") == d).select(F.col("value").alias(d), F.col("share").alias(f"goal_{d}"))
+        there = cells.filter("tokens > 0").select(d).distinct().join(goal, d)
+        scale = there.agg(F.sum(f"goal_{d}").alias("all"))  # one row
+        goal = there.join(F.broadcast(scale)).select(d, F.when(F.col("all") > 0, F.col(f"goal_{d}") / F.col("all")).alias(f"goal_{d}"))
+        now = now.join(goal, d, "left").withColumn(f"goal_{d}", F.coalesce(f"goal_{d}", F.lit(0.0)))
+    now = written(now.withColumns({"weight": F.lit(1.0), "moved": F.lit(1.0)}), "raked")
     for _ in range(SWEEPS):
+        step = now.drop("moved").withColumn("before", F.col("weight"))
         for d in DIMENSIONS:
-            w = cells
-            for other in DIMENSIONS:
-                if other != d:
-                    w = w.join(factors[other].select(F.col("value").alias(other), F.col("factor").alias(f"f_{other}")), other)
-            product = F.col("tokens")
-            for other in DIMENSIONS:
-                if other != d:
-                    product = product * F.col(f"f_{other}")
-            sums = w.groupBy(F.col(d).alias("value")).agg(F.sum(product).alias("now"))
-            goal = goals.filter(F.col("dim") == d).select("value", "share")
-            fresh = goal.join(sums, "value", "left").select("value", F.when(F.col("now") > 0, F.col("share") / F.col("now")).otherwise(0.0).alias("new"))
-            old = factors[d].select("value", F.col("factor").alias("old"))
-            moved = F.when((F.col("new") > 0) & (F.col("old") > 0), F.abs(F.col("new") / F.col("old") - 1)).when(F.col("new") == F.col("old"), 0.0).otherwise(1.0)
-            factors[d] = fresh.join(old, "value").select("value", F.col("new").alias("factor"), moved.alias("moved"))
-        table = None
-        for d in DIMENSIONS:
-            part = factors[d].select(F.lit(d).alias("dim"), "value", "factor", "moved")
-            table = part if table is None else table.unionByName(part)
-        table = written(table, "factors")
-        factors = {d: table.filter(F.col("dim") == d).select("value", "factor", "moved") for d in DIMENSIONS}
-        if (table.agg(F.max("moved")).first()[0] or 0.0) < TOLERANCE:
+            sums = step.groupBy(d).agg(F.sum(F.col("tokens") * F.col("weight")).alias("sum"))
+            factor = F.when(F.col("sum") > 0, F.col(f"goal_{d}") / F.col("sum")).otherwise(0.0)
+            step = step.join(sums, d).withColumn("weight", F.col("weight") * factor).drop("sum")
+        moved = F.when(F.col("before") > 0, F.abs(F.col("weight") / F.col("before") - 1)).otherwise(0.0)
+        now = written(step.withColumn("moved", moved).drop("before"), "raked")
+        if (now.agg(F.max("moved")).first()[0] or 0.0) < TOLERANCE:
             break
-    return table.select("dim", "value", "factor")
+    return now.select(*DIMENSIONS, "tokens", "weight")
 
 
 def scaled(weights: DataFrame, budget: float) -> float:
@@ -138,14 +122,7 @@ def mix_sources(
     rows = docs.select(F.col(key).alias("id"), name(source).alias("source"), name(lang).alias("lang"), F.coalesce(topic_of(t) if topic is None else topic, F.lit("")).alias("topic"), token_count(t).alias("tokens"))
     rows = written(rows, "tokens")
     cells = written(rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")), "cells")
-    factors = rake(cells, flattened(cells) if targets is None else targets)
-    weights = cells.select(*DIMENSIONS, "tokens")
-    for d in DIMENSIONS:
-        weights = weights.join(factors.filter(F.col("dim") == d).select(F.col("value").alias(d), F.col("factor").alias(f"f_{d}")), d, "left")
-    product = F.lit(1.0)
-    for d in DIMENSIONS:
-        product = product * F.coalesce(f"f_{d}", F.lit(0.0))
-    weights = written(weights.select(*DIMENSIONS, "tokens", product.alias("weight")), "weights")
+    weights = rake(cells, flattened(cells) if targets is None else targets)
     c = scaled(weights, budget)
     out = rows.join(weights.drop("tokens"), list(DIMENSIONS))
     probability = F.least(F.lit(1.0), F.col("weight") * F.lit(c))
