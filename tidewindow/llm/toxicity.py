@@ -20,21 +20,25 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewindow.llm.common import small_batches, text_or_empty, written
+from tidewindow.llm.common import released, small_batches, text_or_empty, written
 from tidewindow.llm.labelled import held_out, training_rows
 
 #: Labelled rows that are learned from, and terms of the classifier, at most.
 TRAIN_ROWS, TERMS = 10_000, 600
 #: Terms of toxic training rows whose counts come to the driver, at most: the most frequent.
-CANDIDATES = 30_000
+CANDIDATES = 20_000
 #: Fixed value: common insults of general use.
 INSULTS = ("idiot", "moron", "stupid", "loser", "scum", "trash", "pathetic", "worthless", "disgusting", "imbecile", "dumb", "fool", "jerk", "bastard")
 #: Letters of the beginnings of words that can be terms.
 BEGINNINGS = (4, 5, 7)
+#: Rows that the fit turns into a matrix of floats at once.
+BLOCK = 1000
 STRIP = ".,;:!?\"'()[]"
 
 
@@ -96,15 +100,22 @@ class LabelModel:
 
 
 def fit_linear(x: np.ndarray, target: np.ndarray, ridge: float = 1.0, rounds: int = 15) -> np.ndarray:
-    """Weights (the intercept last) of a logistic regression on probabilities, by Newton steps."""
-    x = np.c_[x, np.ones(len(x))]
-    w = np.zeros(x.shape[1])
-    penalty = np.full(len(w), ridge)
+    """Weights (the intercept last) of a logistic regression on probabilities, by Newton steps over blocks of rows."""
+    n, m = x.shape
+    w = np.zeros(m + 1)
+    penalty = np.full(m + 1, ridge)
     penalty[-1] = 1e-6
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty)
-        w -= np.linalg.solve(h, x.T @ (p - target) + penalty * w)
+        h, g = np.diag(penalty), penalty * w
+        for at in range(0, n, BLOCK):
+            part = np.c_[x[at : at + BLOCK].astype(float), np.ones(len(x[at : at + BLOCK]))]
+            p = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
+            h += part.T @ (part * (p * (1 - p))[:, None])
+            g += part.T @ (p - target[at : at + BLOCK])
+        step = np.linalg.solve(h, g)
+        w -= step
+        if np.abs(step).max() < 1e-6:
+            break
     return w
 
 
@@ -120,7 +131,7 @@ def _counts(rows: DataFrame, keep: frozenset[str] | None) -> DataFrame:
                 seen.update((w, y) for w in terms)
             yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in seen], pa.string()), pa.array([y for _, y in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], ["term", "y", "n"])
 
-    return rows.select("y", "t").mapInArrow(count, "term string, y int, n bigint").groupBy("term", "y").agg(F.sum("n").alias("n"))
+    return rows.select("y", "t").mapInArrow(lambda b: released(count(b)), "term string, y int, n bigint").groupBy("term", "y").agg(F.sum("n").alias("n"))
 
 
 def mine_terms(rows: DataFrame) -> list[str]:
@@ -167,15 +178,15 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", *, te
             found = [sorted(at[w] for w in terms_of(t) & keep) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int32()))], ["y", "hits"])
 
-    got = rows.select("y", "t").mapInArrow(hits, "y int, hits array<int>").toArrow()
-    x = np.zeros((got.num_rows, len(terms)))
-    for k, f in enumerate(got["hits"].to_pylist()):
-        x[k, f] = 1
+    got = rows.select("y", "t").mapInArrow(lambda b: released(hits(b)), "y int, hits array<int>").toArrow()
+    x = np.zeros((got.num_rows, len(terms)), bool)
+    lengths = pc.list_value_length(got["hits"]).to_numpy()
+    x[np.repeat(np.arange(len(x)), lengths), pc.list_flatten(got["hits"]).to_numpy()] = True
     y = got["y"].to_numpy().astype(float)
     lexicon = [place[w] for w in INSULTS]
     some = x[:, [place[w] for w in mined]].sum(1)
     patterns = np.c_[x[:, lexicon].any(1), some >= 1, some >= 2, some >= 4]
-    votes = np.c_[x[:, [place[w] for w in mined[:80]]], patterns, y]  # the label given is the last voter
+    votes = np.c_[x[:, [place[w] for w in mined[:80]]], patterns, y].astype(np.float32)  # the label given is the last voter
     labelled = LabelModel(votes, 0.9 * y + 0.05).posterior(votes)
     w = fit_linear(x, labelled)
     return ToxicityModel(dict(zip(terms, w[:-1].tolist(), strict=True)), float(w[-1]))
@@ -192,7 +203,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, *, text: str = "text",
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shared.value.score(b.column(1).to_pylist()))], ["k", "score"])
 
     kind = docs.schema[key].dataType.simpleString()
-    out = docs.select(F.col(key).alias("k"), text_or_empty(text).alias("t")).mapInArrow(score, f"k {kind}, score double")
+    out = docs.select(F.col(key).alias("k"), text_or_empty(text).alias("t")).mapInArrow(lambda b: released(score(b)), f"k {kind}, score double")
     return out.select(F.col("k").alias(key), held_out("k").alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
 
 
@@ -203,9 +214,7 @@ def without_toxic(docs: DataFrame, model: ToxicityModel, *, text: str = "text",
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
-    def score(texts):
-        import pandas as pd
-
-        return pd.Series(shared.value.score(texts.tolist()))
+    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        return released(pd.Series(shared.value.score(texts.tolist())) for texts in parts)
 
     return docs.filter(score(text_or_empty(text)) < cut)
