@@ -133,7 +133,7 @@ QUALIFY row_number() OVER (PARTITION BY id ORDER BY pct DESC, ord) = 1""",
 SELECT DISTINCT bank, code, coalesce(time, '—') AS time FROM win LEFT JOIN t USING (bank, code)""",
     "forecast_topk": f"""WITH {ONE},{MONTHS},{FINISH}, o AS (SELECT id, min(ord) AS ord FROM win GROUP BY id),
 f AS (SELECT u.id, prob, row_number() OVER (ORDER BY CASE WHEN e.id IS NULL THEN 1 ELSE 0 END, prob DESC, ord) AS rank FROM upcoming u JOIN o USING (id) LEFT JOIN ended e ON e.id = u.id)
-SELECT id, 1 AS part, rank, prob FROM f WHERE rank <= 60
+SELECT id, CAST(1 AS BIGINT) AS part, rank, prob FROM f WHERE rank <= 60
 UNION ALL SELECT id, 2, NULL, NULL FROM ended WHERE id NOT IN (SELECT id FROM upcoming)""",
     "stale_merge": f"""WITH {WIN}, {HIGH} SELECT DISTINCT id, 'candidate' AS origin FROM win UNION ALL
 SELECT DISTINCT id, 'previous' FROM high WHERE id NOT IN (SELECT id FROM win)""",
