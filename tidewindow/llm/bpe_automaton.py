@@ -25,16 +25,18 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Regex, Tokenizer, pre_tokenizers
+from tokenizers import Regex, normalizers, pre_tokenizers
 
-from tidewindow.llm.common import PairTable, byte_alphabet, ragged, small_batches, text_or_empty
+from tidewindow.llm.common import PairTable, byte_alphabet, ragged, released, small_batches, text_or_empty
 
 #: Fixed value: the words that the tokenizer keeps; what lies between is dropped.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Characters whose classes differ between versions of Unicode; a text with one is split by the library's own splitter.
 UNUSUAL = r"[^\x00-\u052f\u2010-\u2027\u20ac]"
+#: The library's own steps before splitting, for such texts.
+NORMAL = normalizers.Sequence([normalizers.NFC(), normalizers.Replace(Regex(r"\s+"), " "), normalizers.Lowercase()])
 #: Encoded words that a Python worker remembers at most; then it forgets all.
-MEMO = 250_000
+MEMO = 200_000
 #: Symbols of words that are encoded together.
 BLOCK = 400_000
 
@@ -178,9 +180,8 @@ class WordBpe:
         self.automaton = TokenAutomaton(tokenizer)
         self.words = regex.compile(WORDS).findall
         self.unusual = regex.compile(UNUSUAL).search
-        self.library = Tokenizer.from_str(tokenizer)
-        pattern = json.loads(tokenizer)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.library_split = pre_tokenizers.Split(Regex(pattern), "removed", invert=True)
+        self.normal = NORMAL
+        self.library_split = pre_tokenizers.Split(Regex(WORDS), "removed", invert=True)
         self.blank = regex.compile(r"\s+")
         specials = self.automaton.specials
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(specials, key=len, reverse=True))) + ")")
@@ -188,7 +189,7 @@ class WordBpe:
 
     def _pieces(self, text: str) -> list[str]:
         if self.unusual(text):
-            return [w for w, _ in self.library_split.pre_tokenize_str(self.library.normalizer.normalize_str(text))]
+            return [w for w, _ in self.library_split.pre_tokenize_str(self.normal.normalize_str(text))]
         # per character, as the tokenizer does: a capital sigma never becomes a final one
         return self.words(self.blank.sub(" ", unicodedata.normalize("NFC", text)).replace("Σ", "σ").lower())
 
@@ -259,4 +260,4 @@ def bpe_round_trip(docs: DataFrame, tokenizer: str, *, text: str = "text", key:
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("k"), text_or_empty(text).alias("t"))
-    return rows.mapInArrow(digest, f"k {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string").withColumnRenamed("k", key)
+    return rows.mapInArrow(lambda b: released(digest(b)), f"k {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string").withColumnRenamed("k", key)

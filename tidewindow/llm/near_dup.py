@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewindow.llm.common import small_batches, text_or_empty, written
+from tidewindow.llm.common import released, small_batches, text_or_empty, written
 from tidewindow.llm.components import components
 
 WORDS, MINIMA, ROWS = 5, 128, 4
@@ -35,8 +35,8 @@ BANDS = MINIMA // ROWS
 CUT = 0.52
 #: Rows of a block of signatures, and members of a block of sets, on average.
 BLOCK, MEMBERS = 2000, 256
-#: Bytes of text that are hashed at once.
-BYTES = 800_000
+#: Characters of text that are hashed at once, but for longer texts.
+BYTES = 250_000
 
 _rng = np.random.default_rng(20_240_501)
 _BYTE = _rng.integers(1, 2**64, 256, np.uint64)
@@ -271,7 +271,7 @@ def _first_round(multi: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFra
     some = written(texts.join(need, "id", "left_semi"), "texts")
     for side in "ab":
         pairs = pairs.join(some.select(F.col("id").alias(side), F.col("t").alias(f"t{side}")), side)
-    return pairs.select("a", "b", "ta", "tb").mapInArrow(_confirm, "a bigint, b bigint")
+    return pairs.select("a", "b", "ta", "tb").mapInArrow(lambda b: released(_confirm(b)), "a bigint, b bigint")
 
 
 def _second_round(multi: DataFrame, reps: DataFrame, texts: DataFrame, found: DataFrame) -> DataFrame:
@@ -285,7 +285,7 @@ def _second_round(multi: DataFrame, reps: DataFrame, texts: DataFrame, found: Da
     block_of = F.pmod(F.xxhash64("id", F.lit(5)), n_blocks).cast("bigint")
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(3)), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     rows = rows.select("bk", F.least("chunk", "other").alias("ci"), F.greatest("chunk", "other").alias("cj"), "chunk", "id", "c", F.coalesce("size", F.lit(1)).alias("size"), "n", *_SIG, block_of.alias("block"))
-    asks = rows.repartition("bk", "ci", "cj").sortWithinPartitions("bk", "ci", "cj").mapInArrow(_across, "x bigint, c bigint, block bigint")
+    asks = rows.repartition("bk", "ci", "cj").sortWithinPartitions("bk", "ci", "cj").mapInArrow(lambda b: released(_across(b)), "x bigint, c bigint, block bigint")
     asks = written(asks.distinct(), "asks")
     blocks = asks.select("c", "block").distinct()
     nodes = reps.select("id").join(found.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("c"))
@@ -295,7 +295,7 @@ def _second_round(multi: DataFrame, reps: DataFrame, texts: DataFrame, found: Da
     both = written(both, "blocks")
     some = written(texts.join(both.select("id").distinct(), "id", "left_semi"), "texts")
     both = both.join(some, "id").select("c", "block", "asks", "id", "t")
-    return both.repartition("c", "block").sortWithinPartitions("c", "block", "asks").mapInArrow(_against, "a bigint, b bigint")
+    return both.repartition("c", "block").sortWithinPartitions("c", "block", "asks").mapInArrow(lambda b: released(_against(b)), "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -303,7 +303,7 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id")
     small_batches(docs.sparkSession)
     texts = docs.select(F.col(key).cast("long").alias("id"), text_or_empty(text).alias("t"))
     schema = "id bigint, n bigint, f0 bigint, f1 bigint, " + "".join(f"{s} bigint, " for s in _SIG) + "bands array<bigint>"
-    signed = written(texts.mapInArrow(_sign, schema), "signatures")
+    signed = written(texts.mapInArrow(lambda b: released(_sign(b)), schema), "signatures")
     classes = signed.filter("n > 0 and id is not null").groupBy("f0", "f1", "n").agg(F.min(F.struct("id", *_SIG, "bands")).alias("r"))
     reps = written(classes.select("f0", "f1", "n", "r.*"), "classes")
     rows = reps.select("id", F.explode("bands").alias("bk"))
