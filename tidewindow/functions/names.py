@@ -109,10 +109,15 @@ def alias_table(spark: SparkSession, aliases: dict[str, str]) -> DataFrame:
     return table.groupBy("alias").agg(F.max_by("code", "k").alias("code"))
 
 
+_pairs: dict[tuple[tuple[str, str], ...], list[tuple[str, str]]] = {}
+
+
 def alias_map(spark: SparkSession, aliases: dict[str, str]) -> Column:
-    """The alias table as one literal map; alias tables are fixed and small."""
-    pairs = alias_table(spark, aliases).orderBy("alias").collect()
-    return F.create_map(*chain.from_iterable((F.lit(r["alias"]), F.lit(r["code"])) for r in pairs))
+    """The alias table as one literal map; alias tables are fixed and small, so each is made once."""
+    entries = tuple(aliases.items())
+    if entries not in _pairs:
+        _pairs[entries] = [(r["alias"], r["code"]) for r in alias_table(spark, aliases).orderBy("alias").collect()]
+    return F.create_map(*map(F.lit, chain.from_iterable(_pairs[entries])))
 
 
 def resolved(name: Column, codes: Column) -> Column:

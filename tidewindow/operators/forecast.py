@@ -64,35 +64,36 @@ def masses(dated: DataFrame) -> DataFrame:
     months = rows.select(*keys, "hits", F.explode_outer(F.when(F.col("first") < t, F.sequence("first", t - 1))).alias("m"))
     hit = {h: F.coalesce(F.arrays_overlap("hits", F.array(*(m + k for k in range(h)))), F.lit(False)).alias(f"h{h}") for h in (1, 2, 3, 6)}
     months = months.select(*keys, "m", F.pmod(m, F.lit(12)).alias("cal"), year_weight(t, m).alias("w"), *hit.values())
-    sums: dict[str, Column] = {}
+    sums: list[str] = []
 
-    def mass(name: str, test: Column, h: int) -> None:
+    def mass(name: str, test: str, h: int) -> None:
         """Sums ``name_n`` of the months that pass, and ``name_k`` of those with a window in the h months from them."""
-        for part, also in (("n", F.lit(True)), ("k", F.col(f"h{h}"))):
-            sums[f"{name}_{part}"] = F.coalesce(F.sum(F.when(test & also, w)), F.lit(0.0))
+        for part, also in (("n", "true"), ("k", f"h{h}")):
+            sums.append(f"coalesce(sum(CASE WHEN {test} AND {also} THEN w END), 0D) AS {name}_{part}")
 
-    seen = lambda h: m + (h - 1) < t  # noqa: E731  all of the h months are past
+    # SQL text, as building hundreds of column objects one by one takes seconds
+    seen = lambda h: f"m + {h - 1} < t"  # noqa: E731  all of the h months are past
     for c in range(12):
-        mass(f"one{c}", F.col("cal") == c, 1)
-        mass(f"two{c}", (F.col("cal") == c) & seen(2), 2)
+        mass(f"one{c}", f"cal = {c}", 1)
+        mass(f"two{c}", f"cal = {c} AND {seen(2)}", 2)
     mass("stretch", seen(2), 2)
-    ahead = (F.col("cal") == F.pmod(t + 1, F.lit(12))) & seen(max(HORIZONS))
     for h in HORIZONS:
-        mass(f"ahead{h}", ahead, h)
+        mass(f"ahead{h}", f"cal = pmod(t + 1, 12) AND {seen(max(HORIZONS))}", h)
         mass(f"any{h}", seen(h), h)
-        sums[f"starts{h}"] = F.coalesce(F.sum(F.when(seen(h), 1)), F.lit(0))
-    made = months.groupBy(*keys).agg(*(x.alias(name) for name, x in sums.items()))
-    pair = lambda name: F.struct(F.col(f"{name}_k").alias("k"), F.col(f"{name}_n").alias("n"))
-    prior = lambda h: F.when(F.col(f"any{h}_n") > 0, F.col(f"any{h}_k") / F.col(f"any{h}_n")).otherwise(0.0)
-    horizon = [F.struct(F.col(f"ahead{h}_k").alias("k"), F.col(f"ahead{h}_n").alias("n"), prior(h).alias("prior"), F.col(f"starts{h}").alias("starts")) for h in HORIZONS]
-    return made.select(
-        "now", "t", "id", "bank", "code", "n", "last_end", "lo", "hi", F.when(F.col("ended.pct").isNotNull(), F.col("ended")).alias("ended"),
-        F.array(*(pair(f"one{c}") for c in range(12))).alias("cal1"), F.array(*(pair(f"two{c}") for c in range(12))).alias("cal2"), pair("stretch").alias("stretch"), F.array(*horizon).alias("horizon"),
+        sums.append(f"coalesce(sum(CASE WHEN {seen(h)} THEN 1 END), 0) AS starts{h}")
+    made = months.groupBy(*keys).agg(*map(F.expr, sums))
+    pair = lambda name: f"struct({name}_k AS k, {name}_n AS n)"
+    horizon = [f"struct(ahead{h}_k AS k, ahead{h}_n AS n, CASE WHEN any{h}_n > 0 THEN any{h}_k / any{h}_n ELSE 0D END AS prior, starts{h} AS starts)" for h in HORIZONS]
+    return made.selectExpr(
+        "now", "t", "id", "bank", "code", "n", "last_end", "lo", "hi", "CASE WHEN ended.pct IS NOT NULL THEN ended END AS ended",
+        f"array({', '.join(pair(f'one{c}') for c in range(12))}) AS cal1", f"array({', '.join(pair(f'two{c}') for c in range(12))}) AS cal2",
+        f"{pair('stretch')} AS stretch", f"array({', '.join(horizon)}) AS horizon",
     )
 
 
-def shrunk(k: Column, n: Column, prior: Column) -> Column:
-    return (k + TAU * prior) / (n + TAU)
+def shrunk(mass: str, prior: str) -> Column:
+    """The rate of a mass (a struct of k and n), drawn to a prior."""
+    return F.expr(f"({mass}.k + {TAU}D * {prior}) / ({mass}.n + {TAU}D)")
 
 
 def typical(lo: Column, hi: Column) -> Column:
@@ -116,17 +117,17 @@ def finished(mass: DataFrame, *, monotone: bool = True) -> DataFrame:
     """Probabilities and labels from masses; see :func:`derive_history`."""
     rows = with_priors(mass)
     t = F.col("t")
-    all_k, all_n = (sum((F.col("cal1")[c][f] for c in range(12)), F.lit(0.0)) for f in "kn")
-    prior1 = F.when(all_n > 0, all_k / all_n).otherwise(0.0)
-    rows = made_once(rows, {"prior1": prior1})
+    all_k, all_n = (" + ".join(f"cal1[{c}].{f}" for c in range(12)) for f in "kn")
+    rows = made_once(rows, {"prior1": F.expr(f"CASE WHEN {all_n} > 0 THEN ({all_k}) / ({all_n}) ELSE 0D END")})
     # the values of calendar month c as columns of their own: no lambda, and each computed once
-    mp = {f"mp{c}": round3(shrunk(F.col("cal1")[c]["k"], F.col("cal1")[c]["n"], F.col("prior1"))) for c in range(12)}
-    p2 = F.array(*(round3(F.least(F.lit(MOST), shrunk(F.col("cal2")[c]["k"], F.col("cal2")[c]["n"], F.col("prior2")))) for c in range(12)))
-    wait = F.array(*(round3(F.least(F.lit(MOST), shrunk(F.col("horizon")[k]["k"], F.col("horizon")[k]["n"], F.col("horizon")[k]["prior"]))) for k in range(len(HORIZONS))))
-    enough = F.least(*(F.col("horizon")[k]["starts"] for k in range(len(HORIZONS)))) > 0
+    mp = {f"mp{c}": round3(shrunk(f"cal1[{c}]", "prior1")) for c in range(12)}
+    capped = lambda rate: round3(F.least(F.lit(MOST), rate))
+    p2 = F.array(*(capped(shrunk(f"cal2[{c}]", "prior2")) for c in range(12)))
+    wait = F.array(*(capped(shrunk(f"horizon[{k}]", f"horizon[{k}].prior")) for k in range(len(HORIZONS))))
+    enough = F.expr(f"least({', '.join(f'horizon[{k}].starts' for k in range(len(HORIZONS)))}) > 0")
     rows = made_once(rows, {**mp, "p2": p2, "raw_wait": F.when(enough, wait)})
-    ahead = lambda c: F.pmod(F.lit(c) - t - 1, F.lit(12)) + 1  # noqa: E731  months until calendar month c, 1 to 12
-    rows = made_once(rows, {"best": F.greatest(*(F.struct(F.col(f"mp{c}").alias("p"), (-ahead(c)).alias("soon")) for c in range(12)))})
+    # soon: minus the months until calendar month c, 1 to 12
+    rows = made_once(rows, {"best": F.expr(f"greatest({', '.join(f'struct(mp{c} AS p, -(pmod({c} - t - 1, 12) + 1) AS soon)' for c in range(12))})")})
     since = F.datediff("now", "last_end") / 30.44
     recency = F.when(since < 12, 1.0).when(since <= 24, 0.75).otherwise(0.5)
     prob = F.least(F.lit(95), F.floor(100 * F.col("best.p") * recency + 0.5).cast("int"))
