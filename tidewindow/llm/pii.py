@@ -1,8 +1,9 @@
 """Personal data by anchor expansion.
 
-One Aho-Corasick pass over a text finds anchors: at-signs, digits before a stop, digit
-pairs, plus signs before a digit, schemes and identifier cues. From an anchor a
-deterministic parser expands to the boundaries of the item and validates it.
+One Aho-Corasick pass over a text, its ASCII letters lowered, finds anchors: at-signs,
+digits before a stop, digit pairs, plus signs before a digit, schemes and identifier cues.
+From an anchor a deterministic parser expands to the boundaries of the item in the text as
+it stands and validates it, so cues and schemes count in any case.
 
 Kinds, in the order in which spans are listed: email, ip, card, phone (the base kinds),
 url (behind a scheme) and account (an IBAN, an access key, or a value behind a cue such as
@@ -35,11 +36,12 @@ DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 ADDRESS = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-URL = re.compile(r"[a-z]+://[A-Za-z0-9.-]+\.[A-Za-z]{2,}(?::[0-9]+)?(?:[/?#][^\s<>\"'`]*)?")
+URL = re.compile(r"[A-Za-z]+://[A-Za-z0-9.-]+\.[A-Za-z]{2,}(?::[0-9]+)?(?:[/?#][^\s<>\"'`]*)?")
 VALUE = re.compile(r"""\s*[=:]\s*["']?([A-Za-z0-9+/_-]{16,})""")
 KEY = re.compile(r"AKIA[0-9A-Z]{16}(?![0-9A-Z])")
 IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
 GAP = re.compile(r"\W{0,3}")
+UPPER = re.compile(r"[A-Z]+")
 SCHEMES = ("http://", "https://", "ftp://")
 CUES = ("token", "secret", "password", "api_key", "apikey", "account")
 
@@ -54,7 +56,7 @@ def _automaton() -> ahocorasick.Automaton:
             for gap in ("", " ", "-"):
                 words[f"{x}{gap}{y}"] = ("card", 1 + len(gap))
     words |= {s: ("url", len(s) - 1) for s in SCHEMES}
-    words |= {c: ("cue", len(c) - 1) for c in CUES} | {"AKIA": ("key", 3), "IBAN": ("iban", 3)}
+    words |= {c: ("cue", len(c) - 1) for c in CUES} | {"akia": ("key", 3), "iban": ("iban", 3)}
     for w, v in words.items():
         a.add_word(w, v)
     a.make_automaton()
@@ -64,6 +66,11 @@ def _automaton() -> ahocorasick.Automaton:
 _anchors = _automaton()
 
 
+def lowered(text: str) -> str:
+    """The text with ASCII letters in lower case, at the same offsets."""
+    return text.lower() if text.isascii() else UPPER.sub(lambda m: m[0].lower(), text)
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for k, c in enumerate(reversed(digits)):
@@ -81,7 +88,7 @@ def spans(text: str) -> list[tuple[int, int, int]]:
     """(kind number, start, end) of all items, by kind and start."""
     out: list[tuple[int, int, int]] = []
     done = dict.fromkeys((*KINDS, "cue", "key", "iban"), 0)  # where the last item of the kind ended, kept or not
-    for at, (kind, back) in _anchors.iter(text):
+    for at, (kind, back) in _anchors.iter(lowered(text)):
         start, limit = at - back, done[kind]
         if start < limit:
             continue
