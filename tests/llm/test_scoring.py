@@ -186,6 +186,44 @@ def test_mixing(spark):
     assert mixing.mix_sources(frame(spark, [(1, None, None, None)])).count() == 1
 
 
+def test_mixing_meets_targets_under_the_cap(spark):
+    r = random.Random(8)
+    rows = [(k, " ".join(["w"] * r.randint(20, 60)), r.choice(("en",) * 6 + ("de",)), r.choice(("hot",) * 9 + ("a", "b"))) for k in range(3000)]
+    topic = F.when(F.col("doc_id") % 25 == 0, "rare").otherwise("t")
+    mixed = mixing.mix_sources(frame(spark, rows), budget=0.8, topic=topic)
+    for x in mixing.marginals(mixed).collect():
+        assert abs(x["expected"] / x["target"] - 1) < 2e-3, x
+    got = mixed.collect()
+    total, rare = sum(x["n_tokens"] for x in got), [x for x in got if x["topic"] == "rare"]
+    reached = sum(x["n_tokens"] * x["probability"] for x in got) / total
+    assert 0.3 < reached < 0.79 and max(x["probability"] for x in got) == 1
+    copied = sum(x["n_tokens"] * x["copies"] for x in got)  # with repeats the full budget, to the same targets
+    goal = sum(x["n_tokens"] * x["weight"] for x in rare) / sum(x["n_tokens"] * x["weight"] for x in got)
+    assert abs(copied / total - 0.8) < 0.03 and abs(sum(x["n_tokens"] * x["copies"] for x in rare) / copied / goal - 1) < 0.15
+    assert max(x["copies"] for x in got) > 1
+
+
+def test_largest_mix_without_repeats():
+    r = np.random.default_rng(3)
+    for _ in range(20):
+        rows, cols = codes = [x.ravel() for x in np.indices((5, 4))]
+        tokens, weight = np.round(np.exp(r.normal(5, 2, 20))), np.exp(r.normal(0, 1, 5))[rows] * np.exp(r.normal(0, 1, 4))[cols]
+        p, size = mixing.probabilities(codes, tokens, weight, 0.8)
+        shares = [np.bincount(c, tokens * weight / (tokens * weight).sum()) for c in codes]
+        assert all(np.abs(np.bincount(c, tokens * p) / (s * size) - 1).max() < 2e-3 for c, s in zip(codes, shares)) and 0 <= p.min() and p.max() <= 1
+        most = 0.8 * tokens.sum()  # what a set of rows and a set of columns must share bounds the size
+        for k in range(1 << 9):
+            i, j = (k & 31) >> np.arange(5) & 1, (k >> 5) >> np.arange(4) & 1
+            need = shares[0] @ i + shares[1] @ j - 1
+            most = min(most, (tokens * i[rows] * j[cols]).sum() / need) if need > 1e-9 else most
+        assert 0.97 * most <= size <= 1.005 * most
+
+
+def test_rows_without_an_id_are_drawn_one_by_one(spark):
+    got = mixing.mix_sources(frame(spark, [(None, f"w{k} x", "en", "a") for k in range(400)]), budget=0.5).collect()
+    assert 140 < sum(x["taken"] for x in got) < 260
+
+
 def test_pipeline_on_the_smallest_tables(spark):
     import corpus_pipeline as P
 

@@ -2,19 +2,30 @@
 
 Tokens are summed into cells of source, language and topic. A factor for each source,
 language and topic is raked in turn until the weighted cells meet all three target
-marginals; a cell's weight is the product of its factors. Weights are scaled so that the
-expected tokens meet the budget, with no probability over 1, and a document is taken if a
-hash of its id falls below its probability. Cells stay a table; a sweep is one job, written
-to the shared folder.
+marginals; a cell's weight is the product of its factors. Cells stay a table; a sweep is
+one job, written to the shared folder.
+
+Probabilities are raked again under the cap of 1: cells at 1 stay there and the others make
+up for them, so that expected tokens have the marginals of the weights. Without repeats a
+mix can be no larger than its scarcest value allows, so the budget is lowered to what can
+be reached, with a warning that names it. ``copies`` is for callers who may repeat rows: it
+meets the targets at the full budget. A document is taken if a hash of its id falls below
+its probability. For the cap, three hashes and two numbers a cell come to the driver: 40
+bytes for each combination of source, language and topic, however many rows have it.
 
 Defined results: a null source, language or topic counts as the empty one; a null or empty
 text has no tokens and the probability of its cell; a value whose target is missing or
 zero gets weight 0, a target without tokens is left out and the rest scaled up; repeated
-rows share a decision; an empty table gives no rows; other columns are ignored.
+rows share a decision; a row without an id is drawn by its text; an empty table gives no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import logging
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +35,10 @@ DIMENSIONS = ("source", "lang", "topic")
 #: Exponents on the shares that make the default targets: below 1 they lift what is rare.
 FLATTEN = {"source": 0.7, "lang": 0.8, "topic": 0.8}
 SWEEPS, TOLERANCE = 30, 1e-4
-#: Scales that are tried at once when weights become probabilities.
-TRIES = 48
+#: Relative gap of a marginal that counts as met, and to which the reachable budget is found.
+MET = 1e-3
+#: Sweeps under the cap after which the gap must have fallen by a tenth.
+PATIENCE = 100
 
 
 def topic_of(text: Column) -> Column:
@@ -77,22 +90,67 @@ def rake(cells: DataFrame, targets: DataFrame) -> DataFrame:
     return now.select(*DIMENSIONS, "tokens", "weight")
 
 
-def scaled(weights: DataFrame, budget: float) -> float:
-    """The scale c for which the expected tokens, tokens x min(1, c x weight), are ``budget`` of all that can be had.
+def capped(codes: list[np.ndarray], tokens: np.ndarray, weight: np.ndarray, size: float) -> tuple[np.ndarray, float]:
+    """Probabilities for which expected tokens are ``size`` and have the marginals of tokens x weight, and the largest relative gap that is left.
 
-    Of ``weights`` (tokens, weight); found by trying TRIES scales in one job, twice.
+    ``codes``: the cells' values as numbers, for each dimension. Each step moves a value's
+    factor towards its goal with the cells at 1 held there; where too much is held, all scale.
     """
-    r = weights.filter("weight > 0").agg(F.sum("tokens"), F.min("weight"), F.max("weight")).first()
-    if not r[0]:
-        return 0.0
-    all_tokens = weights.agg(F.sum("tokens")).first()[0]
-    want, lo, hi = min(budget * all_tokens, float(r[0])), 1e-6 / r[2], 1 / r[1]
-    for _ in range(2):
-        steps = [lo * (hi / lo) ** (k / (TRIES - 1)) for k in range(TRIES)]
-        got = weights.agg(*(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.lit(c) * F.col("weight"))).alias(f"c{k}") for k, c in enumerate(steps))).first()
-        above = next((k for k, g in enumerate(got) if g >= want * (1 - 1e-12)), TRIES - 1)
-        lo, hi = steps[max(0, above - 1)], steps[above]
-    return hi
+    total = (tokens * weight).sum()
+    w = weight * (size / total)
+    goals = [np.bincount(c, tokens * w) for c in codes]
+    best, since = np.inf, 0
+    with np.errstate(divide="ignore", invalid="ignore"):
+        while True:
+            for c, goal in zip(codes, goals, strict=True):
+                full = w >= 1
+                held, rest = np.bincount(c, tokens * full, len(goal)), np.bincount(c, np.where(full, 0, tokens * w), len(goal))
+                factor = np.fmax(np.where(rest > 0, (goal - held) / rest, 0), np.where(held + rest > 0, goal / (held + rest), 1))
+                w = np.minimum(w * factor[c], 1e30)
+            p = np.minimum(w, 1)
+            gap = max((np.abs(np.bincount(c, tokens * p) / goal - 1)[goal > 0].max() for c, goal in zip(codes, goals, strict=True)), default=0.0)
+            if gap < 0.9 * best:
+                best, since = gap, 0
+            since += 1
+            if gap <= MET / 10 or since > PATIENCE:
+                return p, float(gap)
+
+
+def probabilities(codes: list[np.ndarray], tokens: np.ndarray, weight: np.ndarray, budget: float) -> tuple[np.ndarray, float]:
+    """Probabilities by :func:`capped` at the largest size that meets the marginals, and that size; ``budget`` of all tokens at most."""
+    goal = tokens * weight
+    if not goal.sum() > 0:
+        return np.zeros(len(tokens)), 0.0
+    shares = [np.bincount(c, goal) / goal.sum() for c in codes]
+    most = min((np.bincount(c, tokens * (weight > 0))[s > 0] / s[s > 0]).min() for c, s in zip(codes, shares, strict=True))
+    high = min(budget * tokens.sum(), float(most))
+    p, gap = capped(codes, tokens, weight, high)
+    if gap <= MET:
+        return p, high
+    low = min(high, float(goal.sum() / weight[tokens > 0].max()))  # at which no cell is over 1
+    p = np.minimum(weight * (low / goal.sum()), 1)
+    while high > low * (1 + MET):
+        size = (low * high) ** 0.5
+        tried, gap = capped(codes, tokens, weight, size)
+        p, low, high = (tried, size, high) if gap <= MET else (p, low, size)
+    return p, low
+
+
+def with_probability(weights: DataFrame, budget: float) -> DataFrame:
+    """``weights`` with ``probability``, and ``repeats``: a row's expected uses where rows may repeat."""
+    spark = weights.sparkSession
+    hashes = [F.xxhash64(d).alias(f"h_{d}") for d in DIMENSIONS]
+    got = weights.select(*hashes, F.col("tokens").cast("double").alias("tokens"), "weight").toArrow()
+    tokens, weight = (got[c].to_numpy() for c in ("tokens", "weight"))
+    codes = [np.unique(got[f"h_{d}"].to_numpy(), return_inverse=True)[1] for d in DIMENSIONS]
+    p, size = probabilities(codes, tokens, weight, budget)
+    want, total = budget * tokens.sum(), (tokens * weight).sum()
+    if size < want * (1 - MET):
+        logging.getLogger(__name__).warning("without repeats the target weights allow %.4f of all tokens, not %.4f", size / tokens.sum(), budget)
+    found = pa.table({**{f"h_{d}": got[f"h_{d}"] for d in DIMENSIONS}, "probability": p, "repeats": weight * (want / total) if total > 0 else weight * 0.0})
+    found = written(spark.createDataFrame(found), "probabilities")
+    same = [F.xxhash64(d) == found[f"h_{d}"] for d in DIMENSIONS]
+    return weights.join(found, same).select(*DIMENSIONS, "weight", "probability", "repeats")
 
 
 def uniform(key: Column, seed: int) -> Column:
@@ -100,6 +158,14 @@ def uniform(key: Column, seed: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(key, F.lit(seed)), 11) / F.lit(float(1 << 53))
 
 
+def marginals(mixed: DataFrame) -> DataFrame:
+    """``dim, value, target, expected`` of what mix_sources gives: shares of tokens by weight, and as they are expected to be taken."""
+    sums = mixed.select(F.explode(F.array(*(F.struct(F.lit(d).alias("dim"), F.col(d).alias("value")) for d in DIMENSIONS))).alias("m"), F.col("n_tokens").alias("n"), "weight", "probability")
+    sums = sums.groupBy("m").agg(F.sum(F.col("n") * F.col("weight")).alias("t"), F.sum(F.col("n") * F.col("probability")).alias("e"))
+    all_ = sums.filter(F.col("m.dim") == DIMENSIONS[0]).agg(F.sum("t").alias("all_t"), F.sum("e").alias("all_e"))  # one row
+    return sums.join(F.broadcast(all_)).select("m.dim", "m.value", F.try_divide("t", "all_t").alias("target"), F.try_divide("e", "all_e").alias("expected"))
+
+
 def mix_sources(
     docs: DataFrame,
     targets: DataFrame | None = None,
@@ -107,26 +173,30 @@ def mix_sources(
     budget: float = 0.8,
     text: str = "text",
     key: str = "doc_id",
+    drawn_by: str | None = None,
     lang: str = "lang",
     source: str = "source",
     topic: Column | None = None,
     seed: int = 17,
 ) -> DataFrame:
-    """``key, source, lang, topic, n_tokens, weight, probability, taken`` of every row.
+    """``key, source, lang, topic, n_tokens, weight, probability, taken, copies`` of every row.
 
     ``targets``: ``dim`` (source, lang or topic), ``value`` and ``share``; by default the
-    corpus's own shares, flattened. ``budget``: expected share of the tokens that are taken.
+    corpus's own shares, flattened. ``budget``: expected share of the tokens that are taken,
+    or less where the targets allow less without repeats; that of ``copies`` is met.
+    ``drawn_by``: the column whose hash decides, ``key`` by default.
     """
     t = text_or_empty(text)
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    rows = docs.select(F.col(key).alias("id"), name(source).alias("source"), name(lang).alias("lang"), F.coalesce(topic_of(t) if topic is None else topic, F.lit("")).alias("topic"), token_count(t).alias("tokens"))
+    by = F.col(drawn_by or key)
+    u = F.when(by.isNull(), uniform(t, seed)).otherwise(uniform(by, seed))
+    rows = docs.select(F.col(key).alias("id"), name(source).alias("source"), name(lang).alias("lang"), F.coalesce(topic_of(t) if topic is None else topic, F.lit("")).alias("topic"), token_count(t).alias("tokens"), u.alias("u"))
     rows = written(rows, "tokens")
     cells = written(rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")), "cells")
-    weights = rake(cells, flattened(cells) if targets is None else targets)
-    c = scaled(weights, budget)
-    out = rows.join(weights.drop("tokens"), list(DIMENSIONS))
-    probability = F.least(F.lit(1.0), F.col("weight") * F.lit(c))
+    weights = with_probability(rake(cells, flattened(cells) if targets is None else targets), budget)
+    out = rows.join(weights, list(DIMENSIONS))
     return out.select(
-        F.col("id").alias(key), "source", "lang", "topic", F.col("tokens").alias("n_tokens"), "weight",
-        probability.alias("probability"), (uniform(F.col("id"), seed) < probability).alias("taken"),
+        F.col("id").alias(key), "source", "lang", "topic", F.col("tokens").alias("n_tokens"), "weight", "probability",
+        (F.col("u") < F.col("probability")).alias("taken"),
+        (F.floor("repeats") + (F.col("u") < F.col("repeats") - F.floor("repeats")).cast("long")).alias("copies"),
     )
