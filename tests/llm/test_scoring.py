@@ -238,3 +238,29 @@ def test_pipeline_on_the_smallest_tables(spark):
     got = P.run(spark, sf_dir).collect()
     assert {r["doc_id"] for r in got} == {r["doc_id"] for r in left.collect()} and got
     assert set(got[0].asDict()) == {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"}
+
+
+def test_pipeline_decides_on_rows(spark, tmp_path):
+    import corpus_pipeline as P
+
+    def ids(stage, rows):
+        docs = spark.createDataFrame([(i, t, "en", "s") for i, t in rows], "doc_id bigint, text string, lang string, source string")
+        docs.write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+        got = stage(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).select("doc_id", "text").collect()
+        return sorted(map(str, map(tuple, got)))
+
+    as_is = lambda rows: sorted(map(str, rows))
+    labels = spark.createDataFrame([(2, 1, 0)], "doc_id bigint, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    mixed = [(4, "x"), (2, "y"), (4, "y"), (None, "z"), (None, "z"), (None, "x"), (7, "v"), (7, "v"), (None, None)]
+    assert ids(P.toxicity, mixed) == as_is(mixed)
+    assert ids(P.exact_duplicates, mixed) == as_is([(2, "y"), (4, "x"), (None, "z"), (7, "v"), (None, None)])
+
+    one, two = (" ".join(f"{w}{k}" for k in range(60)) for w in "pq")
+    near = [(9, one), (3, one + " end"), (3, two), (5, two + " end"), (None, one + " more"), (None, "short"), (8, "a b c d e f g"), (8, "h i j k l m n")]
+    assert ids(P.near_duplicates_stage, near) == as_is([r for r in near if r[0] not in (9, 5)])
+
+    many = [(None, f"w{k} x y") for k in range(300)] + [(k // 2, f"v{k} x y") for k in range(300)]
+    left = ids(P.mixing, many)
+    assert len(left) == len(set(left)) and set(left) <= set(as_is(many))
+    assert 200 < sum(x.startswith("(None") for x in left) < 280 and 190 < sum(not x.startswith("(None") for x in left) < 285
