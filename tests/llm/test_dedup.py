@@ -9,9 +9,10 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from tidewindow.llm import near_dup
 from tidewindow.llm.components import components
 from tidewindow.llm.exact_dedup import CuckooIndex, exact_dedup
-from tidewindow.llm.near_dup import _across, near_duplicates, shingle_sets, signatures
+from tidewindow.llm.near_dup import _Chunk, near_duplicates, shingle_sets, signatures
 
 DOCS = "doc_id bigint, text string, keep_id string, component_id string, id string, n string"
 
@@ -79,6 +80,7 @@ def shingles(text):
 
 
 def brute(rows):
+    """The component of each id, by a loop over all pairs of ids."""
     sets = {}
     for i, t in rows:
         sets.setdefault(i, []).append(shingles(t))
@@ -110,29 +112,50 @@ def test_near(spark):
 
 
 def test_near_odd_rows(spark):
-    got = near_duplicates(frame(spark, [(None, "a b c d e f"), (4, "a b c d e f"), (4, "x y z"), (2, "x y z")])).collect()
-    assert sorted((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in got) == [(0, 4, False), (2, 2, True), (4, 2, False), (4, 2, False)] or len(got) == 4
+    rows = [(None, "a b c d e f"), (4, "a b c d e f"), (4, "x y z"), (2, "x y z"), (9, "a b c d e f"), (4, "q"), (4, "q"), (4, None), (7, "q"), (None, None)]
+    got = near_duplicates(frame(spark, rows)).collect()
+    want = [(i, len(shingles(t)), None if i is None else 2, i in (None, 2)) for i, t in rows if t is not None]
+    want += [(4, 0, 4, True), (None, 0, None, True)]  # without words a row is linked with nothing
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
     assert near_duplicates(frame(spark, [])).count() == 0
 
 
-def test_blocks_are_compared_whole():
-    """Requests across blocks and inside them, against a loop over all pairs of a bucket."""
-    import pyarrow as pa
-
-    sets = [shingle_sets([" ".join(f"w{i + j}" for j in range(100))])[0] for i in range(0, 60, 3)]
-    packed, _ = signatures(sets)
-    n = len(sets)
+def test_near_hot_group(spark, monkeypatch):
+    """Hundreds of edits of one text, about the threshold, in one bucket: several rounds of few leaders lose no link."""
+    for name, value in (("LEADERS", 3), ("MOST", 40), ("CHUNK", 16), ("HELD", 4000)):
+        monkeypatch.setattr(near_dup, name, value)
+    r = random.Random(5)
+    base = [f"w{r.randrange(400)}" for _ in range(140)]
     rows = []
-    for i in range(n):
-        for other in range(2):
-            rows.append((1, min(i % 2, other), max(i % 2, other), i % 2, i, i, 1, len(sets[i]), *packed[i].tolist(), 0))
-    rows.sort(key=lambda x: x[:3])
-    names = ["bk", "ci", "cj", "chunk", "id", "c", "size", "n", "s0", "s1", "s2", "s3", "block"]
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), *[pa.int64()] * 9]
-    table = pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-    got = set()
-    for b in _across(iter(table.to_batches(max_chunksize=7))):
-        got |= {tuple(sorted((x, c))) for x, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}
+    for k in range(260):
+        words = list(base)
+        for _ in range(r.choice((2, 3, 4, 5, 6, 7))):
+            at = r.randrange(len(words))
+            words[at : at + r.choice((0, 1, 1))] = [f"v{r.randrange(30)}"]
+        rows.append((k, " ".join(words)))
+    got = {x["doc_id"]: x["component_id"] for x in near_duplicates(frame(spark, rows)).collect()}
+    want = brute(rows)
+    assert got == want and 20 < len(set(want.values())) < 200
+
+
+def test_chunk_of_leaders_reports_joins_only():
+    """A chunk against a loop over all pairs: the same components from no more links than joins."""
+    texts = [" ".join(f"w{i + j}" for j in range(100)) for i in range(0, 60, 3)]
+    sets = shingle_sets(texts)
+    packed = signatures(sets)[0].view(np.uint64)
+    c, n = np.arange(len(sets)), np.array([len(s) for s in sets])
+    held = _Chunk()
+    for part in (slice(0, 7), slice(7, 12)):
+        held.lead(c[part], n[part], packed[part], texts[part])
+    links = [x for part in (slice(0, 5), slice(5, 20)) for x in held.links(c[part], n[part], packed[part], texts[part])]
     jaccard = lambda a, b: len(np.intersect1d(a, b)) / len(np.union1d(a, b))
-    assert {(i, j) for i in range(n) for j in range(i + 1, n) if jaccard(sets[i], sets[j]) >= 0.75} <= got
-    assert all(jaccard(sets[i], sets[j]) > 0.2 for i, j in got)
+    root = list(range(len(sets)))
+    for i in range(12):
+        for j in range(len(sets)):
+            if jaccard(sets[i], sets[j]) >= 0.75:
+                root = [min(root[i], root[j]) if v in (root[i], root[j]) else v for v in root]
+    mine = list(range(len(sets)))
+    for i, j in links:
+        assert mine[i] != mine[j]
+        mine = [min(mine[i], mine[j]) if v in (mine[i], mine[j]) else v for v in mine]
+    assert mine == root

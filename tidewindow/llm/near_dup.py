@@ -6,15 +6,21 @@ planes, give an estimate of the similarity from bit counts, corrected for chance
 A pair at the threshold of 0.75 shares none of the 32 bands with a chance of 5e-6, and
 falls below the cut on the estimate with one of 3e-7. What passes is confirmed on full sets.
 
-No bucket is expanded into its pairs. Equal sets become one class first. In each bucket
-every class is compared with the bucket's smallest one, and components are formed. Then
-only buckets with several components left are compared further: signatures in blocks of a
-bounded number of rows, and of the classes that pass, full sets against blocks of the
-other component's members, which yields one link a request at most.
+No bucket is expanded into its pairs. Equal sets become one class first. In the first round
+every class is compared with one class of each bucket, its leader, and components are
+formed. Later rounds look only at buckets with several components left: some rows outside a
+bucket's largest component lead, all its rows are compared with them in chunks of bounded
+size, a link that joins two components is all a chunk reports, and leaders then leave the
+bucket. A round reads and ships each row of an open bucket once, and the leaders of a bucket
+once a chunk. Leaders double from round to round up to MOST, so a bucket with k rows outside
+its largest component is done after about log2(k / LEADERS) rounds, and beyond MOST leaders
+after k / MOST of them: the worst case is a bucket of many rows that share a band and are
+not linked, which costs as many rounds, each linear in its rows.
 
 Defined results: a null or empty text, or one without words, has no shingles and is linked
-with nothing; rows that repeat an id are one node; a row without an id is linked with
-nothing and stays; an empty table gives no rows; other columns are ignored.
+with nothing; rows that repeat an id are one node, which has the links of all its texts; a
+row without an id is linked with nothing, has no component and stays; an empty table gives
+no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,8 +39,10 @@ WORDS, MINIMA, ROWS = 5, 128, 4
 BANDS = MINIMA // ROWS
 #: Least estimate that is confirmed: five standard errors below the threshold.
 CUT = 0.52
-#: Rows of a block of signatures, and members of a block of sets, on average.
-BLOCK, MEMBERS = 2000, 256
+#: Leaders of a bucket in the second round and at most, and rows of a chunk, on average.
+LEADERS, MOST, CHUNK = 128, 512, 512
+#: Shingles of a bucket's leaders in one round, on average: they are held in memory.
+HELD = 2_000_000
 #: Characters of text that are hashed at once, but for longer texts.
 BYTES = 250_000
 
@@ -131,7 +139,7 @@ _SIG = ["s0", "s1", "s2", "s3"]
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        ids, all_texts = b.column(0), b.column(1).to_pylist()
+        ids, hashes, all_texts = b.column(0), b.column(1), b.column(2).to_pylist()
         for part in blocks_of(all_texts):
             sets = shingle_sets(all_texts[part])
             size = np.array([len(s) for s in sets], np.int64)
@@ -148,8 +156,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 packed[some], keys[some] = signatures(full)
             offsets = pa.array(np.concatenate([[0], np.cumsum(np.where(size > 0, BANDS, 0))]), pa.int32())
             bands = pa.ListArray.from_arrays(offsets, pa.array(keys[some].ravel()))
-            columns = [ids.slice(part.start, part.stop - part.start), pa.array(size), *(pa.array(prints[:, k]) for k in range(2)), *(pa.array(packed[:, k]) for k in range(4)), bands]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "f0", "f1", *_SIG, "bands"])
+            columns = [ids[part.start : part.stop], hashes[part.start : part.stop], pa.array(size), *(pa.array(prints[:, k]) for k in range(2)), *(pa.array(packed[:, k]) for k in range(4)), bands]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "th", "n", "f0", "f1", *_SIG, "bands"])
 
 
 def _similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -169,151 +177,177 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in ok], pa.int64()), pa.array([b[k] for k in ok], pa.int64())], ["a", "b"])
 
 
-def _runs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Table]:
-    """Batches cut anew so that rows which agree in the first ``width`` columns stay together."""
-    held: list[pa.RecordBatch] = []
-    for b in batches:
-        if not b.num_rows:
-            continue
-        keys = np.stack([b.column(k).to_numpy() for k in range(width)])
-        if held:
-            tail = [held[-1].column(k)[held[-1].num_rows - 1].as_py() for k in range(width)]
-            same = (keys == np.array(tail)[:, None]).all(axis=0)
-            cut = len(same) if same.all() else int(np.argmin(same))
-            if cut < b.num_rows:
-                if cut:
-                    held.append(b.slice(0, cut))
-                yield pa.Table.from_batches(held)
-                held, b, keys = [], b.slice(cut), keys[:, cut:]
-            else:
-                held.append(b)
-                continue
-        last = keys[:, -1:]
-        same = (keys == last).all(axis=0)
-        start = b.num_rows - int(np.argmin(same[::-1])) if not same.all() else 0
-        if start:
-            yield pa.Table.from_batches([b.slice(0, start)])
-        held = [b.slice(start)]
-    if held:
-        yield pa.Table.from_batches(held)
-
+class _Chunk:
+    """Leaders of a bucket, and the rows of one of its chunks that are held against them."""
+
+    def __init__(self):
+        self.c, self.n, self.sig, self.texts = [], [], [], []
+        self.root: dict[int, int] = {}
+        self.keys = None
+
+    def find(self, c: int) -> int:
+        while (up := self.root.get(c, c)) != c:
+            c = up
+        return c
+
+    def lead(self, c: np.ndarray, n: np.ndarray, sig: np.ndarray, texts: list[str]) -> None:
+        self.c.append(c)
+        self.n.append(n)
+        self.sig.append(sig)
+        self.texts += texts
+
+    def _index(self) -> None:
+        """The leaders' shingles in order, and whose they are."""
+        sets = [s for part in blocks_of(self.texts) for s in shingle_sets(self.texts[part])]
+        flat = np.concatenate(sets)
+        order = np.argsort(flat, kind="stable")
+        self.keys, self.owner = flat[order], np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])[order]
+        self.texts = []
+
+    def links(self, c: np.ndarray, n: np.ndarray, sig: np.ndarray, texts: list[str]) -> list[tuple[int, int]]:
+        """Pairs of components that a row and a leader link, each two once."""
+        if not self.c:
+            return []
+        lc, ln, ls = np.concatenate(self.c), np.concatenate(self.n), np.concatenate(self.sig)
+        # bit counts of unsigned words: that of a negative number would be that of its absolute value
+        differ = sum(np.bitwise_count((sig[:, None, k] ^ ls[None, :, k]) | (sig[:, None, k + 2] ^ ls[None, :, k + 2])).astype(np.int16) for k in (0, 1))
+        ok = (c[:, None] != lc) & (100 * np.minimum(n[:, None], ln) >= 75 * np.maximum(n[:, None], ln)) & (estimate(differ) >= CUT)
+        rows = np.flatnonzero(ok.any(axis=1)).tolist()
+        out = []
+        for part in blocks_of([texts[i] for i in rows]):
+            some = rows[part]
+            for i, own in zip(some, shingle_sets([texts[i] for i in some]), strict=True):
+                mine = self.find(int(c[i]))
+                if all(self.find(int(x)) == mine for x in np.unique(lc[ok[i]])):
+                    continue
+                if self.keys is None:
+                    self._index()
+                lo, hi = np.searchsorted(self.keys, own, "left"), np.searchsorted(self.keys, own, "right")
+                take = np.repeat(lo - np.r_[0, np.cumsum(hi - lo)[:-1]], hi - lo) + np.arange(int((hi - lo).sum()))
+                both = np.bincount(self.owner[take], minlength=len(ln))
+                for other in np.unique(lc[ok[i] & (100 * both >= 75 * (ln + len(own) - both))]).tolist():
+                    x, y = self.find(int(c[i])), self.find(other)
+                    if x != y:
+                        self.root[max(x, y)] = min(x, y)
+                        out.append((int(c[i]), other))
+        return out
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (bk, ci, cj, chunk, id, c, size, n, s0..s3, block) by bucket to requests (x, c, block).
 
-    Compares each two rows of a bucket's block whose components differ and keeps those
-    that the estimate passes: the row of the smaller component asks for the other's block.
-    """
-    for t in _runs(batches, 3):
-        bk, ci, cj, chunk, ids, c, size, n, *sig, block = (t.column(k).to_numpy() for k in range(13))
-        sig = [x.view(np.uint64) for x in sig]  # the bit count of a negative number is that of its absolute value
-        group = np.cumsum(np.r_[True, (bk[1:] != bk[:-1]) | (ci[1:] != ci[:-1]) | (cj[1:] != cj[:-1])])
-        mixed = ci != cj
-        asks = []
-        for d in range(1, len(ids)):
-            i = np.flatnonzero(group[:-d] == group[d:])
-            if not len(i):
-                break
-            j = i + d
-            ok = (c[i] != c[j]) & (100 * np.minimum(n[i], n[j]) >= 75 * np.maximum(n[i], n[j])) & (~mixed[i] | (chunk[i] != chunk[j]))
-            i, j = i[ok], j[ok]
-            differ = sum(np.bitwise_count((sig[k][i] ^ sig[k][j]) | (sig[k + 2][i] ^ sig[k + 2][j])).astype(np.int64) for k in (0, 1))
-            ok = estimate(differ) >= CUT
-            i, j = i[ok], j[ok]
-            swap = (size[i] > size[j]) | ((size[i] == size[j]) & (c[i] > c[j]))
-            i, j = np.where(swap, j, i), np.where(swap, i, j)
-            asks.append(np.stack([ids[i], c[j], block[j]]))
-        if asks:
-            x = np.unique(np.concatenate(asks, axis=1), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(x[k]) for k in range(3)], ["x", "c", "block"])
-
-
-def _against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (c, block, asks, id, text), a block's members first, to one link a request at most."""
-    at, keys, owner, size, members = None, None, None, None, []
-    held: list[tuple[int, str]] = []
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (bk, chunk, leads, c, n, s0..s3, t), each chunk's leaders first, to links (a, b) between components."""
+    at, held = None, _Chunk()
     for batch in batches:
-        a, b = [], []
-        for c, block, asks, i, text in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-            if (c, block) != at:
-                at, held, keys = (c, block), [], None
-            if not asks:
-                held.append((i, text))
+        bk, chunk, leads, c, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
+        sig = np.stack([batch.column(k).to_numpy() for k in range(5, 9)], axis=1).view(np.uint64)
+        links: list[tuple[int, int]] = []
+        turns = np.flatnonzero((bk[1:] != bk[:-1]) | (chunk[1:] != chunk[:-1]) | (leads[1:] != leads[:-1])) + 1
+        for lo, hi in zip([0, *turns.tolist()], [*turns.tolist(), len(bk)], strict=True):
+            if lo == hi:
                 continue
-            if keys is None:
-                members = [m for m, _ in held]
-                sets = [s for part in blocks_of([t for _, t in held]) for s in shingle_sets([t for _, t in held][part])]
-                size = np.array([len(s) for s in sets], np.int64)
-                flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-                order = np.argsort(flat, kind="stable")
-                keys, owner = flat[order], np.repeat(np.arange(len(sets)), size)[order]
-            own = shingle_sets([text])[0]
-            lo, hi = np.searchsorted(keys, own, "left"), np.searchsorted(keys, own, "right")
-            take = np.repeat(lo - np.r_[0, np.cumsum(hi - lo)[:-1]], hi - lo) + np.arange(int((hi - lo).sum()))
-            both = np.bincount(owner[take], minlength=len(members))
-            linked = np.flatnonzero(100 * both >= 75 * (size + len(own) - both))
-            if len(linked):
-                a.append(i)
-                b.append(members[linked[0]])
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            if (bk[lo], chunk[lo]) != at:
+                at, held = (bk[lo], chunk[lo]), _Chunk()
+            some = c[lo:hi], n[lo:hi], sig[lo:hi], batch.column(9)[lo:hi].to_pylist()
+            if leads[lo]:
+                held.lead(*some)
+            else:
+                links += held.links(*some)
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
+def _texts_of(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node, t`` for nodes (node, id, th); an id and a hash tell which text is meant where rows repeat an id."""
+    return written(texts.join(nodes, ["id", "th"]).groupBy("node").agg(F.first("t").alias("t")), "texts")
 
 
 def _first_round(multi: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links of classes with the smallest class of a bucket they are in."""
-    sig = reps.select("id", "n", *_SIG)
-    pairs = multi.filter("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
+    """Links of classes with the leader of a bucket they are in."""
+    sig = reps.select("node", "n", *_SIG)
+    pairs = multi.filter("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
     for side in "ab":
-        pairs = pairs.join(sig.select(F.col("id").alias(side), *(F.col(k).alias(f"{k}{side}") for k in ("n", *_SIG))), side)
+        pairs = pairs.join(sig.select(F.col("node").alias(side), *(F.col(k).alias(f"{k}{side}") for k in ("n", *_SIG))), side)
     differ = sum((F.bit_count(F.col(f"s{k}a").bitwiseXOR(F.col(f"s{k}b")).bitwiseOR(F.col(f"s{k + 2}a").bitwiseXOR(F.col(f"s{k + 2}b")))) for k in (0, 1)), F.lit(0))
     pairs = pairs.filter(100 * F.least("na", "nb") >= 75 * F.greatest("na", "nb")).filter(estimate(differ) >= CUT)
     pairs = written(pairs.select("a", "b"), "pairs")
-    need = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    some = written(texts.join(need, "id", "left_semi"), "texts")
+    need = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    some = _texts_of(texts, reps.select("node", "id", "th").join(need, "node", "left_semi"))
     for side in "ab":
-        pairs = pairs.join(some.select(F.col("id").alias(side), F.col("t").alias(f"t{side}")), side)
+        pairs = pairs.join(some.select(F.col("node").alias(side), F.col("t").alias(f"t{side}")), side)
     return pairs.select("a", "b", "ta", "tb").mapInArrow(lambda b: released(_confirm(b)), "a bigint, b bigint")
 
 
-def _second_round(multi: DataFrame, reps: DataFrame, texts: DataFrame, found: DataFrame) -> DataFrame:
-    """Links between components that still meet in a bucket."""
-    rows = multi.filter("id <> lead").select("bk", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select("bk", "id", F.coalesce("root", "id").alias("c"))
-    open_ = rows.groupBy("bk").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m")).filter("lo <> hi")
-    sizes = found.groupBy("root").agg((F.count("*") + 1).alias("size"))
-    n_blocks = F.ceil(F.coalesce("size", F.lit(1)) / MEMBERS)
-    rows = rows.join(open_.select("bk", F.ceil(F.col("m") / BLOCK).cast("int").alias("chunks")), "bk")
-    rows = rows.join(sizes, rows["c"] == sizes["root"], "left").join(reps.select("id", "n", *_SIG), "id")
-    block_of = F.pmod(F.xxhash64("id", F.lit(5)), n_blocks).cast("bigint")
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(3)), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    rows = rows.select("bk", F.least("chunk", "other").alias("ci"), F.greatest("chunk", "other").alias("cj"), "chunk", "id", "c", F.coalesce("size", F.lit(1)).alias("size"), "n", *_SIG, block_of.alias("block"))
-    asks = rows.repartition("bk", "ci", "cj").sortWithinPartitions("bk", "ci", "cj").mapInArrow(lambda b: released(_across(b)), "x bigint, c bigint, block bigint")
-    asks = written(asks.distinct(), "asks")
-    blocks = asks.select("c", "block").distinct()
-    nodes = reps.select("id").join(found.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("c"))
-    nodes = nodes.join(blocks.select("c").distinct(), "c", "left_semi").join(sizes, nodes["c"] == sizes["root"], "left")
-    members = nodes.select("c", block_of.alias("block"), "id").join(blocks, ["c", "block"], "left_semi")
-    both = members.select("c", "block", F.lit(False).alias("asks"), "id").unionByName(asks.select("c", "block", F.lit(True).alias("asks"), F.col("x").alias("id")))
-    both = written(both, "blocks")
-    some = written(texts.join(both.select("id").distinct(), "id", "left_semi"), "texts")
-    both = both.join(some, "id").select("c", "block", "asks", "id", "t")
-    return both.repartition("c", "block").sortWithinPartitions("c", "block", "asks").mapInArrow(lambda b: released(_against(b)), "a bigint, b bigint")
+def _open(rows: DataFrame, leaders: int, turn: int) -> DataFrame:
+    """The rows (bk, node, c, n) of buckets with several components, with ``chunks`` and whether a row ``leads``.
+
+    Of a bucket's k rows outside its largest component ``leaders`` are expected to lead, fewer
+    where they have many shingles. They are drawn by a hash of their own each turn.
+    """
+    parts = rows.groupBy("bk", "c").agg(F.count("*").alias("m"), F.sum("n").alias("w"))
+    open_ = parts.groupBy("bk").agg(F.count("*").alias("parts"), F.sum("m").alias("m"), F.sum("w").alias("w"), F.max(F.struct("m", "w", "c")).alias("top")).filter("parts > 1")
+    share = F.least(leaders / (F.col("m") - F.col("top.m")), HELD / (F.col("w") - F.col("top.w")))
+    open_ = open_.select("bk", F.col("top.c").alias("top"), share.alias("share"), F.ceil(F.col("m") / CHUNK).alias("chunks"))
+    drawn = F.shiftrightunsigned(F.xxhash64("bk", "node", F.lit(turn)), 11) / F.lit(float(1 << 53))
+    return rows.join(open_, "bk").select("bk", "node", "c", "n", "chunks", ((F.col("c") != F.col("top")) & (drawn < F.col("share"))).alias("leads"))
+
+
+def _later_rounds(multi: DataFrame, reps: DataFrame, texts: DataFrame, found: DataFrame) -> DataFrame:
+    """``found`` (node, root) with the components joined that still meet in a bucket and are linked."""
+    rows = multi.filter("node <> lead").select("bk", "node").join(found, "node", "left").select("bk", "node", F.coalesce("root", "node").alias("c"))
+    rows = rows.join(reps.select("node", "n"), "node")
+    some, leaders, turn = None, LEADERS, 0
+    while True:
+        rows = written(_open(rows, leaders, turn), "open")
+        if rows.isEmpty():
+            return found
+        nodes = rows.select("node").distinct()
+        if some is None:
+            kept = reps.select("node", "id", "th", *_SIG).join(nodes, "node", "left_semi")
+            some = written(_texts_of(texts, kept.select("node", "id", "th")).join(kept.select("node", *_SIG), "node"), "texts")
+        chunk = F.pmod(F.xxhash64("node", F.lit(3)), F.col("chunks"))
+        told = rows.select("bk", F.explode(F.when(F.col("leads"), F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1))).alias("chunk"), F.lit(True).alias("leads"), "node", "c", "n")
+        told = told.unionByName(rows.select("bk", chunk.alias("chunk"), F.lit(False).alias("leads"), "node", "c", "n"))
+        told = told.join(some, "node").select("bk", "chunk", "leads", "c", "n", *_SIG, "t")
+        links = told.repartition("bk", "chunk").sortWithinPartitions("bk", "chunk", F.desc("leads")).mapInArrow(lambda b: released(_joined(b)), "a bigint, b bigint")
+        joined = components(links)
+        rows = rows.filter("not leads").select("bk", "node", "c", "n")
+        if not joined.isEmpty():
+            joined = joined.select(F.col("node").alias("c"), F.col("root").alias("into"))
+            rows = rows.join(joined, "c", "left").select("bk", "node", F.coalesce("into", "c").alias("c"), "n")
+            found = found.withColumnRenamed("root", "c").join(joined, "c", "left").select("node", F.coalesce("into", "c").alias("root")).unionByName(joined.select(F.col("c").alias("node"), F.col("into").alias("root")))
+            found = written(found, "found")
+        leaders, turn = min(2 * leaders, MOST), turn + 1
+
+
+def _of_one_id(signed: DataFrame, reps: DataFrame) -> DataFrame | None:
+    """Links between classes that rows of one id are in; None if each id has one class."""
+    print_ = F.struct("f0", "f1", "n")
+    some = signed.groupBy("id").agg(F.min(print_).alias("lo"), F.max(print_).alias("hi")).filter("lo <> hi").select("id")
+    some = written(some, "repeated")
+    if some.isEmpty():
+        return None
+    classes = signed.select("id", "f0", "f1", "n").join(some, "id").join(reps.select("f0", "f1", "n", "node"), ["f0", "f1", "n"])
+    least = classes.groupBy("id").agg(F.min("node").alias("least"))
+    return classes.join(least, "id").select(F.col("node").alias("a"), F.col("least").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``key, n_shingles, component_id, kept`` of every row."""
     small_batches(docs.sparkSession)
-    texts = docs.select(F.col(key).cast("long").alias("id"), text_or_empty(text).alias("t"))
-    schema = "id bigint, n bigint, f0 bigint, f1 bigint, " + "".join(f"{s} bigint, " for s in _SIG) + "bands array<bigint>"
-    signed = written(texts.mapInArrow(lambda b: released(_sign(b)), schema), "signatures")
-    classes = signed.filter("n > 0 and id is not null").groupBy("f0", "f1", "n").agg(F.min(F.struct("id", *_SIG, "bands")).alias("r"))
-    reps = written(classes.select("f0", "f1", "n", "r.*"), "classes")
-    rows = reps.select("id", F.explode("bands").alias("bk"))
-    buckets = rows.groupBy("bk").agg(F.count("*").alias("m"), F.min("id").alias("lead")).filter("m > 1")
+    texts = docs.select(F.col(key).cast("long").alias("id"), text_or_empty(text).alias("t")).select("id", F.xxhash64("t").alias("th"), "t")
+    schema = "id bigint, th bigint, n bigint, f0 bigint, f1 bigint, " + "".join(f"{s} bigint, " for s in _SIG) + "bands array<bigint>"
+    signed = written(texts.mapInArrow(lambda b: released(_sign(b)), schema).withColumn("node", F.monotonically_increasing_id()), "signatures")
+    linkable = signed.filter("n > 0 and id is not null")
+    classes = linkable.groupBy("f0", "f1", "n").agg(F.min("id").alias("least"), F.min(F.struct("node", "id", "th", *_SIG, "bands")).alias("r"))
+    reps = written(classes.select("f0", "f1", "n", "least", "r.*"), "classes")
+    rows = reps.select("node", F.explode("bands").alias("bk"))
+    buckets = rows.groupBy("bk").agg(F.count("*").alias("m"), F.min("node").alias("lead")).filter("m > 1")
     multi = written(rows.join(buckets.select("bk", "lead"), "bk"), "buckets")
-    first = _first_round(multi, reps, texts)
-    found = components(first)
-    second = _second_round(multi, reps, texts, found)
-    found = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(second))
-    member = signed.select("id", "n", "f0", "f1").join(reps.select(F.col("id").alias("rep"), "f0", "f1", "n"), ["f0", "f1", "n"], "left")
-    out = member.join(found, member["rep"] == found["node"], "left")
-    component = F.when(F.col("n") > 0, F.coalesce("root", "rep", "id")).otherwise(F.col("id"))
+    edges, same = _first_round(multi, reps, texts), _of_one_id(linkable, reps)
+    found = components(edges if same is None else edges.unionByName(same))
+    found = _later_rounds(multi, reps, texts, found)
+    members = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
+    lowest = members.join(reps.select("node", "least"), "node").groupBy("root").agg(F.min("least").alias("lowest"))
+    of_class = reps.select("f0", "f1", "n", "least", "node").join(members.join(lowest, "root").select("node", "lowest"), "node", "left")
+    of_class = of_class.select("f0", "f1", "n", F.coalesce("lowest", "least").alias("component"))
+    out = signed.select("id", "n", "f0", "f1").join(of_class, ["f0", "f1", "n"], "left")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
