@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidewindow.llm import mixing, pii, quality_gam, quality_rules, toxicity
+from tidewindow.llm import label_model, mixing, pii, quality_gam, quality_rules, toxicity
 
 DOCS = "doc_id bigint, text string, lang string, source string, score double, kept string, topic string"
 KINDS = (
@@ -89,6 +89,64 @@ def test_rules(spark):
     assert quality_rules.quality_rules(frame(spark, [])).count() == 0
 
 
+def slow_fence(values, upper=True):
+    """The fence from exact quantiles; a quantile is the least value whose share of values up to it reaches the rank."""
+    ordered = sorted(values)
+    q = lambda p: ordered[max(0, int(np.ceil(p * len(ordered) - 1e-9)) - 1)]
+    inner, edge = (q(0.25), q(0.75)) if upper else (q(0.75), q(0.25))
+    if inner != edge:
+        return edge + quality_rules.FENCE * (edge - inner)
+    beyond = [v for v in (q(k / quality_rules.STEPS) for k in range(quality_rules.STEPS + 1)) if (v > edge if upper else v < edge)]
+    return (edge + (beyond[(len(beyond) - 1) // 2] if beyond else edge)) / 2
+
+
+def test_thresholds_follow_each_group(spark):
+    r = random.Random(12)
+    rows = []
+    for k in range(700):
+        lang, source = r.choice([("en", "a"), ("en", "b"), ("en", None), (None, "a"), ("de", "b"), ("de", "rare")] if k else [("fr", "one")])
+        symbols = r.random() < (0.4 if source == "b" else 0.02)
+        rows.append((k, 30, lang, source, r.random() * 0.3 if symbols else 0.0, float(r.random() < 0.1), r.gauss(0.1, 0.02), 0.0, r.gauss(5 if lang == "en" else 7, 0.4)))
+    rows.append((700, 0, "en", "a", 9.0, 9.0, 9.0, 9.0, 9.0))  # without words: no part of any distribution
+    schema = "id bigint, n_words bigint, lang string, source string, " + ", ".join(f"{m} double" for m in quality_rules.UPPER)
+    got = {(x["lang_"], x["source_"]): x for x in quality_rules.thresholds(spark.createDataFrame(rows, schema).repartition(3)).collect()}
+    rows = rows[:-1]
+    assert set(got) == {x[2:4] for x in rows} and len(got) == 7
+    sides = [(f"{m}_most", 4 + k, True) for k, m in enumerate(quality_rules.UPPER)] + [("mean_word_least", 8, False)]
+    drawn = lambda xs, wider, c, up: (len(xs) * slow_fence([x[c] for x in xs], up) + quality_rules.SHARED * wider) / (len(xs) + quality_rules.SHARED)
+    for (lang, source), t in got.items():
+        for name, c, up in sides:
+            of_lang = drawn([x for x in rows if x[2] == lang], slow_fence([x[c] for x in rows], up), c, up)
+            want = drawn([x for x in rows if x[2:4] == (lang, source)], of_lang, c, up)
+            assert abs(t[name] - want) < 1e-9, (lang, source, name)
+    assert len({round(t["symbol_share_most"], 6) for t in got.values()}) == 7 and got["en", "b"]["symbol_share_most"] > got["en", "a"]["symbol_share_most"]
+
+
+def test_verdicts_are_beyond_a_threshold(spark):
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(3, 7)))
+    rows = []
+    for k in range(400):
+        words = [word() for _ in range(r.randint(30, 90))]
+        if k % 40 == 0:
+            words = [w + "##%" for w in words]
+        if k % 40 == 1:
+            words = [w.upper() for w in words]
+        if k % 40 == 2:
+            words = [w * 4 for w in words]
+        if k % 40 == 3:
+            words = [w[:1] for w in words]
+        rows.append((k, " ".join(words), r.choice(("en", "de")), r.choice(("s", "t", None))))
+    rows += [rows[5], (None, rows[6][1], "en", "s"), (3, None, "en", "s"), (7, "x" * 300_000, "en", "s")]
+    got = quality_rules.quality_rules(frame(spark, rows)).collect()
+    assert len(got) == len(rows)
+    junk = {0: "symbol_share", 1: "upper_share", 2: "mean_word", 3: "low_mean_word"}
+    for x in (x for x in got if x["doc_id"] is not None and x["n_words"] >= 30):
+        why = junk.get(x["doc_id"] % 40)
+        assert x["kept"] == (why is None) and (why is None or why in x["over"]), x
+    assert sum(x["doc_id"] == 5 for x in got) == 2 and all(x["kept"] for x in got if x["doc_id"] in (5, None))
+
+
 def labelled(spark, toxic_words, n=600):
     r = random.Random(9)
     vocabulary = ["".join(r.choice("bcdfglmnprst") + r.choice("aeiou") for _ in range(r.randint(1, 3))) for _ in range(400)]
@@ -117,20 +175,84 @@ def test_toxicity(spark):
     got = toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, labels)).collect()
     assert len(got) == 603 and all(0 <= r["score"] <= 1 for r in got)
     assert held_out_accuracy(got, labels, "toxic") > 0.95
+    assert len({r["score"] for r in got if r["doc_id"] == 0}) == 1  # repeated rows, ties in every count
     model = toxicity.fit_toxicity(docs, labels.filter("false"))
-    assert model.score(["you idiot", "", "fine"]).round().tolist() == [0.0, 0.0, 0.0] or model.score(["you idiot moron"])[0] > 0.5
+    assert model.voters.terms == frozenset()
+    assert (model.score(["you idiot", "You IDIOT!!", "", "fine", "x" * 200_000]) >= 0.5).tolist() == [True, True, False, False, False]
+    odd = frame(spark, [(None, "you idiot", None, None), (None, None, None, None), (5, "fine " * 50_000 + "scum", "en", "s"), (5, "fine", "en", "s")])
+    assert sorted((r["doc_id"] or 0, r["predicted"]) for r in toxicity.score_toxicity(odd, model).collect()) == [(0, 0), (0, 1), (5, 0), (5, 1)]
+    assert sorted(r["doc_id"] or 0 for r in toxicity.without_toxic(odd, model).collect()) == [0, 5]
     assert toxicity.without_toxic(docs, model).count() == 603 and toxicity.score_toxicity(docs.filter("false"), model).count() == 0
+    assert toxicity.fit_toxicity(docs.filter("false"), labels).voters.terms == frozenset()
 
 
-def test_label_model():
+def test_labels_pick_voters_and_no_more(spark):
+    """Rows with wrong labels get the class that their votes tell; labels of the held-out fold change nothing."""
+    docs, labels = labelled(spark, ["vexqua", "zorblim", "hackwitz"])
+    flip = F.col("doc_id") % 30 == 7  # not toxic, labelled so
+    wrong = labels.withColumn("toxic", F.when(flip, 1).otherwise(F.col("toxic")))
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, wrong)).collect()}
+    assert all(got[k] == 0 for k in range(7, 600, 30)) and sum(got[k] for k in range(0, 600, 6)) >= 97
+    unseen = labels.withColumn("toxic", F.when(toxicity.held_out("doc_id"), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    a, b = (toxicity.fit_toxicity(docs, x) for x in (labels, unseen))
+    assert a.voters.terms == b.voters.terms and np.allclose(a.weights, b.weights, atol=1e-6)
+
+
+def slow_label_model(rows, start, rounds, weighed):
+    """Expectation maximisation with loops over rows, voters and pairs of voters."""
+    prior, a, b, m = start.prior, start.on1.tolist(), start.on0.tolist(), len(start.on1)
+    w = [1.0] * m
+    for k in range(rounds):
+        post = []
+        for v in rows:
+            margin = np.log(prior / (1 - prior))
+            for j in range(m):
+                margin += w[j] * (np.log(a[j] / b[j]) if v[j] else np.log((1 - a[j]) / (1 - b[j])))
+            post.append(1 / (1 + np.exp(-margin)))
+        n1 = sum(post)
+        n0 = len(rows) - n1
+        prior = (n1 + 1) / (n1 + n0 + 2)
+        a = [(sum(r for r, v in zip(post, rows) if v[j]) + 0.5) / (n1 + 1) for j in range(m)]
+        b = [(sum(1 - r for r, v in zip(post, rows) if v[j]) + 0.5) / (n0 + 1) for j in range(m)]
+        if k in weighed:
+            rest = [[v[j] - r * a[j] - (1 - r) * b[j] for j in range(m)] for r, v in zip(post, rows)]
+            cross = lambda i, j: sum(x[i] * x[j] for x in rest)  # noqa: E731,B023
+            tied = [[1.0 if i == j else cross(i, j) / np.sqrt(cross(i, i) * cross(j, j)) for j in range(m)] for i in range(m)]
+            w = [1 / sum(t for t in line if t > label_model.TIED) for line in tied]
+    return prior, a, b, w
+
+
+def test_label_model_against_loops(spark, monkeypatch):
+    r = np.random.default_rng(2)
+    y = r.random(250) < 0.3
+    vote = lambda hit, false: np.where(y, r.random(250) < hit, r.random(250) < false).astype(int)
+    one = vote(0.8, 0.1)
+    rows = np.c_[one, np.where(r.random(250) < 0.95, one, 1 - one), vote(0.8, 0.1), vote(0.75, 0.1), vote(0.8, 0.05), vote(0.5, 0.4)].tolist()
+    start = label_model.LabelModel.from_counts(60.0, 190.0, np.array([40.0, 40, 40, 40, 40, 30]), np.array([30.0, 30, 30, 30, 30, 60]))
+    count = Counter(tuple(j for j in range(6) if v[j]) for v in rows)
+    table = spark.createDataFrame([(list(k), n) for k, n in count.items()], "fired array<int>, n bigint").repartition(3)
+    monkeypatch.setattr(label_model, "ROUNDS", 9)
+    got = label_model.fit_label_model(table, start)
+    prior, a, b, w = slow_label_model(rows, start, 9, label_model.WEIGHED)
+    assert np.allclose([got.prior, *got.on1, *got.on0, *got.weight], [prior, *a, *b, *w], atol=1e-9)
+    assert max(got.weight[:2]) < 0.9 < min(got.weight[2:])
+    empty = label_model.fit_label_model(table.filter("false"), start)
+    assert empty is start
+
+
+def test_label_model_finds_rates_without_labels(spark):
     r = np.random.default_rng(4)
-    y = (r.random(3000) < 0.3).astype(float)
-    vote = lambda hit, false: np.where(y == 1, r.random(3000) < hit, r.random(3000) < false).astype(float)
+    n = 6000
+    y = r.random(n) < 0.3
+    vote = lambda hit, false: np.where(y, r.random(n) < hit, r.random(n) < false)
     one = vote(0.8, 0.05)
-    votes = np.c_[one, one, one, vote(0.6, 0.1), vote(0.5, 0.5), np.where(r.random(3000) < 0.02, 1 - y, y)]
-    m = toxicity.LabelModel(votes, 0.9 * votes[:, -1] + 0.05)
-    assert abs(m.in1[0] - 0.8) < 0.05 and abs(m.in0[3] - 0.1) < 0.05 and m.weight[0] < 0.4 < m.weight[3]
-    assert np.mean((m.posterior(votes) > 0.5) == (y == 1)) > 0.97
+    votes = np.c_[one, one, vote(0.6, 0.1), vote(0.7, 0.05), vote(0.75, 0.1), vote(0.5, 0.5)].astype(int)
+    count = Counter(tuple(np.flatnonzero(v).tolist()) for v in votes)
+    table = spark.createDataFrame([(list(k), c) for k, c in count.items()], "fired array<int>, n bigint")
+    start = label_model.LabelModel.from_counts(100.0, 100.0, np.full(6, 60.0), np.full(6, 30.0))  # says only which class is which
+    m = label_model.fit_label_model(table, start)
+    assert abs(m.on1[0] - 0.8) < 0.06 and abs(m.on0[2] - 0.1) < 0.04 and abs(m.prior - 0.3) < 0.05 and m.weight[0] < 0.7 < m.weight[2]
+    assert np.mean((m.posterior(votes) > 0.5) == y) > 0.93
 
 
 def test_quality(spark):

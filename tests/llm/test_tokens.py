@@ -75,7 +75,7 @@ def test_queries_on_odd_rows(spark):
 def test_token_files(spark):
     texts = noise(50)
     df = spark.createDataFrame([(100 - k, t, "s") for k, t in enumerate(texts)] + [(7, None, "s")], "doc_id bigint, text string, start string")
-    files = write_token_files(df, tokenizer_json("byte_bpe_50k.json"), files=3)
+    files = write_token_files(df, tokenizer_json("byte_bpe_50k.json"), partitions=3)
     got = {r["doc_id"]: r for r in read_token_files(files).collect()}
     lib, start = library("byte_bpe_50k.json"), 0
     for i, t in sorted([(100 - k, t) for k, t in enumerate(texts)] + [(7, "")]):
@@ -89,6 +89,25 @@ def test_token_files(spark):
     assert read_token_files(write_token_files(df.filter("false"), tokenizer_json("byte_bpe_50k.json"))).count() == 0
 
 
+@pytest.mark.parametrize(("sizes", "least", "most"), [({"file_frames": 4}, 10, 13), ({"file_bytes": 1}, 40, 40), ({"partitions": 1}, 1, 1)])
+def test_many_small_files_and_one_large(spark, sizes, least, most):
+    texts = [(k // 2, f"word{k} " * (k + 1), "s") for k in range(38)] + [(None, "x", "s"), (None, None, "s")]  # repeated and null ids
+    df = spark.createDataFrame(texts, "doc_id bigint, text string, start string")
+    files = write_token_files(df, tokenizer_json("byte_bpe_50k.json"), **{"partitions": 3, **sizes})
+    listed = files.collect()
+    assert least <= len(listed) <= most and sum(r["documents"] for r in listed) == 40
+    got = read_token_files(files).collect()
+    lib, start, want = library("byte_bpe_50k.json"), 0, []
+    for i, t in sorted(((i, t or "") for i, t, _ in texts), key=lambda x: (x[0] is not None, x[0] or 0, x[1])):
+        n = len(lib.encode(t, add_special_tokens=False).ids) + 1
+        want.append((i, start, n))
+        start += n
+    assert sorted((r["start"], r["doc_id"], r["n_tokens"]) for r in got) == [(s, i, n) for i, s, n in want]
+    assert sum(r["tokens"] for r in listed) == start
+    some = read_token_files(files, spark.createDataFrame([(3,), (18,), (3,), (-5,)], "doc_id bigint")).collect()
+    assert sorted(r["start"] for r in some) == [s for i, s, _ in want if i in (3, 18)]
+
+
 def test_damaged_frame(spark, tmp_path):
     from pyarrow import fs
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -49,8 +50,13 @@ def released(batches: Iterator) -> Iterator:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it; /tmp/checkpoints where it names none."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints").rstrip("/")
+    """The folder that driver and executors share, as the session names it. Where it names none, a local session has one of its own; a cluster must name one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        named = f"file://{tempfile.gettempdir()}/checkpoints-{spark.sparkContext.applicationId}"
+    return named.rstrip("/")
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

@@ -19,9 +19,10 @@ def held_out(key: str | Column) -> Column:
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, *, text: str = "text", key: str = "doc_id", most: int) -> DataFrame:
     """``id, t, y`` of at most ``most`` labelled rows outside the held-out fold, the first by a hash of the id.
+    Of labels repeated for an id the highest counts; above 0 is 1.
 
     At most ``most`` ids and labels are broadcast; the documents are not shuffled.
     """
-    chosen = labels.filter(~held_out(key) & F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("id")).agg(F.max(label).cast("int").alias("y"))
+    chosen = labels.filter(~held_out(key) & F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("id")).agg((F.max(label) > 0).cast("int").alias("y"))
     chosen = chosen.orderBy(F.xxhash64("id"), "id").limit(most)
     return docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(chosen), "id")

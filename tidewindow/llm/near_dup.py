@@ -254,12 +254,14 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
-def _texts_of(texts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``node, t`` for nodes (node, id, th); an id and a hash tell which text is meant where rows repeat an id."""
-    return written(texts.join(nodes, ["id", "th"]).groupBy("node").agg(F.first("t").alias("t")), "texts")
+def _texts_of(texts: DataFrame, nodes: DataFrame, once: bool) -> DataFrame:
+    """The rows of ``nodes`` (node, id, th and more) with the text ``t`` of each; an id and a hash tell which where rows repeat an id. ``once``: no id repeats."""
+    nodes = written(nodes, "nodes")  # a small table is joined without a shuffle of the texts
+    found = texts.join(nodes, ["id", "th"]).drop("id", "th")
+    return written(found if once else found.dropDuplicates(["node"]), "texts")
 
 
-def _first_round(multi: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
+def _first_round(multi: DataFrame, reps: DataFrame, texts: DataFrame, once: bool) -> DataFrame:
     """Links of classes with the leader of a bucket they are in."""
     sig = reps.select("node", "n", *_SIG)
     pairs = multi.filter("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
@@ -269,7 +271,7 @@ def _first_round(multi: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFra
     pairs = pairs.filter(100 * F.least("na", "nb") >= 75 * F.greatest("na", "nb")).filter(estimate(differ) >= CUT)
     pairs = written(pairs.select("a", "b"), "pairs")
     need = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    some = _texts_of(texts, reps.select("node", "id", "th").join(need, "node", "left_semi"))
+    some = _texts_of(texts, reps.select("node", "id", "th").join(need, "node", "left_semi"), once)
     for side in "ab":
         pairs = pairs.join(some.select(F.col("node").alias(side), F.col("t").alias(f"t{side}")), side)
     return pairs.select("a", "b", "ta", "tb").mapInArrow(lambda b: released(_confirm(b)), "a bigint, b bigint")
@@ -289,7 +291,7 @@ def _open(rows: DataFrame, leaders: int, turn: int) -> DataFrame:
     return rows.join(open_, "bk").select("bk", "node", "c", "n", "chunks", ((F.col("c") != F.col("top")) & (drawn < F.col("share"))).alias("leads"))
 
 
-def _later_rounds(multi: DataFrame, reps: DataFrame, texts: DataFrame, found: DataFrame) -> DataFrame:
+def _later_rounds(multi: DataFrame, reps: DataFrame, texts: DataFrame, found: DataFrame, once: bool) -> DataFrame:
     """``found`` (node, root) with the components joined that still meet in a bucket and are linked."""
     rows = multi.filter("node <> lead").select("bk", "node").join(found, "node", "left").select("bk", "node", F.coalesce("root", "node").alias("c"))
     rows = rows.join(reps.select("node", "n"), "node")
@@ -300,8 +302,7 @@ def _later_rounds(multi: DataFrame, reps: DataFrame, texts: DataFrame, found: Da
             return found
         nodes = rows.select("node").distinct()
         if some is None:
-            kept = reps.select("node", "id", "th", *_SIG).join(nodes, "node", "left_semi")
-            some = written(_texts_of(texts, kept.select("node", "id", "th")).join(kept.select("node", *_SIG), "node"), "texts")
+            some = _texts_of(texts, reps.select("node", "id", "th", *_SIG).join(nodes, "node", "left_semi"), once)
         chunk = F.pmod(F.xxhash64("node", F.lit(3)), F.col("chunks"))
         told = rows.select("bk", F.explode(F.when(F.col("leads"), F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1))).alias("chunk"), F.lit(True).alias("leads"), "node", "c", "n")
         told = told.unionByName(rows.select("bk", chunk.alias("chunk"), F.lit(False).alias("leads"), "node", "c", "n"))
@@ -317,14 +318,9 @@ def _later_rounds(multi: DataFrame, reps: DataFrame, texts: DataFrame, found: Da
         leaders, turn = min(2 * leaders, MOST), turn + 1
 
 
-def _of_one_id(signed: DataFrame, reps: DataFrame) -> DataFrame | None:
-    """Links between classes that rows of one id are in; None if each id has one class."""
-    print_ = F.struct("f0", "f1", "n")
-    some = signed.groupBy("id").agg(F.min(print_).alias("lo"), F.max(print_).alias("hi")).filter("lo <> hi").select("id")
-    some = written(some, "repeated")
-    if some.isEmpty():
-        return None
-    classes = signed.select("id", "f0", "f1", "n").join(some, "id").join(reps.select("f0", "f1", "n", "node"), ["f0", "f1", "n"])
+def _of_one_id(signed: DataFrame, reps: DataFrame, repeated: DataFrame) -> DataFrame:
+    """Links between the classes of each repeated id."""
+    classes = signed.select("id", "f0", "f1", "n").join(repeated, "id").join(reps.select("f0", "f1", "n", "node"), ["f0", "f1", "n"])
     least = classes.groupBy("id").agg(F.min("node").alias("least"))
     return classes.join(least, "id").select(F.col("node").alias("a"), F.col("least").alias("b"))
 
@@ -341,9 +337,11 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id")
     rows = reps.select("node", F.explode("bands").alias("bk"))
     buckets = rows.groupBy("bk").agg(F.count("*").alias("m"), F.min("node").alias("lead")).filter("m > 1")
     multi = written(rows.join(buckets.select("bk", "lead"), "bk"), "buckets")
-    edges, same = _first_round(multi, reps, texts), _of_one_id(linkable, reps)
-    found = components(edges if same is None else edges.unionByName(same))
-    found = _later_rounds(multi, reps, texts, found)
+    repeated = written(linkable.groupBy("id").agg(F.count("*").alias("m")).filter("m > 1").select("id"), "repeated")
+    once = repeated.isEmpty()
+    edges = _first_round(multi, reps, texts, once)
+    found = components(edges if once else edges.unionByName(_of_one_id(linkable, reps, repeated)))
+    found = _later_rounds(multi, reps, texts, found, once)
     members = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
     lowest = members.join(reps.select("node", "least"), "node").groupBy("root").agg(F.min("least").alias("lowest"))
     of_class = reps.select("f0", "f1", "n", "least", "node").join(members.join(lowest, "root").select("node", "lowest"), "node", "left")

@@ -1,15 +1,23 @@
 """Quality rules with adaptive thresholds, in DataFrame functions only.
 
 Each text is measured once. For each measure, language and source a KLL quantile sketch is
-built with map-side partial sketches; a source with few rows uses its language's merged
-sketch, a rare language that of all rows. A threshold is the upper fence of the measure's
-own distribution, upper quartile + FENCE x interquartile range, with a least range per
-measure so that one stray symbol in a spotless source is no outlier. The thresholds are
-joined back and rows beyond any of them fail.
+built with map-side partial sketches; merged, they give the sketches of languages and of all
+rows. A threshold is the fence of the measure's own distribution: FENCE interquartile
+ranges beyond the quartile. Where the quartiles are equal there is no range: then the fence
+lies midway between them and the median of the values beyond them (of the STEPS + 1
+quantiles that a sketch is asked for), so that it follows what outliers the group has;
+without any, nothing is beyond it. A group's fence is drawn towards
+its language's, and that towards the fence of all rows, each counting as SHARED rows, so
+that a small group's threshold is mostly its language's, with no switch on size. The
+thresholds are joined back and rows beyond any of them fail.
+
+Sketches with SKETCH as their size are exact for groups of about as many rows; beyond that
+their ranks are off by 0.4 % or less, and as they thin out at random, a row within that
+distance of a threshold can get another verdict in another run.
 
 Defined results: a null or empty text has no words and fails the base rule; null languages
-and sources are groups of their own; repeated rows each give their row; an empty table
-gives no rows; other columns are ignored.
+and sources are groups of their own; ties lie on the inner side of a threshold; repeated
+rows each give their row; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,11 +33,14 @@ from tidewindow.llm.common import text_or_empty, written
 BLANKS, SYMBOLS = r"[\x20\x09-\x0D]+", "#*$%&|<>"
 BLANK_CHARS = " \t\n\x0b\f\r"
 WINDOW = 8
-FENCE = 3.0
-#: Least interquartile range that a fence counts with, by measure.
-LEAST_RANGE = {"symbol_share": 0.02, "dup_line_share": 0.13, "upper_share": 0.06, "bang_share": 0.02, "mean_word": 1.0}
-#: Rows below which a group's thresholds come from a wider group.
-FEW = 200
+#: Interquartile ranges beyond the quartiles at which a fence stands.
+FENCE = 6.0
+#: Measures that have an upper fence, and those that have a lower one too.
+UPPER, LOWER = ("symbol_share", "dup_line_share", "upper_share", "bang_share", "mean_word"), ("mean_word",)
+#: Rows that the fence of the wider group counts as.
+SHARED = 200
+#: Size of a sketch, and steps between the ranks it is asked for.
+SKETCH, STEPS = 800, 200
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -106,22 +117,34 @@ def measured(docs: DataFrame, *, text: str = "text", key: str = "doc_id", lang:
     )
 
 
+def fence(quantiles: Column, *, upper: bool = True) -> Column:
+    """The value beyond which rows are outliers, from STEPS + 1 quantiles."""
+    low, high = F.get(quantiles, F.lit(STEPS // 4)), F.get(quantiles, F.lit(3 * STEPS // 4))
+    inner, edge = (low, high) if upper else (high, low)
+    beyond = F.filter(quantiles, lambda v: v > edge if upper else v < edge)
+    middle = F.coalesce(F.get(beyond, F.floor((F.size(beyond) - 1) / 2).cast("int")), edge)
+    return F.when(edge != inner, edge + FENCE * (edge - inner)).otherwise((edge + middle) / 2)
+
+
 def thresholds(rows: DataFrame) -> DataFrame:
-    """``lang, source`` and a threshold per measure, from mergeable quantile sketches."""
-    fine = rows.filter("n_words > 0").groupBy("lang", "source").agg(F.count("*").alias("rows"), *(F.kll_sketch_agg_double(m).alias(m) for m in LEAST_RANGE))
+    """``lang_, source_`` and a threshold per measure and side, from mergeable quantile sketches."""
+    fine = rows.filter("n_words > 0").groupBy("lang", "source").agg(F.count("*").alias("rows"), *(F.kll_sketch_agg_double(m, F.lit(SKETCH)).alias(m) for m in UPPER))
     fine = written(fine, "sketches")
-    merged = [F.sum("rows").alias("rows"), *(F.kll_merge_agg_double(m).alias(m) for m in LEAST_RANGE)]
+    merged = [F.sum("rows").alias("rows"), *(F.kll_merge_agg_double(m, F.lit(SKETCH)).alias(m) for m in UPPER)]
     by_lang, whole = fine.groupBy("lang").agg(*merged), fine.agg(*merged)
+    sides = [(f"{m}_most", m, True) for m in UPPER] + [(f"{m}_least", m, False) for m in LOWER]
 
-    def fences(sketches: DataFrame, tag: str) -> list[Column]:
-        q = lambda m, p: F.kll_sketch_get_quantile_double(F.col(m), F.lit(p))
-        return [F.col("rows").alias(f"rows_{tag}"), *((q(m, 0.75) + FENCE * F.greatest(q(m, 0.75) - q(m, 0.25), F.lit(r))).alias(f"{m}_{tag}") for m, r in LEAST_RANGE.items())]
+    def fences(sketches: DataFrame, tag: str, *keys: Column) -> DataFrame:
+        ranks = F.array(*(F.lit(k / STEPS) for k in range(STEPS + 1)))
+        asked = sketches.select(*keys, F.col("rows").cast("double").alias(f"rows_{tag}"), *(F.kll_sketch_get_quantile_double(m, ranks).alias(m) for m in UPPER))
+        return asked.select(*(F.col(c) for c in asked.columns if c not in UPPER), *(fence(F.col(m), upper=up).alias(f"{name}_{tag}") for name, m, up in sides))
 
-    fine = fine.select("lang", "source", *fences(fine, "s"))
-    by_lang = by_lang.select(F.col("lang").alias("lang_"), *fences(by_lang, "l"))
-    out = fine.join(by_lang, fine["lang"].eqNullSafe(by_lang["lang_"])).join(F.broadcast(whole.select(*fences(whole, "a"))))  # one row
-    pick = lambda m: F.when(F.col("rows_s") >= FEW, F.col(f"{m}_s")).when(F.col("rows_l") >= FEW, F.col(f"{m}_l")).otherwise(F.col(f"{m}_a"))
-    return out.select(F.col("lang").alias("lang_"), F.col("source").alias("source_"), *(pick(m).alias(f"{m}_most") for m in LEAST_RANGE))
+    drawn = lambda name, tag, wider: (F.col(f"rows_{tag}") * F.col(f"{name}_{tag}") + SHARED * wider) / (F.col(f"rows_{tag}") + SHARED)
+    of_lang = fences(by_lang, "l", F.col("lang").alias("of")).join(F.broadcast(fences(whole, "a")))  # one row
+    of_lang = of_lang.select("of", *(drawn(name, "l", F.col(f"{name}_a")).alias(f"{name}_w") for name, _, _ in sides))
+    of_group = fences(fine, "s", F.col("lang").alias("lang_"), F.col("source").alias("source_"))
+    out = of_group.join(of_lang, F.col("lang_").eqNullSafe(F.col("of")))
+    return out.select("lang_", "source_", *(drawn(name, "s", F.col(f"{name}_w")).alias(name) for name, _, _ in sides))
 
 
 def quality_rules(docs: DataFrame, *, text: str = "text", key: str = "doc_id", lang: str = "lang", source: str = "source") -> DataFrame:
@@ -129,7 +152,8 @@ def quality_rules(docs: DataFrame, *, text: str = "text", key: str = "doc_id", l
     rows = written(measured(docs, text=text, key=key, lang=lang, source=source), "measures")
     most = thresholds(rows)
     joined = rows.join(most, rows["lang"].eqNullSafe(most["lang_"]) & rows["source"].eqNullSafe(most["source_"]), "left")
-    over = F.filter(F.array(*(F.when(F.col(m) > F.col(f"{m}_most"), F.lit(m)) for m in LEAST_RANGE)), lambda x: x.isNotNull())
+    beyond = [F.when(F.col(m) > F.col(f"{m}_most"), F.lit(m)) for m in UPPER] + [F.when(F.col(m) < F.col(f"{m}_least"), F.lit(f"low_{m}")) for m in LOWER]
+    over = F.filter(F.array(*beyond), lambda x: x.isNotNull())
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return joined.select(
         F.col("id").alias(key), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",

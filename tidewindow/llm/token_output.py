@@ -7,9 +7,12 @@ XXH64 of its content. The layout of the seek table is that of the public seekabl
 zstandard format, so the files are also plain zstandard streams. A reader takes the table
 from the end of the file and decompresses the frames it is asked for.
 
-Documents are range-partitioned by id; partition k writes file k, so ids ascend from file
-to file. A task that runs again writes a file of another name, and the file list names
-the one that counts.
+Documents are range-partitioned by id, into as many partitions as their bytes ask for, and
+a partition begins a new file when one has FILE_BYTES of ids or FILE_FRAMES documents, so
+ids ascend from file to file and what a writer or reader holds, a file's ids and seek
+table, is bounded whatever the corpus and however ids are spread. A task that runs again
+writes files of other names, and the file list names those that count; it also has their
+sums, so nothing is opened for them.
 
 Defined results: a null or empty text has the end id alone; documents of one id stay
 apart, ordered by text; a null id comes first; an empty table gives no files; other
@@ -46,6 +49,12 @@ CHUNKS = rf" ?[{LETTERS}]+(?=[ .,\n])| ?[^{BLANK}]+|[{BLANK}]+(?![^{BLANK}])|[{B
 #: Chunks whose ids a Python worker remembers at most; then only those of its last batch stay.
 MEMO = 700_000
 NO_ID = -(1 << 63)
+#: Bytes of ids and documents at which a file ends, bytes of text of a partition, and wanted documents of a reading task, on average.
+FILE_BYTES, FILE_FRAMES, PARTITION_BYTES, PICKED = 256 << 20, 1 << 20, 256 << 20, 20_000
+#: Files that one partition may write.
+MOST_FILES = 1 << 20
+_FILES = pa.schema([("file_no", pa.int64()), ("file", pa.string()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("documents", pa.int64()), ("tokens", pa.int64())])
+_FILES_SQL = "file_no bigint, file string, first_id bigint, last_id bigint, documents bigint, tokens bigint"
 
 
 class ChunkEncoder:
@@ -124,18 +133,21 @@ class FrameWriter:
         self.press = zstandard.ZstdCompressor(level=level, write_checksum=False)
         self.ids: list[int] = []
         self.table: list[bytes] = []
+        self.bytes = 0
 
     def add(self, doc_id: int | None, data: bytes) -> None:
         frame = self.press.compress(data)
         self.stream.write(frame)
         self.ids.append(NO_ID if doc_id is None else doc_id)
         self.table.append(struct.pack("<III", len(frame), len(data), xxhash.xxh64_intdigest(data) & 0xFFFFFFFF))
+        self.bytes += len(data)
 
     def close(self) -> None:
         ids = np.array(self.ids, "<i8").tobytes()
         table = b"".join(self.table) + struct.pack("<IBI", len(self.table), 0x80, SEEK_MAGIC)
         self.stream.write(struct.pack("<II", IDS_MAGIC, len(ids)) + ids)
         self.stream.write(struct.pack("<II", SKIPPABLE, len(table)) + table)
+        self.stream.close()
 
 
 class FrameReader:
@@ -161,8 +173,18 @@ class FrameReader:
         return data
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, *, text: str = "text", key: str = "doc_id", end_id: int = 2, files: int | None = None) -> DataFrame:
-    """Encodes and writes all documents; returns the list ``file_no, file, first_id, last_id, documents``."""
+def write_token_files(
+    docs: DataFrame,
+    tokenizer: str,
+    *,
+    text: str = "text",
+    key: str = "doc_id",
+    end_id: int = 2,
+    partitions: int | None = None,
+    file_bytes: int = FILE_BYTES,
+    file_frames: int = FILE_FRAMES,
+) -> DataFrame:
+    """Encodes and writes all documents; returns the list ``file_no, file, first_id, last_id, documents, tokens``."""
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(tokenizer)
@@ -170,41 +192,47 @@ def write_token_files(docs: DataFrame, tokenizer: str, *, text: str = "text", ke
     end = struct.pack("<I", end_id)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = None
+        context, out, no = TaskContext.get(), None, 0
+
+        def closed() -> pa.RecordBatch:
+            out.close()
+            row = {"file_no": context.partitionId() * MOST_FILES + no, "file": name, "first_id": out.ids[0], "last_id": out.ids[-1], "documents": len(out.ids), "tokens": out.bytes // 4}
+            return pa.RecordBatch.from_pylist([row], schema=_FILES)
+
         for b in batches:
-            if out is None and b.num_rows:
-                context = TaskContext.get()
-                name = f"{folder}/{context.partitionId():06d}-{context.taskAttemptId()}.zst"
-                where, path = fs.FileSystem.from_uri(name)
-                where.create_dir(path.rpartition("/")[0], recursive=True)
-                stream = where.open_output_stream(path, compression=None)
-                out = FrameWriter(stream)
             for i, ids in zip(b.column(0).to_pylist(), encoder(shared.value).encode(b.column(1).to_pylist()), strict=True):
+                if out is None:
+                    name = f"{folder}/{context.partitionId():06d}-{no:06d}-{context.taskAttemptId()}.zst"
+                    where, path = fs.FileSystem.from_uri(name)
+                    where.create_dir(path.rpartition("/")[0], recursive=True)
+                    out = FrameWriter(where.open_output_stream(path, compression=None))
                 out.add(i, ids + end)
+                if out.bytes >= file_bytes or len(out.ids) >= file_frames:
+                    yield closed()
+                    out, no = None, no + 1
         if out is not None:
-            out.close()
-            stream.close()
-            yield pa.RecordBatch.from_pylist(
-                [{"file_no": context.partitionId(), "file": name, "first_id": out.ids[0], "last_id": out.ids[-1], "documents": len(out.ids)}],
-                schema=pa.schema([("file_no", pa.int32()), ("file", pa.string()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("documents", pa.int64())]),
-            )
+            yield closed()
 
-    n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(key).cast("long").alias("k"), text_or_empty(text).alias("t"))
-    ordered = rows.repartitionByRange(n, "k").sortWithinPartitions("k", "t")
-    return written(ordered.mapInArrow(write, "file_no int, file string, first_id bigint, last_id bigint, documents bigint"), "token-files")
+    if partitions is None:
+        size = rows.agg(F.sum(F.octet_length("t").cast("long"))).first()[0] or 0
+        partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PARTITION_BYTES))
+    ordered = rows.repartitionByRange(partitions, "k").sortWithinPartitions("k", "t")
+    return written(ordered.mapInArrow(write, _FILES_SQL), "token-files")
 
 
 def read_token_files(files: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
-    """``doc_id, start, n_tokens, ids`` read back from the files.
+    """``doc_id, start, n_tokens, ids_crc32, ids`` read back from the files of a list.
 
     ``wanted`` has a column doc_id; then only the frames of those documents are read.
-    ``start`` counts the ids of all documents before, from the files' seek tables.
+    ``start`` counts the ids of all documents before, by the list's sums and the file's
+    seek table. The list has a row a file, so its ranges and sums are small; that of wanted
+    ids is dealt into parts, each of which opens its file anew.
     """
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for no, name, picked in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+            for before, name, picked in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                 where, path = fs.FileSystem.from_uri(name)
                 with where.open_input_file(path) as f:
                     r = FrameReader(f)
@@ -214,27 +242,18 @@ def read_token_files(files: DataFrame, wanted: DataFrame | None = None) -> DataF
                         data = [r.read(int(k)) for k in ks]
                         ids = [None if i == NO_ID else i for i in r.ids[ks].tolist()]
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(ids, pa.int64()), pa.array([no] * len(ks), pa.int32()), pa.array(r.start[ks] // 4), pa.array(r.length[ks] // 4), pa.array([zlib.crc32(d) for d in data], pa.int64()), pa.array(data, pa.binary())],
-                            ["doc_id", "file_no", "start", "n_tokens", "ids_crc32", "ids"],
+                            [pa.array(ids, pa.int64()), pa.array(before + r.start[ks] // 4), pa.array(r.length[ks] // 4), pa.array([zlib.crc32(d) for d in data], pa.int64()), pa.array(data, pa.binary())],
+                            ["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
                         )
 
-    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sizes = []
-            for name in b.column(1).to_pylist():
-                where, path = fs.FileSystem.from_uri(name)
-                with where.open_input_file(path) as f:
-                    sizes.append(int(FrameReader(f).start[-1]) // 4)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64())], ["file_no", "tokens"])
-
-    n = max(1, files.count())
+    # one row a file
+    before = F.coalesce(F.sum("tokens").over(Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = written(files.withColumn("before", before), "placed-files")
     if wanted is None:
-        todo = files.select("file_no", "file", F.lit(None).cast("array<bigint>").alias("picked"))
+        todo = placed.select("before", "file", F.lit(None).cast("array<bigint>").alias("picked"))
     else:
-        held = wanted.select(F.col("doc_id").alias("want")).distinct().join(F.broadcast(files), F.col("want").between(F.col("first_id"), F.col("last_id")))
-        todo = held.groupBy("file_no", "file").agg(F.collect_list("want").alias("picked"))
-    docs = todo.repartition(n, "file_no").mapInArrow(listed, "doc_id bigint, file_no int, start bigint, n_tokens bigint, ids_crc32 bigint, ids binary")
-    sums = files.select("file_no", "file").repartition(n, "file_no").mapInArrow(totals, "file_no int, tokens bigint")
-    # one row a file
-    before = sums.select("file_no", F.coalesce(F.sum("tokens").over(Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return docs.join(F.broadcast(before), "file_no").select("doc_id", (F.col("before") + F.col("start")).alias("start"), "n_tokens", "ids_crc32", "ids")
+        held = wanted.select(F.col("doc_id").cast("long").alias("want")).distinct().join(placed, F.col("want").between(F.col("first_id"), F.col("last_id")))
+        part = F.pmod(F.xxhash64("want"), F.ceil(F.col("documents") / PICKED))
+        todo = held.groupBy("before", "file", part.alias("part")).agg(F.collect_list("want").alias("picked")).select("before", "file", "picked")
+    n = max(1, placed.count())
+    return todo.repartition(n, "file").mapInArrow(listed, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, ids binary")

@@ -1,51 +1,63 @@
 """Toxicity by weak supervision.
 
-Voters are terms (words and word beginnings) mined as a lexicon from labelled training
-rows, a fixed lexicon of common insults, and patterns. A generative label model, fitted by
-expectation maximisation, estimates how often each voter speaks in either class, with the
-given label as one voter more; voters whose votes stay correlated within the classes share
-the weight of one. Its posterior labels train a linear classifier over the terms, which
-scores any text.
-
-Learns from at most TRAIN_ROWS labelled rows outside the held-out fold; at most TERMS
-terms and weights are broadcast. Defined results: null and empty texts get the score of a
-text without terms; without labelled rows of both classes no terms are mined and the
-insult lexicon alone decides; repeated rows each give their row; an empty table gives no
-rows; other columns are ignored.
+Voters are the terms of a lexicon (words and beginnings of words) mined from labelled
+training rows, a fixed lexicon of common insults, and patterns: two or three different
+words of the lexicon, their share of a text's words, runs of exclamation marks, words in
+capitals, and runs of symbols. A generative label model (:mod:`tidewindow.llm.label_model`)
+estimates from the votes on all texts, without labels, how often each voter fires in either
+class, and lets voters that repeat each other share their weight. Its posterior labels of
+the sample train a linear classifier over the same voters, which scores any text.
+
+Given labels choose the lexicon and the rates that the label model starts from, so that
+class 1 is the toxic one; neither its posterior nor the classifier sees them. At most
+TRAIN_ROWS labelled rows outside the held-out fold are used; the lexicon has every term
+whose association with their label is significant. Weights, a number a term, are broadcast.
+
+Defined results: null and empty texts get the score of a text without voters; without
+labelled rows of both classes nothing is mined and the insult lexicon alone decides;
+repeated rows each give their row; of labels repeated for an id the highest counts; terms
+with equal counts are all taken; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewindow.llm.common import released, small_batches, text_or_empty, written
+from tidewindow.llm.label_model import LabelModel, dense, fit_label_model
 from tidewindow.llm.labelled import held_out, training_rows
 
-#: Labelled rows that are learned from, and terms of the classifier, at most.
-TRAIN_ROWS, TERMS = 10_000, 600
-#: Terms of toxic training rows whose counts come to the driver, at most: the most frequent.
-CANDIDATES = 20_000
+#: Labelled rows that are learned from, at most.
+TRAIN_ROWS = 10_000
+#: Least likelihood-ratio statistic (a chance of about 6e-7) and log ratio of rates of a mined term.
+SIGNIFICANT, LEAST_RATIO = 25.0, 1.5
 #: Fixed value: common insults of general use.
 INSULTS = ("idiot", "moron", "stupid", "loser", "scum", "trash", "pathetic", "worthless", "disgusting", "imbecile", "dumb", "fool", "jerk", "bastard")
 #: Letters of the beginnings of words that can be terms.
 BEGINNINGS = (4, 5, 7)
+PATTERNS = ("insult", "two words", "three words", "one in 100", "one in 30", "exclamations", "capitals", "symbols")
 #: Rows that the fit turns into a matrix of floats at once.
 BLOCK = 1000
-STRIP = ".,;:!?\"'()[]"
+STRIP = ".,;:!?\"'()[]#*$%&|<>"
+_SHOUTS, _SYMBOLS, _CAPITALS = re.compile("!!"), re.compile(r"[#*$%&]{3}"), re.compile(r"\b[A-Z]{4,}\b")
 
 
-def terms_of(text: str) -> set[str]:
-    """Lower-case words, and beginnings of longer ones: those there are (``abcd-``), those of
+def words_of(text: str) -> set[str]:
+    """Lower-case words, without marks and symbols around them."""
+    return {w.strip(STRIP) for w in text.lower().split()} - {""}
+
+
+def terms_of(words: set[str]) -> set[str]:
+    """The words, and beginnings of longer ones: those there are (``abcd-``), those of
     two different words (``abcd-2``), and those of many for the text's size (``abcd-%``)."""
-    words = {w.strip(STRIP) for w in text.lower().split()}
     out = set(words)
     many = max(2, len(words) // 60)
     for k in BEGINNINGS:
@@ -58,45 +70,22 @@ def terms_of(text: str) -> set[str]:
     return out
 
 
-class LabelModel:
-    """A generative model of votes (rows x voters, 0 or 1).
-
-    The last voter is the label given, right in a fixed share of cases; the rates of the
-    others are estimated. Voters whose votes stay correlated within the classes share weight.
-    """
-
-    def __init__(self, votes: np.ndarray, start: np.ndarray, *, label_right: float = 0.998, rounds: int = 25):
-        """``start``: a first guess of each row's probability of class 1."""
-        self.label_right = label_right
-        self.weight = np.ones(votes.shape[1])
-        r = start
-        for k in range(rounds):
-            self._maximise(votes, r)
-            if k in (5, 15):
-                self._correlate(votes, r)
-            r = self.posterior(votes)
-        self._maximise(votes, r)
-
-    def _maximise(self, votes: np.ndarray, r: np.ndarray) -> None:
-        n1, n0 = r.sum(), (1 - r).sum()
-        self.prior = float(np.clip((n1 + 1) / (n1 + n0 + 2), 1e-4, 1 - 1e-4))
-        self.in1 = (votes.T @ r + 0.5) / (n1 + 1)
-        self.in0 = (votes.T @ (1 - r) + 0.5) / (n0 + 1)
-        self.in1[-1], self.in0[-1] = self.label_right, 1 - self.label_right
-
-    def _correlate(self, votes: np.ndarray, r: np.ndarray) -> None:
-        """A voter's weight is one over the sum of its residual correlations above a quarter, its own included."""
-        rest = votes - (np.outer(r, self.in1) + np.outer(1 - r, self.in0))
-        norm = np.sqrt((rest**2).sum(0)) + 1e-9
-        tied = np.abs(rest.T @ rest / np.outer(norm, norm))
-        np.fill_diagonal(tied, 1)
-        self.weight = 1 / np.where(tied > 0.25, tied, 0).sum(1)
-        self.weight[-1] = 1
-
-    def posterior(self, votes: np.ndarray) -> np.ndarray:
-        on, off = np.log(self.in1 / self.in0), np.log((1 - self.in1) / (1 - self.in0))
-        margin = np.log(self.prior / (1 - self.prior)) + votes @ (self.weight * on) + (1 - votes) @ (self.weight * off)
-        return 1 / (1 + np.exp(-np.clip(margin, -50, 50)))
+class Voters:
+    """A lexicon's terms, in order, and after them PATTERNS."""
+
+    def __init__(self, terms: list[str]):
+        self.place = {w: k for k, w in enumerate(terms)}
+        self.terms, self.size = frozenset(terms), len(terms) + len(PATTERNS)
+
+    def fired(self, text: str) -> list[int]:
+        words = words_of(text)
+        hit = terms_of(words) & self.terms
+        bad = sum(w in hit or any(len(w) > k and w[:k] + "-" in hit for k in BEGINNINGS) for w in words) if hit else 0
+        patterns = (
+            not words.isdisjoint(INSULTS), bad >= 2, bad >= 3, 0 < len(words) <= 100 * bad, 0 < len(words) <= 30 * bad,
+            _SHOUTS.search(text) is not None, len(_CAPITALS.findall(text)) > 3, _SYMBOLS.search(text) is not None,
+        )
+        return sorted(self.place[w] for w in hit) + [len(self.place) + k for k, p in enumerate(patterns) if p]
 
 
 def fit_linear(x: np.ndarray, target: np.ndarray, ridge: float = 1.0, rounds: int = 15) -> np.ndarray:
@@ -119,77 +108,73 @@ def fit_linear(x: np.ndarray, target: np.ndarray, ridge: float = 1.0, rounds: in
     return w
 
 
-def _counts(rows: DataFrame, keep: frozenset[str] | None) -> DataFrame:
-    """``term, y, n``: rows of each class that have the term (of ``keep``, if given)."""
-    shared = rows.sparkSession.sparkContext.broadcast(keep)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            seen: Counter[tuple[str, int]] = Counter()
-            for y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                terms = terms_of(t) if shared.value is None else terms_of(t) & shared.value
-                seen.update((w, y) for w in terms)
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in seen], pa.string()), pa.array([y for _, y in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], ["term", "y", "n"])
-
-    return rows.select("y", "t").mapInArrow(lambda b: released(count(b)), "term string, y int, n bigint").groupBy("term", "y").agg(F.sum("n").alias("n"))
+def association(a: Column, b: Column, n1: int, n0: int) -> Column:
+    """The likelihood-ratio statistic of a term in ``a`` of n1 rows and ``b`` of n0 others."""
+    part = lambda seen, of, rate: F.when(seen > 0, seen * F.log(seen / (of * rate))).otherwise(0.0)
+    rate = (a + b) / F.lit(float(n1 + n0))
+    return 2 * (part(a, n1, rate) + part(b, n0, rate) + part(n1 - a, n1, 1 - rate) + part(n0 - b, n0, 1 - rate))
 
 
 def mine_terms(rows: DataFrame) -> list[str]:
-    """The terms that best tell toxic training rows (y, t) from others, at most TERMS."""
+    """The terms that tell toxic training rows (y, t) from others; none without rows of both classes."""
     totals = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n1, n0 = totals.get(1, 0), totals.get(0, 0)
     if not n1 or not n0:
         return []
-    least = max(3, n1 // 100)
-    frequent = _counts(rows.filter("y = 1"), None).filter(F.col("n") >= least).orderBy(F.desc("n"), "term").limit(CANDIDATES)
-    in1 = {r["term"]: r["n"] for r in frequent.collect()}
-    in0 = dict.fromkeys(in1, 0) | {r["term"]: r["n"] for r in _counts(rows.filter("y = 0"), frozenset(in1)).collect()}
-    gain = {w: np.log((n + 0.5) / (n1 + 1)) - np.log((in0[w] + 0.5) / (n0 + 1)) for w, n in in1.items()}
-    good = [w for w in in1 if gain[w] > 1.5]
-    return sorted(good, key=lambda w: (-gain[w] * in1[w], w))[:TERMS]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seen: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
+            for y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                seen[y].update(terms_of(words_of(t)))
+            terms = list(seen[1] | seen[0])
+            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *(pa.array([seen[y][w] for w in terms], pa.int64()) for y in (1, 0))], ["term", "a", "b"])
+
+    counts = rows.select("y", "t").mapInArrow(lambda b: released(count(b)), "term string, a bigint, b bigint").groupBy("term").agg(F.sum("a").cast("double").alias("a"), F.sum("b").cast("double").alias("b"))
+    ratio = F.log((F.col("a") + 0.5) / (n1 + 1)) - F.log((F.col("b") + 0.5) / (n0 + 1))
+    found = counts.filter((F.col("a") > 0) & (ratio > LEAST_RATIO) & (association(F.col("a"), F.col("b"), n1, n0) >= SIGNIFICANT))
+    return sorted(r["term"] for r in found.select("term").collect())
+
+
+def votes(docs: DataFrame, voters: Voters, *kept: str) -> DataFrame:
+    """``fired``, the voters that fire on each text t, and the columns ``kept``."""
+    shared = docs.sparkSession.sparkContext.broadcast(voters)
+
+    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fired = [shared.value.fired(t) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(fired, pa.list_(pa.int32())), *b.columns[1:]], ["fired", *kept])
+
+    kinds = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in kept)
+    return docs.select("t", *kept).mapInArrow(lambda b: released(vote(b)), f"fired array<int>{kinds}")
 
 
 class ToxicityModel:
-    """Term weights and an intercept."""
+    """Weights of voters and an intercept."""
 
-    def __init__(self, weights: dict[str, float], intercept: float):
-        self.weights, self.intercept, self.terms = weights, intercept, frozenset(weights)
+    def __init__(self, terms: list[str], weights: np.ndarray, intercept: float):
+        self.voters, self.weights, self.intercept = Voters(terms), weights, intercept
 
     def score(self, texts: list[str]) -> np.ndarray:
-        margin = np.array([self.intercept + sum(self.weights[w] for w in sorted(terms_of(t) & self.terms)) for t in texts])
+        margin = np.array([self.intercept + self.weights[self.voters.fired(t)].sum() for t in texts])
         return 1 / (1 + np.exp(-np.clip(margin, -500, 500)))
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", *, text: str = "text", key: str = "doc_id", most: int = TRAIN_ROWS) -> ToxicityModel:
-    """Learns from at most ``most`` labelled rows; the terms that they hit (some MB at most) come to the driver."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    rows = written(training_rows(docs, labels, label, text=text, key=key, most=most), "labelled")
-    mined = mine_terms(rows)
-    if not mined:
-        return ToxicityModel(dict.fromkeys(INSULTS, 3.0), -3.0)
-    terms = sorted({*mined, *INSULTS})
-    place = {w: k for k, w in enumerate(terms)}
-    shared = spark.sparkContext.broadcast((frozenset(terms), place))
-
-    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep, at = shared.value
-            found = [sorted(at[w] for w in terms_of(t) & keep) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int32()))], ["y", "hits"])
-
-    got = rows.select("y", "t").mapInArrow(lambda b: released(hits(b)), "y int, hits array<int>").toArrow()
-    x = np.zeros((got.num_rows, len(terms)), bool)
-    lengths = pc.list_value_length(got["hits"]).to_numpy()
-    x[np.repeat(np.arange(len(x)), lengths), pc.list_flatten(got["hits"]).to_numpy()] = True
-    y = got["y"].to_numpy().astype(float)
-    lexicon = [place[w] for w in INSULTS]
-    some = x[:, [place[w] for w in mined]].sum(1)
-    patterns = np.c_[x[:, lexicon].any(1), some >= 1, some >= 2, some >= 4]
-    votes = np.c_[x[:, [place[w] for w in mined[:80]]], patterns, y].astype(np.float32)  # the label given is the last voter
-    labelled = LabelModel(votes, 0.9 * y + 0.05).posterior(votes)
-    w = fit_linear(x, labelled)
-    return ToxicityModel(dict(zip(terms, w[:-1].tolist(), strict=True)), float(w[-1]))
+    """Learns from the votes on all texts, and from at most ``most`` labelled rows which votes those are; the sample's votes (some MB) come to the driver."""
+    small_batches(docs.sparkSession)
+    sample = written(training_rows(docs, labels, label, text=text, key=key, most=most), "labelled")
+    terms = mine_terms(sample)
+    if not terms:
+        return ToxicityModel([], np.array([4.0] + [0.0] * (len(PATTERNS) - 1)), -2.0)
+    voters = Voters(terms)
+    patterns = votes(docs.select(text_or_empty(text).alias("t")), voters).groupBy("fired").agg(F.count("*").alias("n"))
+    patterns = written(patterns, "votes")
+    got = votes(sample, voters, "y").toArrow()
+    x, y = dense(got["fired"], voters.size), got["y"].to_numpy().astype(float)
+    start = LabelModel.from_counts(y.sum(), (1 - y).sum(), y @ x, (1 - y) @ x)
+    w = fit_linear(x, fit_label_model(patterns, start).posterior(x))
+    return ToxicityModel(terms, w[:-1], float(w[-1]))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, *, text: str = "text", key: str = "doc_id", cut: float = 0.5) -> DataFrame:
