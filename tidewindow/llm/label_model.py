@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Rounds at most, rounds before which weights are set anew, and the change of a rate at which it ends.
-ROUNDS, WEIGHED, TOLERANCE = 40, (2, 8), 1e-5
+ROUNDS, WEIGHED, TOLERANCE = 40, (2, 8), 1e-4
 #: Correlation within the classes from which voters share their weight.
 TIED = 0.25
 

@@ -81,30 +81,27 @@ def repeated_words(words: Column) -> Column:
     return F.when(F.size(words) <= WINDOW, F.lit(0)).otherwise(let(F.transform(words, lambda w: F.xxhash64(w)), over)).cast("long")
 
 
-def count_of(text: Column, characters: str) -> Column:
-    """How many of these ASCII characters the text has."""
-    left = text
-    for c in characters:
-        left = F.replace(left, F.lit(c), F.lit(""))
-    return (F.octet_length(text) - F.octet_length(left)).cast("long")
+def count_of(marks: Column, characters: str) -> Column:
+    """How many of these ASCII characters a short text of marks has."""
+    return (F.octet_length(marks) - F.octet_length(F.regexp_replace(marks, f"[{characters}]+", ""))).cast("long")
 
 
 def measured(docs: DataFrame, *, text: str = "text", key: str = "doc_id", lang: str = "lang", source: str = "source") -> DataFrame:
     """The counts of every row and the measures that thresholds are set for."""
     base = docs.select(F.col(key).alias("id"), F.col(lang).alias("lang"), F.col(source).alias("source"), text_or_empty(text).alias("t"))
-    base = base.withColumn("w", words_of(F.col("t")))
+    # the characters that are counted, picked out in one pass
+    base = base.withColumns({"w": words_of(F.col("t")), "marks": F.regexp_replace("t", f"[^A-Z!{SYMBOLS}]+", "")})
     lines = F.filter(F.split("t", "\n"), lambda x: F.trim(x, F.lit(BLANK_CHARS)) != "")
     line_counts = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup")))
     counted = base.select(
         "id", "lang", "source",
         F.size("w").cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
-        count_of(F.col("t"), SYMBOLS).alias("n_symbols"),
+        count_of(F.col("marks"), SYMBOLS).alias("n_symbols"),
         line_counts.alias("lines"),
         repeated_words(F.col("w")).alias("n_repeat_words"),
-        count_of(F.col("t"), "!").alias("bangs"),
-        # letters that lower-casing changes, a byte compared at a time
-        count_of(F.col("t"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("capitals"),
+        count_of(F.col("marks"), "!").alias("bangs"),
+        count_of(F.col("marks"), "A-Z").alias("capitals"),
     )
     per = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
     return counted.select(
