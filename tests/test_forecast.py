@@ -1,7 +1,9 @@
-from datetime import date
+import random
+from datetime import date, timedelta
 
 import pytest
 
+from tidewindow.functions.shared import numbered
 from tidewindow.operators.forecast import at_dates, derive_history, history_lines, observed_months
 from tidewindow.operators.windows import overlap_pairs, resolve_windows, uncovered
 
@@ -103,5 +105,33 @@ def test_overlaps_are_by_day(spark):
     assert uncovered(windows(spark, rows[1:2]), windows(spark, rows[2:])).count() == 0
 
 
+def test_overlaps_of_a_hot_route(spark):
+    """Random windows, most of them on one route, against a loop over all pairs."""
+    r = random.Random(1)
+    kind = "id string, start date, end date, ord bigint"
+
+    def some(n):
+        out = []
+        for k in range(n):
+            start = date(2024, 1, 1) + timedelta(days=r.randrange(900))
+            out.append((r.choice(("hot", "hot", "hot", "a", "b")), start, start + timedelta(days=r.choice((0, 1, 5, 30, 31, 95))), k))
+        return out
+
+    one, two = some(250), some(60)
+    meet = lambda x, y: x[0] == y[0] and x[1] <= y[2] and y[1] <= x[2]
+    ordered = sorted(one, key=lambda x: (x[1], x[3]))
+    want = sorted((x[0], *x[1:3], *y[1:3]) for k, x in enumerate(ordered) for y in ordered[k + 1 :] if meet(x, y))
+    assert sorted(map(tuple, overlap_pairs(spark.createDataFrame(one, kind)).collect())) == want
+    left = uncovered(spark.createDataFrame(one + one[:3], kind), spark.createDataFrame(two, kind)).collect()
+    assert sorted(map(tuple, left)) == sorted(x for x in one + one[:3] if not any(meet(x, y) for y in two))
+
+
+def test_numbers_follow_the_order(spark):
+    rows = [((k * 37) % 101, str(k)) for k in range(101)]
+    got = numbered(spark.createDataFrame(rows, "x int, y string").repartition(7), "x", "n").collect()
+    assert sorted((r["n"], r["x"]) for r in got) == [(k, k) for k in range(101)]
+    assert numbered(spark.createDataFrame([], "x int"), "x", "n").count() == 0
+
+
 def test_empty(spark):
     assert history(spark, []) == {}

@@ -50,22 +50,26 @@ def test_sources(spark):
         assert parsed(spark, s, None) == parsed(spark, s, "<p>nothing") == parsed(spark, s, '<script id="__NEXT_DATA__">{bad</script>') == []
 
 
-ETIHAD = (
-    "Etihad Guest A partir de 31.Julho.2026, a paridade será alterada: Clube Esfera: de 3,3 para 4,2 pontos Esfera por 1 milha Etihad Guest. "
-    "Esfera: de 3,5 para 4,5 pontos Esfera por 1 milha Etihad Guest. Até 30.Julho.2026, permanecem válidas as condições atuais. Paridades: "
-    "3,5 pontos Esfera por 1 milha Etihad Guest para todos os clientes; 3,3 pontos Esfera por 1 milha Etihad Guest para clientes do Clube Esfera;"
+CHANGE = (
+    "Novidades. A partir de 1/Outubro/2026, quem assina o Clube troca 2,2 pontos Esfera por 1 milha Azul. Os demais trocam 2,8 pontos Esfera por 1 milha Azul" + "." * 60
+    + " Até 30/Setembro/2026 nada muda. Hoje valem: 2,5 pontos Esfera por 1 milha Azul para todos os clientes, ou 2 pontos Esfera por 1 milha Azul no Clube"
 )
 RATES = [
-    ("1 ponto Livelo = 1 ponto Smiles", "LIV", NOW, "1:1"), ("3,5 pontos Livelo = 1 ponto ALL", "LIV", NOW, "3.5:1"), ("2 pontos Esfera = 1 Avios", "ESF", NOW, "2:1"),
+    ("1 ponto Livelo = 1 ponto Smiles", "LIV", NOW, "1:1"), ("3,5 pontos Livelo = 1 ponto ALL e 9 pontos Livelo = 1 ponto ALL", "LIV", NOW, "3.5:1"), ("2 pontos Esfera = 1 Avios", "ESF", NOW, "2:1"),
     ('" ponto Esfera =", " pontos Esfera ="', "ESF", NOW, None), ("0 pontos Livelo = 1 ponto X", "LIV", NOW, None), ("1 ponto Livelo = 0 ponto X", "LIV", NOW, None), (None, "ESF", NOW, None),
-    (ETIHAD, "ESF", date(2026, 7, 25), "3.5:1"), (ETIHAD, "ESF", date(2026, 7, 30), "3.5:1"), (ETIHAD, "ESF", date(2026, 7, 31), "4.5:1"), (ETIHAD, "ESF", date(2027, 6, 1), "4.5:1"),
+    (CHANGE, "ESF", date(2026, 7, 25), "2.5:1"), (CHANGE, "ESF", date(2026, 9, 30), "2.5:1"), (CHANGE, "ESF", date(2026, 10, 1), "2.8:1"), (CHANGE, "ESF", date(2027, 6, 1), "2.8:1"),
+    ("A partir de 1.Foo.2020: 3 pontos Esfera = 1 Avios; 4 pontos Esfera = 1 Avios", "ESF", NOW, "4:1"), ("4,25 pontos Esfera = 1,333 Avios clube", "ESF", NOW, "4.25:1.33"),
+    ("A partir de 1.maio.2020 x A partir de 1.junho.2020: 3 pontos Esfera = 1 Avios", "ESF", NOW, "3:1"), ("1.2.3 pontos Esfera = 1 Avios", "ESF", NOW, None),
 ]
 
 
 def test_rates(spark):
-    df = spark.createDataFrame([(k, *r) for k, r in enumerate(RATES)], "k int, t string, b string, d date, want string")
-    got = df.select("k", rates.parse_ratio(F.col("t"), F.col("b"), F.col("d")).alias("r"), "want").orderBy("k").collect()
-    assert [r["r"] for r in got] == [r["want"] for r in got]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(RATES)], "k int, text string, bank string, d date, want string")
+    stated = rates.stated_rates(df)
+    got = {r["k"]: r["ratio"] for r in rates.standard_ratios(stated.join(df.select("k", "d"), "k"), F.col("d")).collect()}
+    assert [got.get(k) for k in range(len(RATES))] == [r[-1] for r in RATES]
+    assert {(r["ord"] > 0, str(r["since"])) for r in stated.filter("k = 13").collect()} == {(True, "2020-06-01")}
+    assert rates.stated_rates(df.filter("false")).count() == 0
 
 
 def test_partner_pages(spark):
@@ -98,8 +102,10 @@ def test_directory(spark):
     assert listed(D.merge_directory(curated, scraped)) == [("AMEX", "Delta SkyMiles", "1:1"), ("LIV", "Azul Fidelidade", "—"), ("LIV", "Smiles (GOL)", "2:1")]
     folded = D.fold_names(directory(spark, [("LIV", "air", "Smiles", "—"), ("LIV", "air", "GOL", "3:1"), ("LIV", "air", "Smiles (GOL)", "2:1")]))
     assert listed(folded) == [("LIV", "Smiles (GOL)", "3:1")]
-    seen = spark.createDataFrame([("LIV", "Smiles (GOL)", "4:1"), ("LIV", "Hilton Honors", None)], "bank string, name string, ratio string")
-    assert {(r["name"], r["bucket"], r["ratio"], r["change"]) for r in D.upsert_rates(folded, seen).collect()} == {("Smiles (GOL)", "air", "4:1", "updated"), ("Hilton Honors", "hotel", "—", "added")}
+    seen = spark.createDataFrame([("LIV", "Smiles (GOL)", "9:1", 0), ("LIV", "Smiles (GOL)", "10:1", 1), ("LIV", "Hilton Honors", None, 2)], "bank string, name string, ratio string, ord int")
+    assert {(r["name"], r["bucket"], r["ratio"], r["change"]) for r in D.upsert_rates(folded, seen).collect()} == {("Smiles (GOL)", "air", "10:1", "updated"), ("Hilton Honors", "hotel", "—", "added")}
+    last = seen.withColumn("ratio", F.when(F.col("ord") == 0, F.col("ratio")))  # the last page states none: what is known stays
+    assert {(r["name"], r["ratio"], r["change"]) for r in D.upsert_rates(folded, last).collect()} == {("Smiles (GOL)", "3:1", None), ("Hilton Honors", "—", "added")}
 
 
 ENTRY_ROWS = [(0, "liv-ad", "LIV", "AD", 115.0, date(2026, 8, 1), date(2026, 8, 1), date(2026, 8, 10), None)]
@@ -213,15 +219,24 @@ def test_rules(spark):
     assert got == {("A", "bank fg missing"), ("X", "icon not https"), ("Q", "icon of unknown code"), ("A.X", "time empty"), ("Z", "time of unknown bank"), ("X", "BRL without rate"), ("Y", "asOf"), ("Y", "source empty"), ("Y", "meta without value"), ("A.air", "tuple")}
 
 
-def test_refresh_and_document_check(spark):
-    from tidewindow.plans.refresh import changed, document_violations, refresh_directory
+def test_refresh_and_document_check(spark, tmp_path):
+    from tidewindow.plans.refresh import changed, document_violations, refresh_directory, write_refreshed
 
     rows = directory(spark, [("ESF", "air", "Smiles", "2:1"), ("ESF", "air", "TAP Miles&Go", "—")])
     rate = lambda n: f"<p>{n} pontos Esfera = 1 milha</p>"
     html = [("ESF", None, f"<title>Smiles | Esfera</title>{rate(3)}"), ("ESF", None, f"<title>Esfera</title>{rate(9)}"), ("ESF", "Hilton", "<p>none</p>"), ("ESF", "Dotz", rate(1))]
-    got = refresh_directory(rows, spark.createDataFrame(html, "bank string, name string, html string"), NOW)
+    kind = "page bigint, bank string, name string, html string"
+    read = spark.createDataFrame([(k, *r) for k, r in enumerate(html)], kind)
+    got = refresh_directory(rows, read, NOW)
     assert {(r["name"], r["ratio"], r["change"]) for r in got.collect()} == {("Smiles (GOL)", "3:1", "updated"), ("TAP Miles&Go", "—", None), ("Hilton Honors", "—", "added")}
-    assert changed(got) and not changed(refresh_directory(rows, spark.createDataFrame([], "bank string, name string, html string"), NOW))
+    assert changed(got) and not changed(refresh_directory(rows, read.filter("false"), NOW))
+    path = str(tmp_path / "partners.json")
+    P.write_json({"banks": {}, "directory": {"ESF": {"air": [["Smiles", "2:1"], ["TAP Miles&Go", "—"]], "hotel": []}}}, path)
+    before = P.read_json(path)
+    assert len(write_refreshed(spark, path, read, NOW, dry=True)) == 2 and P.read_json(path) == before
+    assert [r["name"] for r in write_refreshed(spark, path, read, NOW)] == ["Hilton Honors", "Smiles (GOL)"]
+    assert P.read_json(path) == {"banks": {}, "directory": {"ESF": {"air": [["Smiles (GOL)", "3:1"], ["TAP Miles&Go", "—"]], "hotel": [["Hilton Honors", "—"]]}}}
+    assert write_refreshed(spark, path, read, NOW) == []
     route = {"id": "a", "bank": "B", "airline": "x", "code": "C", "time": "t", "typical": "t", "mp": [0.1] * 12, "hist": []}
     check = lambda doc: {(r["subject"], r["rule"]) for r in document_violations(spark, json.dumps(doc)).collect()}
     assert check({"version": 1, "generatedAt": "x", "routes": [route]}) == set()

@@ -112,11 +112,11 @@ def fold_names(rows: DataFrame) -> DataFrame:
 
 
 def upsert_rates(directory: DataFrame, seen: DataFrame) -> DataFrame:
-    """``seen`` (bank, name, ratio or null) into the directory: a new ratio replaces, a new name is added, nothing goes.
+    """``seen`` (bank, name, ratio or null, ord) into the directory: a new ratio replaces, a new name is added, nothing goes.
 
-    ``change`` tells what happened: updated, added or null.
+    Of several rows of a name the last by ``ord`` counts. ``change`` tells what happened: updated, added or null.
     """
-    s = seen.groupBy("bank", "name").agg(F.max("ratio").alias("new"), F.lit(True).alias("is_seen"))
+    s = seen.groupBy("bank", "name").agg(F.max_by("ratio", "ord").alias("new"))
     both = directory.join(s, ["bank", "name"], "full_outer")
     change = F.when(F.col("ord").isNull(), "added").when(F.col("new") != F.col("ratio"), "updated")
     out = both.select("bank", F.coalesce("bucket", bucket(F.col("name"))).alias("bucket"), "name", F.coalesce("new", "ratio", F.lit(UNKNOWN)).alias("ratio"), F.coalesce("ord", F.lit(1 << 40)).alias("ord"), change.alias("change"))

@@ -36,7 +36,8 @@ def best_bonuses(resolved_rows: DataFrame, now: date, *, day_first: Column | Non
     return best.join(urls, "id").select("id", "bank", "code", "b.pct", "b.endDate", "seen", "urls")
 
 
-def _with_names(rows: DataFrame, times: DataFrame | None) -> DataFrame:
+def with_names(rows: DataFrame, times: DataFrame | None) -> DataFrame:
+    """``rows`` (bank, code) with the name shown for the code and the time a transfer takes."""
     rows = rows.withColumn("airline", display_name(F.col("code")))
     if times is None:
         return rows.withColumn("time", F.lit(UNKNOWN))
@@ -51,7 +52,7 @@ def live_routes(best: DataFrame, history: DataFrame, times: DataFrame | None = N
     zeros = F.array_repeat(F.lit(0.0), 12)
     none = F.array().cast("array<struct<w:string,pct:double,len:string>>")
     h = history.select("id", "typical", "mp", "p2", "wait", "ended", "hist")
-    rows = _with_names(best.join(h, "id", "left"), times)
+    rows = with_names(best.join(h, "id", "left"), times)
     active = F.when(F.col("endDate").isNotNull(), F.struct("pct", "endDate"))
     return rows.select(
         "id", "bank", "airline", "code", "time", F.coalesce("typical", F.lit(UNKNOWN)).alias("typical"), F.coalesce("mp", zeros).alias("mp"), F.coalesce("p2", zeros).alias("p2"), "wait",
@@ -65,7 +66,7 @@ def forecast_routes(history: DataFrame, live: DataFrame, times: DataFrame | None
 
     ``history`` has ``ord``, the order in which its routes came. The top rows are taken with a limit, so no more than ``most`` rows a task meet.
     """
-    rest = _with_names(history.join(live.select("id"), "id", "left_anti"), times).withColumn("active", F.lit(None).cast("struct<pct:double,endDate:date>"))
+    rest = with_names(history.join(live.select("id"), "id", "left_anti"), times).withColumn("active", F.lit(None).cast("struct<pct:double,endDate:date>"))
     rank = [F.col("ended").isNotNull().desc(), F.col("next.prob").desc(), F.col("ord")]
     top = rest.filter("next is not null").orderBy(*rank).limit(most)
     top = top.withColumn("pos", F.struct(F.lit(1).alias("part"), F.row_number().over(Window.orderBy(*rank)).cast("bigint").alias("at")))  # of at most `most` rows

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewindow.functions.dates import month_index, parse_mdy
@@ -27,21 +27,42 @@ def resolve_windows(raw: DataFrame, *, check_pct: bool = True) -> DataFrame:
     return rows.select(route_id(F.col("bank"), F.col("code")).alias("id"), "*", month_index(F.col("start")).alias("s"), month_index(F.col("end")).alias("e"))
 
 
+def in_months(windows: DataFrame) -> DataFrame:
+    """``windows`` with a row for each month ``m`` that a window touches, so that windows which share a day share a month."""
+    return windows.withColumn("m", F.explode(F.sequence(month_index(F.col("start")), month_index(F.col("end")))))
+
+
 def overlap_pairs(windows: DataFrame) -> DataFrame:
-    """Pairs of windows of one route that share a day: ``id, a_start, a_end, b_start, b_end``, the earlier start first.
+    """Pairs of windows of one route that share a day: ``id, a_start, a_end, b_start, b_end``, the earlier start first, of equal starts the lesser ``ord``.
 
-    A window that overlaps an earlier one is found by a running latest end per route; only
-    windows in such overlapping runs are joined, so a route's pairs are never all expanded.
+    The later window of a pair is looked up in the month in which it starts, among windows
+    that touch that month: a route with ever more windows is spread over its months, and
+    each pair is met once.
     """
-    order = Window.partitionBy("id").orderBy("start", "ord")
-    marked = windows.withColumn("rn", F.row_number().over(order)).withColumn("before", F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    runs = marked.withColumn("run", F.sum(F.when(F.col("before") >= F.col("start"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    side = lambda p: runs.select("id", "run", *(F.col(c).alias(f"{p}_{c}") for c in ("rn", "start", "end")))
-    pairs = side("a").join(side("b"), ["id", "run"]).filter("a_rn < b_rn and a_start <= b_end and b_start <= a_end")
+    columns = lambda p: [F.col(c).alias(f"{p}_{c}") for c in ("start", "end", "ord")]
+    touched = in_months(windows.select("id", "start", "end", "ord")).select("id", "m", *columns("a"))
+    starting = windows.select("id", month_index(F.col("start")).alias("m"), *columns("b"))
+    earlier = (F.col("a_start") < F.col("b_start")) | ((F.col("a_start") == F.col("b_start")) & (F.col("a_ord") < F.col("b_ord")))
+    pairs = touched.join(starting, ["id", "m"]).filter(earlier & (F.col("a_end") >= F.col("b_start")))
     return pairs.select("id", "a_start", "a_end", "b_start", "b_end")
 
 
+def day_bits(m: Column, start: Column, end: Column) -> Column:
+    """The days of month ``m`` from ``start`` to ``end``, as bits 1 to 31."""
+    first = F.make_date(F.floor(m / 12).cast("int"), (m % 12 + 1).cast("int"), F.lit(1))
+    bit = lambda day: F.call_function("shiftleft", F.lit(1).cast("bigint"), day)
+    return bit(F.dayofmonth(F.least(end, F.last_day(first))) + 1) - bit(F.dayofmonth(F.greatest(start, first)))
+
+
 def uncovered(windows: DataFrame, archive: DataFrame) -> DataFrame:
-    """``windows`` that share no day with a window of ``archive`` on the same route."""
-    w, a = windows.alias("w"), archive.select("id", "start", "end").alias("a")
-    return w.join(a, (F.col("w.id") == F.col("a.id")) & (F.col("w.end") >= F.col("a.start")) & (F.col("w.start") <= F.col("a.end")), "left_anti")
+    """``windows`` that share no day with a window of ``archive`` on the same route.
+
+    The archive is summed up to the covered days of each route and month, as bits, so that
+    a hot route has a row a month however many windows it has; of the windows, those whose
+    days in some month meet them go.
+    """
+    bits = day_bits(F.col("m"), F.col("start"), F.col("end"))
+    covered = in_months(archive.select("id", "start", "end")).groupBy("id", "m").agg(F.bit_or(bits).alias("days"))
+    spans = windows.select("id", "start", "end").distinct()
+    met = in_months(spans).join(covered, ["id", "m"]).filter(bits.bitwiseAND(F.col("days")) != 0).select("id", "start", "end").distinct()
+    return windows.join(met, ["id", "start", "end"], "left_anti").select(*windows.columns)

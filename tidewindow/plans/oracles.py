@@ -128,7 +128,7 @@ SELECT id, pct, CAST(z AS VARCHAR) AS end_date, min(ord) OVER (PARTITION BY id)
 QUALIFY row_number() OVER (PARTITION BY id ORDER BY pct DESC, ord) = 1""",
     "alias_resolve": "SELECT c_custkey, c_mktsegment || ' (' || lower(n_name) || ')' AS name, n_name AS code FROM customer JOIN nation ON c_nationkey = n_nationkey",
     "candidate_names": "SELECT s_suppkey, lower(s_name) || ' ' || lower(n_name) || '|' || lower(s_name) || '|' || lower(n_name) AS candidates FROM supplier JOIN nation ON s_nationkey = n_nationkey",
-    "unmapped_names": "SELECT s_suppkey AS ord, 'unknown partner \"' || s_name || '\"' AS reason FROM supplier",
+    "unmapped_names": "SELECT s_suppkey AS ord, CASE WHEN s_suppkey % 3 = 0 THEN 'unknown bank \"b' || s_suppkey ELSE 'unknown partner \"' || s_name END || '\"' AS reason FROM supplier",
     "transfer_times": f"""WITH {WIN}, {HIGH}, t AS (SELECT bank, code, count(*) || ' DAYS' AS time FROM high GROUP BY ALL)
 SELECT DISTINCT bank, code, coalesce(time, '—') AS time FROM win LEFT JOIN t USING (bank, code)""",
     "forecast_topk": f"""WITH {ONE},{MONTHS},{FINISH}, o AS (SELECT id, min(ord) AS ord FROM win GROUP BY id),
@@ -178,6 +178,13 @@ SELECT page_id, trim(regexp_replace(replace(regexp_extract(html, '(?i)<title[^>]
     "ledger_runs": f"""WITH {_EVENTS}, o AS (SELECT *, CASE WHEN d - lag(d) OVER w <= 1 THEN 0 ELSE 1 END AS opens FROM seen WINDOW w AS (PARTITION BY id ORDER BY d)),
 r AS (SELECT *, sum(opens) OVER (PARTITION BY id ORDER BY d) AS run FROM o)
 SELECT id, CAST(min(d) AS VARCHAR) AS firstSeen, CAST(max(d) AS VARCHAR) AS lastSeen, max(pct) AS pct FROM r GROUP BY id, run""",
+    "ledger_replay": """WITH RECURSIVE seen AS (SELECT user_id || '|' || event_type AS id, CAST(ts AS DATE) AS d, max(value) AS pct FROM events GROUP BY ALL),
+daily AS (SELECT *, CASE WHEN pct > 100 THEN d + 1 END AS z, row_number() OVER (PARTITION BY id ORDER BY d) AS rn FROM seen),
+walk AS (
+  SELECT id, rn, 1 AS entry, d AS f, d AS l, pct, z FROM daily WHERE rn = 1
+  UNION ALL SELECT n.id, n.rn, CASE WHEN goes THEN entry ELSE entry + 1 END, CASE WHEN goes THEN f ELSE d END, d, CASE WHEN goes THEN greatest(o_pct, n.pct) ELSE n.pct END, CASE WHEN goes THEN coalesce(n.z, o_z) ELSE n.z END
+  FROM (SELECT w.entry, w.f, w.pct AS o_pct, w.z AS o_z, n.*, n.d - w.l <= 1 AND NOT coalesce(w.z < n.d, false) AS goes FROM walk w JOIN daily n ON n.id = w.id AND n.rn = w.rn + 1) n)
+SELECT id, CAST(f AS VARCHAR) AS "firstSeen", CAST(l AS VARCHAR) AS "lastSeen", CAST(z AS VARCHAR) AS "endDate", pct FROM walk QUALIFY row_number() OVER (PARTITION BY id, entry ORDER BY rn DESC) = 1""",
     "ledger_step": f"""WITH {WIN}, {HIGH}, act AS (SELECT id, max(pct) AS pct, max(z) AS z FROM high GROUP BY id),
 hit AS (SELECT id, min(ord) AS ord FROM win WHERE DATE '{NOW}' - z <= 7 AND id IN (SELECT id FROM act) GROUP BY id)
 SELECT win.id, CAST(win.a AS VARCHAR) AS firstSeen, CAST(CASE WHEN hit.id IS NULL THEN win.z ELSE greatest(win.z, DATE '{NOW}') END AS VARCHAR) AS lastSeen,
@@ -187,12 +194,11 @@ UNION ALL SELECT id, '{NOW}', '{NOW}', CAST(z AS VARCHAR), pct FROM act WHERE id
     "directory_merge": f"""WITH {_directory("cur", 1, 30)}, {_directory("scr", 26, 50)}
 SELECT s.bank, s.name, CASE WHEN s.ratio <> '—' THEN s.ratio ELSE coalesce(c.ratio, '—') END AS ratio FROM scr s LEFT JOIN cur c USING (bank, name) WHERE s.bank IN (SELECT bank FROM cur)
 UNION ALL SELECT bank, name, ratio FROM cur WHERE bank NOT IN (SELECT bank FROM scr)""",
-    "rate_upsert": f"""WITH {_directory("cur", 1, 30)}, {_directory("scr", 26, 50)}
-SELECT coalesce(c.bank, s.bank) AS bank, coalesce(c.name, s.name) AS name, coalesce(nullif(s.ratio, '—'), c.ratio, '—') AS ratio,
-  CASE WHEN c.bank IS NULL THEN 'added' WHEN nullif(s.ratio, '—') <> c.ratio THEN 'updated' END AS change
-FROM cur c FULL JOIN scr s ON c.bank = s.bank AND c.name = s.name""",
-    "unpivot_ratio": """SELECT n_name, c_mktsegment AS bank, CAST(count(*) AS VARCHAR) AS cell FROM customer JOIN nation ON c_nationkey = n_nationkey
-WHERE c_mktsegment IN ('AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY') GROUP BY ALL""",
+    "rate_upsert": f"""WITH {_directory("cur", 1, 30)}, {_directory("scr", 26, 50)}, {_directory("more", 41, 50)},
+seen AS (SELECT bank, name, CASE WHEN more.bank IS NULL THEN nullif(scr.ratio, '—') ELSE '10:1' END AS ratio FROM scr LEFT JOIN more USING (bank, name))
+SELECT coalesce(c.bank, s.bank) AS bank, coalesce(c.name, s.name) AS name, coalesce(s.ratio, c.ratio, '—') AS ratio,
+  CASE WHEN c.bank IS NULL THEN 'added' WHEN s.ratio <> c.ratio THEN 'updated' END AS change
+FROM cur c FULL JOIN seen s ON c.bank = s.bank AND c.name = s.name""",
     "source_counts": f"""SELECT o_orderpriority AS source, count(*) AS entries, count(*) FILTER (o_totalprice > {LARGE}) AS kept, count(*) FILTER (o_totalprice > {LARGE}) = 0 AS failed
 FROM orders GROUP BY ALL""",
     "constraint_violations": f"""WITH {ONE},{MONTHS},{FINISH},

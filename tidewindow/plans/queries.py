@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewindow.functions.dates import length_label, month_index, parse_end_date, parse_mdy, window_label
+from tidewindow.functions.dates import month_index, parse_end_date, parse_mdy
 from tidewindow.functions.names import name_candidates, norm, resolve_by_join
 from tidewindow.operators import evaluate, ledger, routes, validate
 from tidewindow.operators.directory import merge_directory, upsert_rates
-from tidewindow.operators.forecast import at_dates, derive_history, masses, observed_months, with_priors
+from tidewindow.operators.forecast import at_dates, derive_history, history_lines, masses, observed_months, with_priors
 from tidewindow.operators.windows import overlap_pairs, uncovered
 from tidewindow.plans.tables import CUTOFFS, NOW, order_windows, table
 from tidewindow.sources.rates import page_partner, strip_tags
@@ -102,9 +102,8 @@ def typical_range(spark, sf_dir):
 
 
 def history_labels(spark, sf_dir):
-    w = order_windows(spark, sf_dir)
-    order = Window.partitionBy("id").orderBy(F.desc("start"), "ord")
-    return w.select("id", F.row_number().over(order).cast("long").alias("pos"), window_label(F.col("start")).alias("w"), "pct", length_label(F.col("start"), F.col("end")).alias("len"))
+    lines = history_lines(order_windows(spark, sf_dir)).select("id", F.posexplode("hist").alias("pos", "h"))
+    return lines.select("id", (F.col("pos") + 1).cast("long").alias("pos"), "h.w", "h.pct", "h.len")
 
 
 def overlaps(spark, sf_dir):
@@ -144,7 +143,9 @@ def candidate_names(spark, sf_dir):
 
 
 def unmapped_names(spark, sf_dir):
-    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("ord"), F.lit("bank").alias("bank"), F.lit("bank").alias("bankName"), F.col("s_name").alias("partnerName"), F.col("s_acctbal").alias("pct"), F.lit("").alias("endDateRaw"), F.lit("").alias("sourceUrl"))
+    """Suppliers as partners that no one knows, every third from a bank that no one knows either."""
+    known = F.when(F.col("s_suppkey") % 3 != 0, "bank")
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("ord"), known.alias("bank"), F.coalesce(known, F.concat(F.lit("b"), "s_suppkey")).alias("bankName"), F.col("s_name").alias("partnerName"), F.col("s_acctbal").alias("pct"), F.lit("").alias("endDateRaw"), F.lit("").alias("sourceUrl"))
     rows = resolve_by_join(s, "partnerName", _nation_aliases(spark, sf_dir), "code", "ord").withColumn("id", F.when(F.col("code").isNotNull(), F.col("code")))
     return routes.unmapped(rows).select("ord", "reason")
 
@@ -152,7 +153,7 @@ def unmapped_names(spark, sf_dir):
 def transfer_times(spark, sf_dir):
     w = order_windows(spark, sf_dir).select("bank", "code").distinct()
     times = order_windows(spark, sf_dir, "2-HIGH").groupBy("bank", "code").agg(F.concat(F.count("*").cast("string"), F.lit(" DAYS")).alias("time"))
-    return w.join(times, ["bank", "code"], "left").select("bank", "code", F.coalesce("time", F.lit(routes.UNKNOWN)).alias("time"))
+    return routes.with_names(w, times).select("bank", "code", "time")
 
 
 def _ranked(spark, sf_dir):
@@ -294,15 +295,10 @@ def directory_merge(spark, sf_dir):
 
 
 def rate_upsert(spark, sf_dir):
-    seen = _brand_directory(spark, sf_dir, 26, 50).select("bank", "name", F.nullif("ratio", F.lit("—")).alias("ratio"))
-    return upsert_rates(_brand_directory(spark, sf_dir, 1, 30), seen).select("bank", "name", "ratio", "change")
-
-
-def unpivot_ratio(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    segments = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
-    wide = c.groupBy("n_name").agg(*(F.sum(F.when(F.col("c_mktsegment") == s, 1)).cast("string").alias(s) for s in segments))
-    return wide.unpivot("n_name", segments, "bank", "cell").filter("cell is not null")
+    """Larger parts are seen a second time, at another rate: the last one holds."""
+    first = _brand_directory(spark, sf_dir, 26, 50).select("bank", "name", F.nullif("ratio", F.lit("—")).alias("ratio"), F.lit(0).alias("ord"))
+    again = _brand_directory(spark, sf_dir, 41, 50).select("bank", "name", F.lit("10:1").alias("ratio"), F.lit(1).alias("ord"))
+    return upsert_rates(_brand_directory(spark, sf_dir, 1, 30), first.unionByName(again)).select("bank", "name", "ratio", "change")
 
 
 def source_counts(spark, sf_dir):
@@ -324,6 +320,6 @@ QUERIES: dict[str, Query] = {
         next_best_month, recently_ended, typical_range, history_labels, overlaps, uncovered_windows, dedupe_max_pct, alias_resolve, candidate_names, unmapped_names,
         transfer_times, forecast_topk, stale_merge, cutoff_training, climatology, eval_rows, brier_logloss, yearly_scores, thickness_scores, worst_misses, calibration_bins,
         effective_events, bootstrap_delta, route_sizes, parse_dates, parse_end_dates, norm_text, page_titles, stripped_pages, props_field, ledger_runs, ledger_replay,
-        ledger_step, directory_merge, rate_upsert, unpivot_ratio, source_counts, constraint_violations,
+        ledger_step, directory_merge, rate_upsert, source_counts, constraint_violations,
     )
 }

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidewindow.functions.dates import month_index
 from tidewindow.functions.names import route_id
 
-NOW = date(2001, 8, 2)
+NOW, FEED_DAY = date(2001, 8, 2), date(2001, 8, 1)
 CUTOFFS = (date(1999, 1, 1), date(2001, 6, 1))
 LARGE, DAYS = 400_000, 35
 

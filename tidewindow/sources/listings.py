@@ -19,6 +19,10 @@ from pyspark.sql import functions as F
 from tidewindow.functions.dates import deadline_day, stripped
 from tidewindow.sources import html
 
+#: An ``ord`` has a page's place from PAGE_BITS on, an item's from ITEM_BITS on, and below that a part's: a million
+#: pages of a million items of 1,024 parts, in 50 bits.
+PAGE_BITS, ITEM_BITS = 30, 10
+
 # How the listings word a bonus.
 DETAILS = r"(?i)(\d+)%\s*transfer bonus\s+from\s+(.+?)\s+to\s+(.+)"
 TARGETED = r"(?i)\[\s*targeted\s*\]"
@@ -53,7 +57,7 @@ class Listing:
 def _exploded(pages: DataFrame, items: Column) -> DataFrame:
     rows = pages.select("page", "url", items.alias("items"))
     rows = rows.select("page", "url", F.posexplode("items").alias("at", "x"))
-    return rows.withColumn("ord", F.shiftleft(F.col("page").cast("bigint"), 32) + F.col("at"))
+    return rows.withColumn("ord", F.shiftleft(F.col("page").cast("bigint"), PAGE_BITS) + F.shiftleft(F.col("at").cast("bigint"), ITEM_BITS))
 
 
 def _number(text: Column) -> Column:
@@ -141,7 +145,7 @@ def offer_bonuses(pages: DataFrame, source: str, bank: str = "Livelo") -> DataFr
     rows = _exploded(pages, json_nodes(next_data(F.col("html")), "status.variations"))
     rows = rows.withColumn("node", F.from_json("x", kind)).filter("node.status.variations is not null")
     rows = rows.select("page", "url", F.col("ord").alias("node_at"), F.col("node.countdown.endDate").alias("deadline"), F.posexplode("node.status.variations").alias("k", "v"))
-    rows = rows.withColumn("ord", F.col("node_at") * 1000 + F.col("k"))
+    rows = rows.withColumn("ord", F.col("node_at") + F.col("k"))
     title, link = F.coalesce("v.title", F.lit("")), F.coalesce("v.button.redirectLink", F.lit(""))
     text = F.regexp_replace(F.concat(title, F.lit(" "), F.coalesce("v.description", F.lit(""))), r"<[^>]+>", " ")
     rows = rows.filter(F.col("v.status").isNull() | (F.col("v.status") == "") | F.col("v.status").rlike("(?i)vigente"))
