@@ -198,6 +198,20 @@ def test_labels_pick_voters_and_no_more(spark):
     assert a.voters.terms == b.voters.terms and np.allclose(a.weights, b.weights, atol=1e-6)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text("abABC-2%! #", max_size=9), max_size=90), st.sets(st.sampled_from(["aaaa-", "aaaa-2", "aaaa-%", "abab-", "abaab-2", "ab", "a-", "aaaaaaa-", "bbbb"])))
+def test_fired_terms_are_those_of_the_text(parts, lexicon):
+    text, lexicon = " ".join(parts), sorted(lexicon)
+    voters, words = toxicity.Voters(lexicon), toxicity.words_of(text)
+    hit = toxicity.terms_of(words) & set(lexicon)
+    bad = sum(w in hit or any(len(w) > k and w[:k] + "-" in hit for k in toxicity.BEGINNINGS) for w in words)
+    fired = voters.fired(text)
+    assert [lexicon[k] for k in fired if k < len(lexicon)] == sorted(hit)
+    told = [toxicity.PATTERNS[k - len(lexicon)] for k in fired if k >= len(lexicon)]
+    assert ("two words" in told, "three words" in told, "one in 100" in told) == (bad >= 2, bad >= 3, 0 < len(words) <= 100 * bad)
+    assert ("exclamations" in told) == ("!!" in text)
+
+
 def slow_label_model(rows, start, rounds, weighed):
     """Expectation maximisation with loops over rows, voters and pairs of voters."""
     prior, a, b, m = start.prior, start.on1.tolist(), start.on0.tolist(), len(start.on1)

@@ -76,13 +76,28 @@ class Voters:
     def __init__(self, terms: list[str]):
         self.place = {w: k for k, w in enumerate(terms)}
         self.terms, self.size = frozenset(terms), len(terms) + len(PATTERNS)
+        marks = re.compile(r"(.*)-[2%]?", re.S).fullmatch
+        begun = {m[1] for w in terms if (m := marks(w))}
+        self.begun = [(k, {b for b in begun if len(b) == k}) for k in BEGINNINGS]
 
     def fired(self, text: str) -> list[int]:
+        """Places of the voters that fire on a text: the terms among :func:`terms_of` its words, and patterns."""
         words = words_of(text)
-        hit = terms_of(words) & self.terms
-        bad = sum(w in hit or any(len(w) > k and w[:k] + "-" in hit for k in BEGINNINGS) for w in words) if hit else 0
+        hit = words & self.terms
+        bad, many = set(hit), max(2, len(words) // 60)
+        for k, begun in self.begun:
+            seen: dict[str, list[str]] = {}
+            for w in words:
+                if len(w) > k and w[:k] in begun:
+                    seen.setdefault(w[:k], []).append(w)
+            for b, those in seen.items():
+                told = {b + "-"} | ({b + "-2"} if len(those) > 1 else set()) | ({b + "-%"} if len(those) >= many else set())
+                hit |= told & self.terms
+                if b + "-" in self.terms:
+                    bad.update(those)
+        n, m = len(words), len(bad)
         patterns = (
-            not words.isdisjoint(INSULTS), bad >= 2, bad >= 3, 0 < len(words) <= 100 * bad, 0 < len(words) <= 30 * bad,
+            not words.isdisjoint(INSULTS), m >= 2, m >= 3, 0 < n <= 100 * m, 0 < n <= 30 * m,
             _SHOUTS.search(text) is not None, len(_CAPITALS.findall(text)) > 3, _SYMBOLS.search(text) is not None,
         )
         return sorted(self.place[w] for w in hit) + [len(self.place) + k for k, p in enumerate(patterns) if p]
