@@ -14,7 +14,7 @@ ORACLE_SQL: dict[str, str] = {
     "archive_table_rows": f"""WITH {WIN} SELECT {_RAW}, strftime(a, '%m/%d/%y') AS "startDateRaw", strftime(z, '%m/%d/%y') AS "endDateRaw" FROM win WHERE ord % 7 <> 0""",
     "bonus_grid_rows": f"""WITH {WIN} SELECT {_RAW}, strftime(z, '%B %-d, %Y') AS "endDateRaw" FROM win""",
     "offer_rows": f"""WITH {WIN}, o AS (SELECT * FROM win WHERE ord % 5 <> 0 QUALIFY row_number() OVER (PARTITION BY id, pct ORDER BY ord) = 1)
-SELECT array_to_string(list_transform(string_split(lower(code), ' '), lambda x: upper(x[1]) || x[2:]), ' ') AS "partnerName", pct,
+SELECT array_to_string(list_transform(string_split(replace(lower(code), '_', ' '), ' '), lambda x: upper(x[1]) || x[2:]), ' ') AS "partnerName", pct,
   strftime(CASE WHEN ord % 2 = 0 THEN z + 1 ELSE z END, '%d/%m') AS "endDateRaw" FROM o""",
     "banner_rows": f"""WITH {WIN}, b AS (SELECT DISTINCT id, code, pct, strftime(z, '%d/%m/%y') AS d FROM win) SELECT code AS "partnerName", pct, d AS "endDateRaw" FROM b""",
     "unpivot_ratio": """SELECT CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'AMEX' WHEN 'BUILDING' THEN 'CHASE' WHEN 'FURNITURE' THEN 'CITI' WHEN 'HOUSEHOLD' THEN 'C1' ELSE 'BILT' END AS bank,
@@ -44,8 +44,8 @@ UNION ALL SELECT id, 2, NULL, NULL FROM ended WHERE id NOT IN (SELECT id FROM up
 feed AS (SELECT r.id, p.p2, w.p AS w1 FROM routes r JOIN prob p ON p.id = r.id AND p.cal = {NOW.month - 1} LEFT JOIN wait w ON w.id = r.id AND w.h = 1 WHERE r.id < 'g')
 SELECT act.id, CAST(z AS VARCHAR) AS end_date, p2, w1, CASE WHEN feed.id IS NULL THEN true END AS absent, '{FEED_DAY}' AS as_of FROM act LEFT JOIN feed USING (id)""",
     "ledger_as_history": f"""WITH {WIN}, {HIGH}, one AS (SELECT ord, id, a, a + 2 AS l, CASE ord % 3 WHEN 0 THEN a - 1 WHEN 1 THEN z END AS e FROM win),
-both AS (SELECT * FROM one UNION ALL SELECT -ord, id, a, l, e FROM one WHERE ord % 2 = 0),
-w AS (SELECT ord, id, a, CASE WHEN e >= a THEN e ELSE l END AS z FROM both QUALIFY row_number() OVER (PARTITION BY id, a, e ORDER BY ord) = 1)
+twice AS (SELECT * FROM one UNION ALL SELECT -ord, id, a, l, e FROM one WHERE ord % 2 = 0),
+w AS (SELECT ord, id, a, CASE WHEN e >= a THEN e ELSE l END AS z FROM twice QUALIFY row_number() OVER (PARTITION BY id, a, e ORDER BY ord) = 1)
 SELECT ord, id, CAST(a AS VARCHAR) AS start, CAST(z AS VARCHAR) AS "end", year(a) * 12 + month(a) - 1 AS s FROM w WHERE {_UNCOVERED}""",
     "fold_directory": """WITH p AS (SELECT p_brand AS bank, p_type AS name, CASE WHEN p_size % 3 = 0 THEN '—' ELSE p_size || ':1' END AS ratio, p_partkey AS k FROM part)
 SELECT bank, name, coalesce(arg_min(ratio, k) FILTER (ratio <> '—'), '—') AS ratio, row_number() OVER (PARTITION BY bank ORDER BY name) AS ord FROM p GROUP BY bank, name""",

@@ -76,7 +76,7 @@ def bonus_grid_rows(spark, sf_dir):
 
 def offer_rows(spark, sf_dir):
     """Every fifth offer is over, every second has a deadline, the others an end in words."""
-    slug = _joined("/x/livelo-para-parceiros/", F.lower(F.replace("code", F.lit(" "), F.lit("-"))), "/")
+    slug = _joined("/x/livelo-para-parceiros/", F.translate(F.lower("code"), " _", "--"), "/")
     words = _joined("<b>", PCT, "%</b> de bônus até ", F.date_format("end", "dd/MM"))
     variation = F.struct(
         F.when(ORD % 5 == 0, "Encerrada").otherwise("Vigente").alias("status"), F.lit("Ganhe").alias("title"), words.alias("description"), F.struct(slug.alias("redirectLink")).alias("button"),
