@@ -12,7 +12,7 @@ that a small group's threshold is mostly its language's, with no switch on size.
 thresholds are joined back and rows beyond any of them fail.
 
 Sketches with SKETCH as their size are exact for groups of about as many rows; beyond that
-their ranks are off by 0.4 % or less, and as they thin out at random, a row within that
+their ranks are off by about 0.2 %, and as they thin out at random, a row within that
 distance of a threshold can get another verdict in another run.
 
 Defined results: a null or empty text has no words and fails the base rule; null languages
@@ -40,7 +40,7 @@ UPPER, LOWER = ("symbol_share", "dup_line_share", "upper_share", "bang_share", "
 #: Rows that the fence of the wider group counts as.
 SHARED = 200
 #: Size of a sketch, and steps between the ranks it is asked for.
-SKETCH, STEPS = 800, 200
+SKETCH, STEPS = 2000, 200
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
