@@ -11,6 +11,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidewindow.llm import label_model, mixing, pii, quality_gam, quality_rules, toxicity
+from tidewindow.llm.common import tokenizer_json
+from tidewindow.llm.token_counts import token_counts
 
 DOCS = "doc_id bigint, text string, lang string, source string, score double, kept string, topic string"
 KINDS = (
@@ -360,6 +362,65 @@ def test_rows_without_an_id_are_drawn_one_by_one(spark):
     assert 140 < sum(x["taken"] for x in got) < 260
 
 
+def test_mixing_by_counted_tokens(spark):
+    """Rakes the counts of another operator: expected tokens, not words, meet the targets."""
+    r = random.Random(3)
+    rows = [(k, " ".join(r.choice(("internationalisation", "a", "of")) for _ in range(r.randint(5, 60))), r.choice(("en", "de")), r.choice(("a", "b", "b", "b"))) for k in range(600)]
+    rows += [(600, None, None, None), (None, "x", "en", "a")]
+    docs = frame(spark, rows)
+    counted = docs.join(token_counts(docs, tokenizer_json("byte_bpe_50k.json")).select("doc_id", "n_tokens"), "doc_id", "left")
+    shares = [("source", "a", 1.0), ("source", "b", 1.0), ("lang", "en", 1.0), ("lang", "de", 1.0), ("topic", "t", 1.0)]
+    targets = spark.createDataFrame(shares, "dim string, value string, share double")
+    mixed = mixing.mix_sources(counted, targets, budget=0.3, topic=F.lit("t"), tokens=F.col("n_tokens"))
+    got = mixed.collect()
+    assert len(got) == 602
+    total = sum(x["n_tokens"] * x["probability"] for x in got)
+    for dim, value, share in (("source", "a", 0.5), ("lang", "de", 0.5)):
+        assert abs(sum(x["n_tokens"] * x["probability"] for x in got if x[dim] == value) / total - share) < 2e-3
+    words = mixing.mix_sources(counted, targets, budget=0.3, topic=F.lit("t")).agg(F.sum("n_tokens")).first()[0]
+    assert words < sum(x["n_tokens"] for x in got)
+
+
+def test_classifiers_and_mixing_on_odd_rows(spark):
+    """Null and repeated ids, null and very long texts, ties."""
+    docs, labels = labelled(spark, [])
+    model = quality_gam.fit_gam(docs, labels, "quality")
+    odd = frame(spark, [(None, "A b. " * 60_000, "en", "s"), (None, None, None, None), (5, "x", "en", "s"), (5, "x", "en", "s"), (5, "", None, "s")])
+    got = quality_gam.score_quality(odd, model).collect()
+    assert len(got) == 5 and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in got)
+    assert sorted(r["score"] for r in got if r["doc_id"] == 5)[0:1] and len({r["score"] for r in got if r["doc_id"] == 5}) == 2
+    loop = []  # additions, one table at a time
+    x = quality_gam.features(["A b. " * 50, "x", ""])
+    for row in x:
+        margin = model.base + sum(t[np.searchsorted(e, v, side="right")] for t, e, v in zip(model.tables, model.edges, row))
+        margin += sum(t[np.searchsorted(model.coarse[i], row[i], side="right"), np.searchsorted(model.coarse[j], row[j], side="right")] for (i, j), t in zip(model.pairs, model.pair_tables))
+        loop.append(1 / (1 + np.exp(-margin)))
+    assert np.allclose(model.score(x), loop, atol=1e-12)
+    mixed = mixing.mix_sources(odd).collect()
+    assert len(mixed) == 5 and sum(r["n_tokens"] for r in mixed) == 120_002 and len({r["taken"] for r in mixed if r["doc_id"] == 5 and r["n_tokens"]}) == 1
+    ruled = quality_rules.quality_rules(odd).collect()
+    assert len(ruled) == 5 and sum(r["n_words"] for r in ruled) == 120_002 and all(r["base_failed"] for r in ruled)
+
+
+def test_pipeline_on_an_empty_table_and_clashing_columns(spark, tmp_path):
+    import corpus_pipeline as P
+
+    more = "doc_id bigint, text string, lang string, source string, n_chars int, group string, taken string, keep_id string, node string, id string, t string, k string"
+    words = " ".join(f"w{k}" for k in range(40))
+    rows = [(k, t, "en", "s", 1, "g", "t", "k", "n", "i", "t", "k") for k, t in enumerate([words, words, words + " x", "y " * 20, None, "you idiot", "z " * 100_000])]
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, some in (("full", rows), ("none", [])):
+        spark.createDataFrame(some, more).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+        docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+        for stage, run in P.STAGES[:-1]:
+            kept = run(spark, docs, str(tmp_path))
+            assert kept.columns == docs.columns, stage
+            ids = sorted(r["doc_id"] for r in kept.collect())
+            want = {"toxicity": [0, 1, 2, 3, 4, 6], "exact dedup": [0, 2, 3, 4, 5, 6], "MinHash near-dedup": [0, 3, 4, 5, 6]}.get(stage)
+            assert not some and ids == [] or some and want in (None, ids), stage
+        assert P.run(spark, str(tmp_path)).count() == 0 or some
+
+
 def test_pipeline_on_the_smallest_tables(spark):
     import corpus_pipeline as P
 

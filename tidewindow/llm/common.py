@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewindow.functions.shared import shared_dir, written
+
+__all__ = ["BATCH_ROWS", "PairTable", "byte_alphabet", "ragged", "released", "shared_dir", "small_batches", "table", "text_or_empty", "tokenizer_json", "written"]
+
 #: Rows in one Arrow batch. Documents may be long, so a batch stays at some MB.
 BATCH_ROWS = 1000
 
@@ -35,7 +37,7 @@ def text_or_empty(column: str | Column = "text") -> Column:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of whole texts at a few MB."""
+    """Keep Arrow batches of whole texts at a few MB. The session keeps the smaller size, as results are lazy and are planned when they are used."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key, "10000"))
     if now <= 0 or now > BATCH_ROWS:
@@ -49,24 +51,6 @@ def released(batches: Iterator) -> Iterator:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it. Where it names none, a local session has one of its own; a cluster must name one."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        named = f"file://{tempfile.gettempdir()}/checkpoints-{spark.sparkContext.applicationId}"
-    return named.rstrip("/")
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 class PairTable:
     """A fixed map from pairs of small integers to an integer, looked up for whole arrays.
 

@@ -177,6 +177,7 @@ def mix_sources(
     lang: str = "lang",
     source: str = "source",
     topic: Column | None = None,
+    tokens: Column | None = None,
     seed: int = 17,
 ) -> DataFrame:
     """``key, source, lang, topic, n_tokens, weight, probability, taken, copies`` of every row.
@@ -184,13 +185,15 @@ def mix_sources(
     ``targets``: ``dim`` (source, lang or topic), ``value`` and ``share``; by default the
     corpus's own shares, flattened. ``budget``: expected share of the tokens that are taken,
     or less where the targets allow less without repeats; that of ``copies`` is met.
-    ``drawn_by``: the column whose hash decides, ``key`` by default.
+    ``drawn_by``: the column whose hash decides, ``key`` by default. ``topic`` and ``tokens``:
+    a topic and a token count that rows have, as of another operator; by default markers in
+    the text and its words. A null or negative count counts as none.
     """
     t = text_or_empty(text)
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     by = F.col(drawn_by or key)
     u = F.when(by.isNull(), uniform(t, seed)).otherwise(uniform(by, seed))
-    rows = docs.select(F.col(key).alias("id"), name(source).alias("source"), name(lang).alias("lang"), F.coalesce(topic_of(t) if topic is None else topic, F.lit("")).alias("topic"), token_count(t).alias("tokens"), u.alias("u"))
+    rows = docs.select(F.col(key).alias("id"), name(source).alias("source"), name(lang).alias("lang"), F.coalesce(topic_of(t) if topic is None else topic, F.lit("")).alias("topic"), (token_count(t) if tokens is None else F.greatest(F.coalesce(tokens, F.lit(0)), F.lit(0)).cast("long")).alias("tokens"), u.alias("u"))
     rows = written(rows, "tokens")
     cells = written(rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")), "cells")
     weights = with_probability(rake(cells, flattened(cells) if targets is None else targets), budget)
