@@ -200,6 +200,19 @@ def test_labels_pick_voters_and_no_more(spark):
     assert a.voters.terms == b.voters.terms and np.allclose(a.weights, b.weights, atol=1e-6)
 
 
+def test_copies_of_a_text_do_not_make_its_words_toxic(spark):
+    docs, labels = labelled(spark, ["vexqua", "zorblim", "hackwitz"])
+    rows, more = [], []
+    for c in range(40):  # near copies of one labelled toxic text, whose words are common ones
+        words = [f"plain{k}" for k in range(60)]
+        words[c % 60] = f"other{c}"
+        rows.append((1000 + c, " ".join(words), "en", "s"))
+        more.append((1000 + c, 0, 1, "clash"))
+    docs, labels = docs.unionByName(frame(spark, rows)), labels.unionByName(spark.createDataFrame(more, labels.schema))
+    terms = toxicity.fit_toxicity(docs, labels).voters.terms
+    assert terms and not any(t.startswith(("plai", "othe")) for t in terms)
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.text("abABC-2%! #", max_size=9), max_size=90), st.sets(st.sampled_from(["aaaa-", "aaaa-2", "aaaa-%", "abab-", "abaab-2", "ab", "a-", "aaaaaaa-", "bbbb"])))
 def test_fired_terms_are_those_of_the_text(parts, lexicon):

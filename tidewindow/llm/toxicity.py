@@ -10,8 +10,10 @@ the sample train a linear classifier over the same voters, which scores any text
 
 Given labels choose the lexicon and the rates that the label model starts from, so that
 class 1 is the toxic one; neither its posterior nor the classifier sees them. At most
-TRAIN_ROWS labelled rows outside the held-out fold are used; the lexicon has every term
-whose association with their label is significant. Weights, a number a term, are broadcast.
+TRAIN_ROWS labelled rows outside the held-out fold are used, near copies among them as one
+(:mod:`tidewindow.llm.near_dup`), as else the words of any text with many copies would tell
+its label; the lexicon has every term whose association with the label is significant.
+Weights, a number a term, are broadcast.
 
 Defined results: null and empty texts get the score of a text without voters; without
 labelled rows of both classes nothing is mined and the insult lexicon alone decides;
@@ -34,6 +36,7 @@ from pyspark.sql import functions as F
 from tidewindow.llm.common import released, small_batches, text_or_empty, written
 from tidewindow.llm.label_model import LabelModel, dense, fit_label_model
 from tidewindow.llm.labelled import held_out, training_rows
+from tidewindow.llm.near_dup import near_duplicates
 
 #: Labelled rows that are learned from, at most.
 TRAIN_ROWS = 10_000
@@ -178,7 +181,9 @@ class ToxicityModel:
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", *, text: str = "text", key: str = "doc_id", most: int = TRAIN_ROWS) -> ToxicityModel:
     """Learns from the votes on all texts, and from at most ``most`` labelled rows which votes those are; the sample's votes (some MB) come to the driver."""
     small_batches(docs.sparkSession)
-    sample = written(training_rows(docs, labels, label, text=text, key=key, most=most), "labelled")
+    sample = written(training_rows(docs, labels, label, text=text, key=key, most=most).withColumn("row", F.monotonically_increasing_id()), "labelled")
+    once = near_duplicates(sample, text="t", key="row").filter("kept").select("row")
+    sample = written(sample.join(once, "row", "left_semi"), "labelled")
     terms = mine_terms(sample)
     if not terms:
         return ToxicityModel([], np.array([4.0] + [0.0] * (len(PATTERNS) - 1)), -2.0)
