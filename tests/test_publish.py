@@ -10,6 +10,7 @@ from tidewindow.operators import routes as R
 from tidewindow.operators import validate as V
 from tidewindow.plans import publish as P
 from tidewindow.sources import listings, rates
+from tidewindow.sources.pages import fetch_page, fetched_pages, saved_pages
 from tidewindow.streaming.ledger import ledger_stream
 
 NOW = date(2026, 7, 24)
@@ -199,6 +200,28 @@ def test_publish(spark, tmp_path):
     assert not bad.ok and len(bad.failed) == 3 and (tmp_path / "feed.json").read_bytes() == before
 
 
+def test_pages_saved_and_fetched(spark, tmp_path):
+    (tmp_path / "table.html").write_text(TABLE, encoding="utf-8")
+    (tmp_path / "grid.html").write_text("é", encoding="utf-8")
+    got = saved_pages(spark, str(tmp_path), ["table", "grid", "offers"])
+    assert got["offers"] is None and got["grid"].first()["html"] == "é" and got["grid"].columns == ["page", "url", "html"]
+    assert listings.BONUS_TABLE.parse(got["table"]).count() == 2
+    waits, answers = [], iter([OSError("down"), "shell", "page"])
+
+    def read(url, timeout):
+        a = next(answers)
+        if isinstance(a, Exception):
+            raise a
+        return a
+
+    assert fetch_page("u", usable=lambda h: h == "page", read=read, sleep=waits.append) == "page" and waits == [1.5, 3.0]
+    with pytest.raises(ValueError, match="not usable"):
+        fetch_page("u", usable=lambda h: False, read=lambda u, t: "x", sleep=waits.append)
+    answers = iter(["a", OSError(), OSError()])
+    both = fetched_pages(spark, {"one": "u1", "two": "u2"}, tries=2, read=read, sleep=waits.append)
+    assert both["one"].first()["html"] == "a" and both["two"] is None
+
+
 def test_cliff_and_broken_ledger(spark, tmp_path):
     routes = [{"id": f"x-{k}", "bank": "X", "code": "Y", "airline": "y", "time": "—", "typical": "—", "mp": [0.0] * 12, "hist": []} for k in range(40)]
     (tmp_path / "feed.json").write_text(json.dumps({"version": 1, "generatedAt": "2026-07-23T00:00:00.000Z", "routes": routes}))

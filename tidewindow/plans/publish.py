@@ -111,9 +111,19 @@ def _routes(spark: SparkSession, doc: dict | None) -> DataFrame | None:
     return rows.select("k", F.from_json("r", ROUTE).alias("r")).select("r.*", F.struct(F.lit(0).alias("part"), F.col("k").alias("at")).alias("pos"))
 
 
-def publish(
-    spark: SparkSession, pages: dict[str, DataFrame | None], out_dir: str, now: datetime, *, sources: tuple[Source, ...] = SOURCES, ledger_path: str | None = None,
-    times: DataFrame | None = None, curated: DataFrame | None = None, scraped: list[DataFrame] | None = None, partners: dict | None = None, compat: bool = False,
+def publish(spark: SparkSession, pages: dict[str, DataFrame | None], out_dir: str, now: datetime, **options) -> Outcome:
+    """Runs :func:`run_publish`, and lets go of what it holds in memory."""
+    held: list[DataFrame] = []
+    try:
+        return run_publish(spark, pages, out_dir, now, held, **options)
+    finally:
+        for df in held:
+            df.unpersist()
+
+
+def run_publish(
+    spark: SparkSession, pages: dict[str, DataFrame | None], out_dir: str, now: datetime, held: list[DataFrame], *, sources: tuple[Source, ...] = SOURCES,
+    ledger_path: str | None = None, times: DataFrame | None = None, curated: DataFrame | None = None, scraped: list[DataFrame] | None = None, partners: dict | None = None, compat: bool = False,
 ) -> Outcome:
     """``pages``: for each source id its pages (page, url, html), or None if they could not be had.
 
@@ -125,6 +135,8 @@ def publish(
     parsed = []
     for k, s in enumerate(sources):
         rows = None if pages.get(s.id) is None else s.parse(pages[s.id]).withColumn("ord", F.col("ord") + (k << 50)).cache()
+        if rows is not None:
+            held.append(rows)
         try:
             out.counts[s.id] = 0 if rows is None else rows.count()
         except Exception as e:  # a page that can't be parsed fails its source, never the run
@@ -147,6 +159,7 @@ def publish(
     # banners write the day first, in dates with a year too
     routes, missing = all_routes(raw, history, today, times, day_first=None if compat else F.col("source") == "banners")
     routes = routes.cache()
+    held.append(routes)
 
     feed_path = os.path.join(out_dir, "feed.json")
     before = read_json(feed_path)
