@@ -40,13 +40,14 @@ def _data(json: str) -> tuple[str, str]:
     return f'<script id="__NEXT_DATA__" type="application/json">{before}', f"{after}</script>"
 
 
-BANK, CODE, PCT, ORD = F.col("bank"), F.col("code"), F.col("pct").cast("int").cast("string"), F.col("ord")
+def _pct() -> Column:
+    return F.col("pct").cast("int").cast("string")
 
 
 def _row(mark: str | Column = "") -> Column:
     day = lambda c: F.date_format(c, "MM/dd/yy")
     return _joined(
-        "<tr><td>", BANK, '</td><td><a href="#">', mark, PCT, "% transfer bonus from ", BANK, " to ", CODE,
+        "<tr><td>", F.col("bank"), '</td><td><a href="#">', mark, _pct(), "% transfer bonus from ", F.col("bank"), " to ", F.col("code"),
         '</a></td><td><p style="display:none">9</p>', day("start"), "</td><td><p>9</p>", day("end"), "</td></tr>",
     )
 
@@ -60,15 +61,15 @@ def bonus_table_rows(spark, sf_dir):
 
 
 def archive_table_rows(spark, sf_dir):
-    targeted = F.when(ORD % 7 == 0, "[Targeted] ").otherwise("")
+    targeted = F.when(F.col("ord") % 7 == 0, "[Targeted] ").otherwise("")
     pages = _pages(order_windows(spark, sf_dir), _row(targeted), f"<h3>Current and upcoming</h3>{_TABLE}<tr><td>x</td></tr>{_END}<h3>Expired bonuses</h3>{_TABLE}", _END)
     return listings.table_archive(pages, "table").select("bankName", "partnerName", "pct", "startDateRaw", "endDateRaw")
 
 
 def bonus_grid_rows(spark, sf_dir):
     item = _joined(
-        '<div class="tt-row"><div class="tt-body"><div class="tt-from">', BANK, ' <span class="tt-arrow">to</span></div><div class="tt-to">', CODE,
-        '<span class="tt-bonus">', PCT, "% until ", F.date_format("end", "MMMM d, yyyy"), "</span></div></div></div>",
+        '<div class="tt-row"><div class="tt-body"><div class="tt-from">', F.col("bank"), ' <span class="tt-arrow">to</span></div><div class="tt-to">', F.col("code"),
+        '<span class="tt-bonus">', _pct(), "% until ", F.date_format("end", "MMMM d, yyyy"), "</span></div></div></div>",
     )
     pages = _pages(order_windows(spark, sf_dir), item, '<h2><span id="Current_Transfer_Bonuses">x</span></h2><div class="transfer-times">', "</div>")
     return listings.grid_bonuses(pages, "grid").select("bankName", "partnerName", "pct", "endDateRaw")
@@ -77,18 +78,18 @@ def bonus_grid_rows(spark, sf_dir):
 def offer_rows(spark, sf_dir):
     """Every fifth offer is over, every second has a deadline, the others an end in words."""
     slug = _joined("/x/livelo-para-parceiros/", F.translate(F.lower("code"), " _", "--"), "/")
-    words = _joined("<b>", PCT, "%</b> de bônus até ", F.date_format("end", "dd/MM"))
+    words = _joined("<b>", _pct(), "%</b> de bônus até ", F.date_format("end", "dd/MM"))
     variation = F.struct(
-        F.when(ORD % 5 == 0, "Encerrada").otherwise("Vigente").alias("status"), F.lit("Ganhe").alias("title"), words.alias("description"), F.struct(slug.alias("redirectLink")).alias("button"),
+        F.when(F.col("ord") % 5 == 0, "Encerrada").otherwise("Vigente").alias("status"), F.lit("Ganhe").alias("title"), words.alias("description"), F.struct(slug.alias("redirectLink")).alias("button"),
     )
-    deadline = F.when(ORD % 2 == 0, F.date_format(F.date_add("end", 1), "yyyy-MM-dd"))
+    deadline = F.when(F.col("ord") % 2 == 0, F.date_format(F.date_add("end", 1), "yyyy-MM-dd"))
     node = F.to_json(F.struct(F.struct(F.array(variation).alias("variations")).alias("status"), F.struct(deadline.alias("endDate")).alias("countdown")))
     pages = _pages(order_windows(spark, sf_dir), node, *_data('{"a":[%]}'), between=",")
     return listings.offer_bonuses(pages, "offers").select("partnerName", "pct", "endDateRaw")
 
 
 def banner_rows(spark, sf_dir):
-    alt = _joined("Ao transferir, ", PCT, "% de bônus, só até ", F.date_format("end", "dd/MM/yy"), " a marca da ", CODE, " e o botão")
+    alt = _joined("Ao transferir, ", _pct(), "% de bônus, só até ", F.date_format("end", "dd/MM/yy"), " a marca da ", F.col("code"), " e o botão")
     pages = _pages(order_windows(spark, sf_dir), _joined('<a href="/p/x/e1"><img alt="', alt, '"></a><img alt="bônus">'), "<body>", "</body>")
     return listings.banner_bonuses(pages, "banners").select("partnerName", "pct", "endDateRaw")
 
@@ -118,21 +119,21 @@ def _supplier_pages(spark, sf_dir, item: Column, json: str) -> DataFrame:
 
 def listed_partners(spark, sf_dir):
     """Suppliers with a negative balance are no longer active; every third has a link from the root."""
-    link = F.when(ORD % 3 == 0, _joined("/p/", ORD.cast("string"))).otherwise(_joined("https://x.org/", ORD.cast("string")))
+    link = F.when(F.col("ord") % 3 == 0, _joined("/p/", F.col("ord").cast("string"))).otherwise(_joined("https://x.org/", F.col("ord").cast("string")))
     item = F.to_json(F.struct(F.col("s_name").alias("nomeParceiro"), link.alias("redirectUrl"), F.when(F.col("s_acctbal") < 0, "Inativo").otherwise("Ativo").alias("status")))
     return rates.listed_partners(_supplier_pages(spark, sf_dir, item, '{"x":[{"listPartners":[%]}]}')).select("name", "url")
 
 
 def list_directory(spark, sf_dir):
-    item = F.to_json(F.struct(F.when(ORD % 4 == 0, _joined("Hilton ", F.col("s_name"))).otherwise(F.col("s_name")).alias("nomeParceiro"), F.when(F.col("s_acctbal") < 0, "Inativo").alias("status")))
+    item = F.to_json(F.struct(F.when(F.col("ord") % 4 == 0, _joined("Hilton ", F.col("s_name"))).otherwise(F.col("s_name")).alias("nomeParceiro"), F.when(F.col("s_acctbal") < 0, "Inativo").alias("status")))
     rows = directory.list_directory(_supplier_pages(spark, sf_dir, item, '{"listPartners":[%]}'))
     return rows.select("bank", "bucket", "name", "ratio")
 
 
 def menu_directory(spark, sf_dir):
     """Links that are no product pages are left out, as are names of no travel partners."""
-    title = F.when(ORD % 6 == 0, _joined("Dotz ", F.col("s_name"))).otherwise(F.col("s_name"))
-    link = F.struct(title.alias("title"), F.when(F.col("s_acctbal") < 0, "/q/1").otherwise(_joined("/p/", ORD.cast("string"))).alias("href"))
+    title = F.when(F.col("ord") % 6 == 0, _joined("Dotz ", F.col("s_name"))).otherwise(F.col("s_name"))
+    link = F.struct(title.alias("title"), F.when(F.col("s_acctbal") < 0, "/q/1").otherwise(_joined("/p/", F.col("ord").cast("string"))).alias("href"))
     item = F.to_json(F.struct(link.alias("menuLink")))
     pages = _supplier_pages(spark, sf_dir, item, '[{"mainItemLabel":{"title":"Parceiros Nacionais"},"groupMenuItemsLinks":[%]},{"mainItemLabel":{"title":"x"},"groupMenuItemsLinks":[]}]')
     return directory.menu_directory(pages).select("bank", "name")
@@ -140,7 +141,7 @@ def menu_directory(spark, sf_dir):
 
 def showcase_ids(spark, sf_dir):
     """Each supplier's number twice, once with too many digits."""
-    number = F.lpad(ORD.cast("string"), 9, "0")
+    number = F.lpad(F.col("ord").cast("string"), 9, "0")
     item = F.to_json(F.struct(_joined("e", number, ", e", number, ",e1", number).alias("showcaseProductsId")))
     return rates.showcase_ids(_supplier_pages(spark, sf_dir, item, "[%]")).select("id", "url")
 
@@ -178,10 +179,10 @@ def resolved_windows(spark, sf_dir):
     """Orders as raw windows; every seventh names no known bank, every ninth has a date that there is none, every eleventh no bonus."""
     w = order_windows(spark, sf_dir)
     banks = list(BANK_ALIASES)
-    name = F.element_at(F.array(*(F.lit(BANK_ALIASES[b][-1]) for b in banks)), (ORD % len(banks) + 1).cast("int"))
+    name = F.element_at(F.array(*(F.lit(BANK_ALIASES[b][-1]) for b in banks)), (F.col("ord") % len(banks) + 1).cast("int"))
     raw = w.select(
-        F.when(ORD % 7 == 0, "no bank").otherwise(F.upper(name)).alias("bankName"), F.when(ORD % 2 == 0, "Smiles (GOL)").otherwise("LATAM - Latam Pass").alias("partnerName"),
-        F.when(ORD % 11 == 0, 0.0).otherwise(F.col("pct")).alias("pct"), F.when(ORD % 9 == 0, "02/30/01").otherwise(F.date_format("start", "M/d/yyyy")).alias("startDateRaw"), F.date_format("end", "MM/dd/yyyy").alias("endDateRaw"), "ord",
+        F.when(F.col("ord") % 7 == 0, "no bank").otherwise(F.upper(name)).alias("bankName"), F.when(F.col("ord") % 2 == 0, "Smiles (GOL)").otherwise("LATAM - Latam Pass").alias("partnerName"),
+        F.when(F.col("ord") % 11 == 0, 0.0).otherwise(F.col("pct")).alias("pct"), F.when(F.col("ord") % 9 == 0, "02/30/01").otherwise(F.date_format("start", "M/d/yyyy")).alias("startDateRaw"), F.date_format("end", "MM/dd/yyyy").alias("endDateRaw"), "ord",
     )
     return resolve_windows(raw).select("ord", "id", F.col("start").cast("string").alias("start"), F.col("end").cast("string").alias("end"), F.col("s").cast("long").alias("s"))
 
@@ -221,9 +222,9 @@ def ledger_stamps(spark, sf_dir):
 
 def _entries(spark, sf_dir):
     w = order_windows(spark, sf_dir)
-    end = F.when(ORD % 3 == 0, F.date_sub("start", 1)).when(ORD % 3 == 1, F.col("end"))
+    end = F.when(F.col("ord") % 3 == 0, F.date_sub("start", 1)).when(F.col("ord") % 3 == 1, F.col("end"))
     one = w.select("ord", "id", "bank", "code", "pct", F.col("start").alias("firstSeen"), F.date_add("start", 2).alias("lastSeen"), end.alias("endDate"), F.lit(None).cast("struct<p2:double,w1:double,absent:boolean,asOf:date>").alias("pred"))
-    return one.unionByName(one.filter(ORD % 2 == 0).withColumn("ord", -ORD))
+    return one.unionByName(one.filter(F.col("ord") % 2 == 0).withColumn("ord", -F.col("ord")))
 
 
 def ledger_as_history(spark, sf_dir):
