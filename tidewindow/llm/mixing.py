@@ -34,7 +34,7 @@ from tidewindow.llm.common import text_or_empty, written
 DIMENSIONS = ("source", "lang", "topic")
 #: Exponents on the shares that make the default targets: below 1 they lift what is rare.
 FLATTEN = {"source": 0.7, "lang": 0.8, "topic": 0.8}
-SWEEPS, TOLERANCE = 30, 1e-4
+TOLERANCE, STALLED = 1e-4, 5
 #: Relative gap of a marginal that counts as met, and to which the reachable budget is found.
 MET = 1e-3
 #: Sweeps under the cap after which the gap must have fallen by a tenth.
@@ -68,7 +68,11 @@ def flattened(cells: DataFrame) -> DataFrame:
 
 
 def rake(cells: DataFrame, targets: DataFrame) -> DataFrame:
-    """``cells`` with ``weight`` so that tokens x weights meet the targets (dim, value, share; any scale a dim)."""
+    """``cells`` with ``weight`` so that tokens x weights meet the targets (dim, value, share; any scale a dim).
+
+    Sweeps until no factor is off 1 by more than TOLERANCE, or, with a warning, until STALLED
+    sweeps have not brought the largest one nearer by a tenth: then targets contradict each other.
+    """
     now = cells
     for d in DIMENSIONS:
         goal = targets.filter(F.col("dim") == d).select(F.col("value").alias(d), F.col("share").alias(f"goal_{d}"))
@@ -77,15 +81,22 @@ def rake(cells: DataFrame, targets: DataFrame) -> DataFrame:
         goal = there.join(F.broadcast(scale)).select(d, F.when(F.col("all") > 0, F.col(f"goal_{d}") / F.col("all")).alias(f"goal_{d}"))
         now = now.join(goal, d, "left").withColumn(f"goal_{d}", F.coalesce(f"goal_{d}", F.lit(0.0)))
     now = written(now.withColumns({"weight": F.lit(1.0), "moved": F.lit(1.0)}), "raked")
-    for _ in range(SWEEPS):
-        step = now.drop("moved").withColumn("before", F.col("weight"))
+    least, stalled = np.inf, 0
+    while True:
+        step = now.withColumn("moved", F.lit(0.0))
         for d in DIMENSIONS:
             sums = step.groupBy(d).agg(F.sum(F.col("tokens") * F.col("weight")).alias("sum"))
             factor = F.when(F.col("sum") > 0, F.col(f"goal_{d}") / F.col("sum")).otherwise(0.0)
-            step = step.join(sums, d).withColumn("weight", F.col("weight") * factor).drop("sum")
-        moved = F.when(F.col("before") > 0, F.abs(F.col("weight") / F.col("before") - 1)).otherwise(0.0)
-        now = written(step.withColumn("moved", moved).drop("before"), "raked")
-        if (now.agg(F.max("moved")).first()[0] or 0.0) < TOLERANCE:
+            moved = F.greatest("moved", F.when(F.col("weight") > 0, F.abs(factor - 1)).otherwise(0.0))
+            step = step.join(sums, d).withColumns({"moved": moved, "weight": F.col("weight") * factor}).drop("sum")
+        now = written(step, "raked")
+        most = now.agg(F.max("moved")).first()[0] or 0.0
+        if most < TOLERANCE:
+            break
+        stalled = 0 if most < 0.9 * least else stalled + 1
+        least = min(least, most)
+        if stalled >= STALLED:
+            logging.getLogger(__name__).warning("targets that cannot be met together: factors are still off by %.2g", most)
             break
     return now.select(*DIMENSIONS, "tokens", "weight")
 
