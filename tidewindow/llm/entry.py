@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from tidewindow.llm.bpe_automaton import bpe_round_trip
 from tidewindow.llm.common import table, tokenizer_json
 from tidewindow.llm.exact_dedup import exact_dedup
+from tidewindow.llm.fill_middle import fill_in_middle, restored
+from tidewindow.llm.filter_audit import filter_audit
+from tidewindow.llm.line_dedup import dedup_lines
 from tidewindow.llm.mixing import mix_sources
 from tidewindow.llm.near_dup import near_duplicates
 from tidewindow.llm.pii import pii_digest
@@ -75,6 +78,23 @@ def op10_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, fit_gam(docs, labels, "quality"), cut=0.3)
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Form, cuts and digests of every row; a null text is empty and stays plain, a null id is drawn as an empty one."""
+    made = fill_in_middle(table(spark, sf_dir, "documents"), seed=42, rate=50, spm_rate=80)
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(), 256).alias("restored_sha256"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every source, order and step; null texts and sources are empty ones, a row without labels is neither good nor toxic."""
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every row and the digest of what stays; a null text is one empty line, a row without an id loses every repeated line that a row with an id holds."""
+    thinned = dedup_lines(table(spark, sf_dir, "documents"), min_chars=40, min_docs=5, keep="last")
+    return thinned.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op2_minhash_near_dup": op2_minhash_near_dup,
@@ -86,6 +106,9 @@ QUERIES: dict[str, Query] = {
     "op8_token_output": op8_token_output,
     "op9_mixing": op9_mixing,
     "op10_quality_gam": op10_quality_gam,
+    "op11_fill_middle": op11_fill_middle,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_line_dedup": op13_line_dedup,
 }
 _WORD, _UPPER, _LOWER = r"[^\x20\x09-\x0D]+", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _MEASURES = "symbol_share, dup_line_share, upper_share, bang_share, mean_word"
@@ -168,5 +191,63 @@ marked AS (
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND over_ IS NULL AS kept, coalesce(over_, '') AS "over"
 FROM measured LEFT JOIN marked ON marked.r = measured.r
+""",
+    "op11_fill_middle": r"""
+WITH cut AS (
+    SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u,
+           list_transform(range(4), lambda k: ('0x' || sha256('42:' || coalesce(doc_id::VARCHAR, ''))[8 * k + 1:8 * k + 8])::BIGINT) AS h
+    FROM documents
+),
+formed AS (
+    SELECT *, len(u) AS n, least(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS a, greatest(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS b,
+           CASE WHEN t = '' OR regexp_matches(t, '<[PSM]>') OR h[3] % 100 >= 50 THEN 'plain' WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+    FROM cut
+),
+parts AS (SELECT *, list_aggregate(u[1:a], 'string_agg', '') AS p, list_aggregate(u[a + 1:b], 'string_agg', '') AS m, list_aggregate(u[b + 1:], 'string_agg', '') AS s FROM formed)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(coalesce(p, '')) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(coalesce(m, '')) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN concat('<P>', p, '<S>', s, '<M>', m) ELSE concat('<S>', s, '<P>', p, '<M>', m) END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM parts
+""",
+    "op12_filter_audit": rf"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+rated AS (SELECT doc_id AS l, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+failing AS (
+    SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+           list_filter([CASE WHEN len(w) < 200 THEN 'A' END, CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' END,
+                        CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 'C' END, CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' END,
+                        CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' END], lambda x: x IS NOT NULL) AS f
+    FROM d LEFT JOIN rated ON l = doc_id
+),
+cells AS (SELECT part, f, count(*) AS n, count(*) FILTER (WHERE good) AS g, count(*) FILTER (WHERE toxic) AS x FROM failing GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+orders AS (
+    SELECT a.c || b.c || c.c || d.c || e.c AS o
+    FROM letters a JOIN letters b ON b.c <> a.c JOIN letters c ON c.c NOT IN (a.c, b.c) JOIN letters d ON d.c NOT IN (a.c, b.c, c.c) JOIN letters e ON e.c NOT IN (a.c, b.c, c.c, d.c)
+),
+steps AS (SELECT o, unnest(range(1, 6))::INT AS step FROM orders),
+placed AS (SELECT o, step, o[step] AS c, string_split(o[1:step - 1], '') AS before FROM steps),
+found AS (
+    SELECT part, o, step, c,
+           sum(CASE WHEN NOT list_contains(f, c) AND NOT list_has_any(f, before) THEN n ELSE 0 END) AS kept,
+           sum(CASE WHEN list_contains(f, c) AND NOT list_has_any(f, before) THEN n ELSE 0 END) AS removed,
+           sum(CASE WHEN list_contains(f, c) AND list_has_any(f, before) THEN n ELSE 0 END) AS redundant,
+           sum(CASE WHEN f = [c] THEN n ELSE 0 END) AS unique_fails,
+           sum(CASE WHEN list_contains(f, c) AND NOT list_has_any(f, before) THEN g ELSE 0 END) AS good_lost,
+           sum(CASE WHEN list_contains(f, c) AND NOT list_has_any(f, before) THEN x ELSE 0 END) AS toxic_lost
+    FROM cells CROSS JOIN placed GROUP BY ALL
+)
+SELECT part, o AS filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+       good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, c))::BIGINT AS shapley
+FROM found
+""",
+    "op13_line_dedup": rf"""
+WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+numbered AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM split),
+keyed AS (SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), '{_UPPER}', '{_LOWER}') AS k FROM numbered),
+often AS (SELECT k, max(doc_id) AS keep FROM keyed WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5)
+SELECT x.doc_id, count(*) AS n_lines, count(*) FILTER (WHERE doc_id <> keep) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE keep IS NULL OR keep = doc_id), '')) AS kept_sha256
+FROM keyed x LEFT JOIN often USING (k) GROUP BY x.doc_id
 """,
 }
