@@ -16,7 +16,7 @@ from tidewindow.llm import filter_audit as audit_module
 from tidewindow.llm import scan
 from tidewindow.llm.fill_middle import TOKEN, fill_in_middle, restored
 from tidewindow.llm.filter_audit import distinct_words, filter_audit
-from tidewindow.llm.line_dedup import TwoFilters, dedup_lines, hashes_of, may_repeat
+from tidewindow.llm.line_dedup import TwoFilters, dedup_lines, may_repeat
 from tidewindow.llm.scan import SPACE, blocks, piece_hashes, same_pieces
 
 CLASHING = "doc_id bigint, text string, source string, id string, n string, form string, output string, part string, mask string, digest string, t string, h string, of string, line_key string"
@@ -51,10 +51,15 @@ def test_pieces_of_blocks(texts, size):
     assert got == [[words(x) for x in texts]] * 2
 
 
+def hashes_of(pieces):
+    sizes = np.array([len(k) for k in pieces])
+    ends = np.cumsum(sizes)
+    return piece_hashes(np.frombuffer(b"".join(pieces) + bytes(8), np.uint8), ends - sizes, ends)
+
+
 def test_hashes_know_bytes_and_lengths():
     pieces = [b"", b"a", b"a\x00", b"\x00a", b"abcdefgh", b"abcdefghi", b"abcdefgh\x00", b"x" * 1000, b"x" * 1001]
-    a, _ = hashes_of(pieces)
-    b, _ = hashes_of(pieces[::-1])
+    a, b = hashes_of(pieces), hashes_of(pieces[::-1])
     assert len(set(a.tolist())) == len(pieces) and a.tolist() == b[::-1].tolist()
     data = np.frombuffer(b"abcdefghijk-abcdefghijk-abcdefghijX" + bytes(8), np.uint8)
     at = np.array([0, 0, 0]), np.array([12, 24, 24]), np.array([11, 11, 10])

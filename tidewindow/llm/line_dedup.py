@@ -46,8 +46,18 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
 
-def long_keys(t: Texts, min_chars: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the line keys of at least ``min_chars`` code points, and their text numbers."""
+class LongKeys:
+    """The line keys of at least ``min_chars`` code points in a block: hashes, text numbers, and where they lie in ``lowered``."""
+
+    def __init__(self, t: Texts, min_chars: int):
+        self.lowered, self.starts, self.ends, self.owner = _long_keys(t, min_chars)
+        self.hashes = piece_hashes(self.lowered, self.starts, self.ends)
+
+    def bytes(self, k: int) -> bytes:
+        return self.lowered[self.starts[k] : self.ends[k]].tobytes()
+
+
+def _long_keys(t: Texts, min_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     data = t.data[: t.size]
     starts, ends, owner = t.pieces(data == 10)
     long = ends - starts >= min_chars
@@ -59,10 +69,9 @@ def long_keys(t: Texts, min_chars: int) -> tuple[np.ndarray, np.ndarray]:
     points = np.zeros(t.size + 1, np.int64 if t.size >= 1 << 31 else np.int32)
     np.cumsum((data & 0xC0) != 0x80, out=points[1:])
     long = points[ends] - points[starts] >= min_chars
-    starts, ends = starts[long], ends[long]
     lowered = t.data.copy()
     lowered[: t.size] = _LOWER[data]
-    return piece_hashes(lowered, starts, ends), owner[long]
+    return lowered, starts[long], ends[long], owner[long]
 
 
 def key_of(line: bytes) -> bytes:
@@ -110,9 +119,9 @@ def twice_seen(docs: DataFrame, *, text: str = "text", min_chars: int = 40, filt
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for t in blocks(b.column(0)):
-                h, owner = long_keys(t, min_chars)
-                order = np.lexsort((owner, h))
-                h, owner = h[order], owner[order]
+                keys = LongKeys(t, min_chars)
+                order = np.lexsort((keys.owner, keys.hashes))
+                h, owner = keys.hashes[order], keys.owner[order]
                 new = np.ones(len(h), bool)
                 new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
                 found, rows = np.unique(h[new], return_counts=True)
@@ -154,29 +163,17 @@ def suspected_lines(docs: DataFrame, twice: np.ndarray, *, text: str = "text", k
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for t in blocks(b.column(1)):
-                h, owner = long_keys(t, min_chars)
-                ids, out = b.column(0).slice(t.rows.start, t.rows.stop - t.rows.start), ([], [], [])
-                for k in np.unique(owner[may_repeat(shared.value, h)]).tolist():
-                    whole = t.data[t.offsets[k] : t.offsets[k + 1]].tobytes()
-                    keys = {x for line in whole.split(b"\n") if len(line) >= min_chars and len((x := key_of(line)).decode()) >= min_chars}
-                    keys = list(keys)
-                    mine, _ = hashes_of(keys)
-                    keys = [x for x, hit in zip(keys, may_repeat(shared.value, mine).tolist(), strict=True) if hit]
-                    for column, values in zip(out, ([ids[k].as_py()] * len(keys), [hashlib.md5(whole).digest()] * len(keys), keys), strict=True):
-                        column.extend(values)
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], ["id", "of", "line_key"])
+                keys, ids = LongKeys(t, min_chars), b.column(0).slice(t.rows.start, t.rows.stop - t.rows.start)
+                hit = np.flatnonzero(may_repeat(shared.value, keys.hashes))
+                found = sorted({(o, keys.bytes(k)) for k, o in zip(hit.tolist(), keys.owner[hit].tolist(), strict=True)})
+                owners = pa.array([o for o, _ in found], pa.int64())
+                of = {k: hashlib.md5(t.data[t.offsets[k] : t.offsets[k + 1]].tobytes()).digest() for k in {o for o, _ in found}}
+                yield pa.RecordBatch.from_arrays([ids.take(owners), pa.array([of[o] for o, _ in found], pa.binary()), pa.array([x for _, x in found], pa.binary())], ["id", "of", "line_key"])
 
     rows = docs.select(F.col(key).cast("long").alias("id"), text_or_empty(text).alias("t"))
     return rows.mapInArrow(lambda b: released(run(b)), "id bigint, of binary, line_key binary")
 
 
-def hashes_of(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of keys that are already lowered and stripped, and their lengths."""
-    sizes = np.array([len(k) for k in keys], np.int64)
-    ends = np.cumsum(sizes)
-    return piece_hashes(np.frombuffer(b"".join(keys) + bytes(8), np.uint8), ends - sizes, ends), sizes
-
-
 def confirmed_keys(suspects: DataFrame, *, min_docs: int = 5, keep: str = "last") -> DataFrame:
     """``line_key, keep_id`` of the keys that ``min_docs`` rows or more hold."""
     chosen = {"last": F.max("id"), "first": F.min("id")}[keep]
@@ -208,8 +205,8 @@ def dedup_lines(
             lost, out = gone(b), []
             for t in blocks(b.column(1)):
                 lines = t.per_text(t.data[: t.size] == 10) + 1
-                h, owner = long_keys(t, min_chars)
-                for k in np.unique(owner[may_repeat(twice_.value, h)]).tolist():
+                keys = LongKeys(t, min_chars)
+                for k in np.unique(keys.owner[may_repeat(twice_.value, keys.hashes)]).tolist():
                     row, parts = t.rows.start + k, t.data[t.offsets[k] : t.offsets[k + 1]].tobytes().split(b"\n")
                     stay = [x for x in parts if len(x) < min_chars or not lost(row, key_of(x))]
                     if len(stay) < len(parts):
