@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidewindow.functions.dates import month_index
 from tidewindow.functions.numbers import uniform_draw
 from tidewindow.functions.shared import numbered, written
-from tidewindow.operators.forecast import at_dates, derive_history, observed_months
+from tidewindow.operators.forecast import finished, masses
 
 
 def month_starts(first: date, last: date) -> list[date]:
@@ -22,13 +22,13 @@ def month_starts(first: date, last: date) -> list[date]:
     return [date(m // 12, m % 12 + 1, 1) for m in range(first.year * 12 + first.month - 1, last.year * 12 + last.month)]
 
 
-def climatology(dated: DataFrame) -> DataFrame:
-    """``now, id, clim``: the share of a route's observed two-month stretches with a window, unweighted; one half if there are none."""
-    months = observed_months(dated)
-    order = Window.partitionBy("now", "id").orderBy("m")
-    two = months.withColumn("hit2", F.col("hit") | F.lead("hit").over(order)).withColumn("more", F.lead("m").over(order).isNotNull())
-    rates = two.filter("more").groupBy("now", "id").agg(F.avg(F.col("hit2").cast("double")).alias("clim"))
-    return dated.select("now", "id").distinct().join(rates, ["now", "id"], "left").select("now", "id", F.coalesce("clim", F.lit(0.5)).alias("clim"))
+def climatology(windows: DataFrame, cutoffs: list[date]) -> DataFrame:
+    """``now, id, clim``: of windows that had ended, the share of a route's observed two-month stretches with one, unweighted; one half if there are none."""
+    return masses(windows, cutoffs, only_ended=True).select("now", "id", _climate().alias("clim"))
+
+
+def _climate() -> Column:
+    return F.when(F.col("plain.n") > 0, F.col("plain.k") / F.col("plain.n")).otherwise(0.5)
 
 
 def eval_rows(windows: DataFrame, cutoffs: list[date]) -> DataFrame:
@@ -37,16 +37,14 @@ def eval_rows(windows: DataFrame, cutoffs: list[date]) -> DataFrame:
     Trains on windows that had ended; leaves out routes without ``next`` and those live at
     the cutoff; the outcome is a window, of all, in one of the two months after.
     """
-    dated = at_dates(windows, cutoffs, only_ended=True)
-    shown = derive_history(windows, cutoffs, only_ended=True).filter("next is not null").withColumn("cut", month_index(F.col("now")))
-    clim = climatology(dated)
+    shown = finished(masses(windows, cutoffs, only_ended=True), keep=("plain",)).filter("next is not null").withColumns({"cut": month_index(F.col("now")), "clim": _climate()})
     # a window is live at, or follows, the cutoffs of a few months: it says so itself, without a range join
     touched = windows.select("id", F.explode(F.sequence(F.col("s") - 2, F.col("e"))).alias("cut"), "s", "e")
     seen = touched.groupBy("id", "cut").agg(
         F.max((F.col("s") <= F.col("cut")) & (F.col("e") >= F.col("cut"))).alias("live"),
         F.max((F.col("s") <= F.col("cut") + 2) & (F.col("e") >= F.col("cut") + 1)).alias("came"),
     )
-    rows = shown.join(clim, ["now", "id"]).join(seen, ["id", "cut"], "left").filter("not coalesce(live, false)")
+    rows = shown.join(seen, ["id", "cut"], "left").filter("not coalesce(live, false)")
     ship = F.element_at("p2", (F.pmod(F.col("cut") + 1, F.lit(12)) + 1).cast("int"))
     return rows.select("id", "cut", F.floor(F.col("cut") / 12).cast("int").alias("year"), F.col("n").cast("int").alias("nTrain"), ship.alias("ship"), "clim", F.coalesce("came", F.lit(False)).cast("int").alias("y"))
 

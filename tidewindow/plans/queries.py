@@ -69,11 +69,11 @@ def monthly_probability(spark, sf_dir):
 
 
 def stretch_rate(spark, sf_dir):
-    return masses(_dated(spark, sf_dir)).select("id", F.round("stretch.k", 6).alias("k"), F.round("stretch.n", 6).alias("n"))
+    return masses(order_windows(spark, sf_dir), [NOW]).select("id", F.round("stretch.k", 6).alias("k"), F.round("stretch.n", 6).alias("n"))
 
 
 def calendar_stretch_mass(spark, sf_dir):
-    return masses(_dated(spark, sf_dir)).select("id", F.posexplode("cal2").alias("cal", "x")).select("id", *_longs("cal"), F.round("x.k", 6).alias("k"), F.round("x.n", 6).alias("n"))
+    return masses(order_windows(spark, sf_dir), [NOW]).select("id", F.posexplode("cal2").alias("cal", "x")).select("id", *_longs("cal"), F.round("x.k", 6).alias("k"), F.round("x.n", 6).alias("n"))
 
 
 def horizon_wait(spark, sf_dir):
@@ -82,7 +82,7 @@ def horizon_wait(spark, sf_dir):
 
 
 def bank_leave_one_out(spark, sf_dir):
-    return with_priors(masses(_dated(spark, sf_dir))).select("id", *_round("prior_route", "prior_bank", "prior2"))
+    return with_priors(masses(order_windows(spark, sf_dir), [NOW])).select("id", *_round("prior_route", "prior_bank", "prior2"))
 
 
 def pooled_p2(spark, sf_dir):
@@ -175,13 +175,12 @@ def stale_merge(spark, sf_dir):
 
 
 def cutoff_training(spark, sf_dir):
-    d = at_dates(order_windows(spark, sf_dir), _cutoffs(), only_ended=True)
-    return d.groupBy(month_index(F.col("now")).cast("long").alias("cut"), "id").agg(F.count("*").alias("n"))
+    m = masses(order_windows(spark, sf_dir), _cutoffs(), only_ended=True)
+    return m.select(*_longs("t"), "id", "n").withColumnRenamed("t", "cut")
 
 
 def climatology(spark, sf_dir):
-    d = at_dates(order_windows(spark, sf_dir), _cutoffs(), only_ended=True)
-    return evaluate.climatology(d).select(month_index(F.col("now")).cast("long").alias("cut"), "id", *_round("clim"))
+    return evaluate.climatology(order_windows(spark, sf_dir), _cutoffs()).select(month_index(F.col("now")).cast("long").alias("cut"), "id", *_round("clim"))
 
 
 def eval_rows(spark, sf_dir):
