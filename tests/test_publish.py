@@ -11,7 +11,6 @@ from tidewindow.operators import validate as V
 from tidewindow.plans import publish as P
 from tidewindow.sources import listings, rates
 from tidewindow.sources.pages import fetch_page, fetched_pages, saved_pages
-from tidewindow.streaming.ledger import ledger_stream
 
 NOW = date(2026, 7, 24)
 TABLE = """<h3>Current and Upcoming Transfer Bonuses</h3><table class="tablepress"><thead><tr><th>From</th><th>Transfer Bonus Details</th><th>S</th><th>E</th></tr></thead>
@@ -154,19 +153,6 @@ def test_replay(spark):
     assert runs == {("a", 1, 8), ("a", 16, 19), ("b", 3, 4)}
 
 
-def test_stream_folds_as_the_replay(spark, tmp_path):
-    for k, days in enumerate(([1, 3], [4, 8], [16, 18], [19])):
-        sightings(spark).filter(F.dayofmonth("day").isin(*days)).coalesce(1).write.parquet(str(tmp_path / "in" / str(k)))
-    stream = spark.readStream.schema(sightings(spark).schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = ledger_stream(stream).writeStream.outputMode("update").format("memory").queryName("entries").start()
-    try:
-        q.processAllAvailable()
-    finally:
-        q.stop()
-    last = {(r["id"], r["firstSeen"].day): (r["lastSeen"].day, r["pct"], r["endDate"] and r["endDate"].day) for r in spark.table("entries").collect()}
-    assert {(i, a) for i, a, *_ in FOLDED} == set(last)
-
-
 def test_best_bonus_and_unmapped(spark):
     raw = [("Amex", "Avianca", 20.0, "07/30/26", "u1"), ("Amex", "LifeMiles", 25.0, "", "u2"), ("Amex", "Avianca", 25.0, "07/31/26", "u3"), ("PAYBACK", "Foo", 1.0, "", "u4"), ("Amex", "Foo", 1.0, "", "u5")]
     df = R.resolve_bonuses(spark.createDataFrame([(k, *r) for k, r in enumerate(raw)], "ord bigint, bankName string, partnerName string, pct double, endDateRaw string, sourceUrl string"))

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from tidewindow.functions.names import PARTNER_ALIASES, alias_map, display_name, resolved
 from tidewindow.sources import html
-from tidewindow.sources.listings import json_nodes, next_data
+from tidewindow.sources.listings import next_data
+from tidewindow.sources.objects import json_nodes
 
 # Columns of the directory table, what is no travel, what is a hotel, and hotel names.
 COLUMNS = ("AMEX", "CHASE", "CITI", "C1", "BILT", "WF", "ROVE")

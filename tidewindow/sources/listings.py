@@ -7,17 +7,16 @@ anything with ``id`` and ``parse(pages)``.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Protocol
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewindow.functions.dates import deadline_day, stripped
 from tidewindow.sources import html
+from tidewindow.sources.objects import json_nodes
 
 #: An ``ord`` has a page's place from PAGE_BITS on, an item's from ITEM_BITS on, and below that a part's: a million
 #: pages of a million items of 1,024 parts, in 50 bits.
@@ -104,37 +103,6 @@ def next_data(page: Column) -> Column:
     return F.regexp_extract(page, r'(?s)<script id="__NEXT_DATA__"[^>]*>(.*?)</script>', 1)
 
 
-def json_nodes(payload: Column, path: str) -> Column:
-    """Every object at any depth whose value at ``path`` (dotted) is there, as JSON, in document order."""
-
-    @F.pandas_udf("array<string>")
-    def nodes(payloads: pd.Series) -> pd.Series:
-        keys = path.split(".")
-
-        def visit(v):
-            if isinstance(v, list):
-                for x in v:
-                    yield from visit(x)
-            elif isinstance(v, dict):
-                at = v
-                for k in keys:
-                    at = at.get(k) if isinstance(at, dict) else None
-                if at is not None:
-                    yield json.dumps(v, ensure_ascii=False)
-                for x in v.values():
-                    yield from visit(x)
-
-        def one(text):
-            try:
-                return list(visit(json.loads(text)))
-            except (TypeError, ValueError):
-                return []
-
-        return payloads.map(one)
-
-    return nodes(payload)
-
-
 def title_case(slug: Column) -> Column:
     return F.array_join(F.transform(F.split(slug, "-"), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1_000_000))), " ")
 
