@@ -186,6 +186,23 @@ def test_publish(spark, tmp_path):
     assert not bad.ok and len(bad.failed) == 3 and (tmp_path / "feed.json").read_bytes() == before
 
 
+def test_publish_with_a_ledger_table(spark, tmp_path):
+    """The same entries as in a document; a page that fails its parser fails its source alone."""
+
+    class Broken:
+        id = "grid"
+
+        def parse(self, pages):
+            return listings.BONUS_GRID.parse(pages).withColumn("pct", F.raise_error(F.lit("broken page")).cast("double"))
+
+    path = str(tmp_path / "ledger")
+    sources = tuple(Broken() if s.id == "grid" else s for s in listings.SOURCES)
+    out = P.publish(spark, given(spark), str(tmp_path), AT, ledger_path=path, sources=sources)
+    assert out.ok and out.failed == ["grid"] and "broken page" in out.reason and out.counts == {"table": 2, "grid": 0, "offers": 2, "banners": 2}
+    usable, entries = P.read_ledger(spark, path)
+    assert usable and {r["id"] for r in entries.collect()} == {r["id"] for r in out.routes if "active" in r} and out.missing.count() == 1
+
+
 def test_pages_saved_and_fetched(spark, tmp_path):
     (tmp_path / "table.html").write_text(TABLE, encoding="utf-8")
     (tmp_path / "grid.html").write_text("é", encoding="utf-8")

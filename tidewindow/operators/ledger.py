@@ -18,7 +18,8 @@ from tidewindow.operators.windows import uncovered
 
 #: Fixed value: days after which a route that comes back is a new window.
 GAP = 7
-ENTRY = "ord bigint, id string, bank string, code string, pct double, firstSeen date, lastSeen date, endDate date, pred struct<p2:double,w1:double,absent:boolean,asOf:date>"
+PRED = "struct<p2:double,w1:double,absent:boolean,asOf:date>"
+ENTRY = f"ord bigint, id string, bank string, code string, pct double, firstSeen date, lastSeen date, endDate date, pred {PRED}"
 
 
 def effective_end(end: Column, first: Column, last: Column) -> Column:

@@ -206,3 +206,13 @@ x AS (SELECT id, max(p) FILTER (h = 1) AS a, max(p) FILTER (h = 3) AS b, max(p)
 SELECT id AS subject, 'time missing' AS rule FROM routes UNION ALL SELECT DISTINCT id, 'mp range' FROM prob WHERE mp * 2 > 1
 UNION ALL SELECT id, 'wait falls' FROM x WHERE a > b + 1e-9 OR b > c + 1e-9""",
 }
+
+_STEP = ORACLE_SQL["ledger_step"]
+ORACLE_SQL |= {
+    "ledger_changes": f"""WITH step AS ({_STEP}), {HIGH} SELECT id, count(*) AS entries, max(lastSeen) AS last_seen, id IN (SELECT id FROM high) AS changed FROM step GROUP BY id""",
+    "source_guard": f"""SELECT p AS source, count(o) AS entries, count(o) = 0 AS failed FROM (SELECT unnest(['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW']) AS p)
+LEFT JOIN (SELECT o_orderpriority AS o FROM orders WHERE o_totalprice > {LARGE} AND o_orderpriority <> '5-LOW') ON o = p GROUP BY p""",
+    "publish_verdict": f"""WITH {WIN}, priorities AS (SELECT count(DISTINCT o_orderpriority) AS gave FROM orders WHERE o_totalprice > {LARGE} AND o_orderpriority <> '5-LOW'),
+runs AS (SELECT b AS bank, (SELECT count(DISTINCT id) FROM win WHERE bank <= b) AS had, (SELECT count(DISTINCT id) FROM win WHERE bank = b) AS routes FROM (SELECT unnest(['AUTOMOBILE', 'BUILDING', 'FURNITURE']) AS b))
+SELECT bank, CAST(5 AS BIGINT) AS sources, 5 - gave AS failed, had, routes, (5 - gave) * 2 > 5 AS too_many_failed, had >= 4 AND routes * 2 < had AS fell, NOT ((5 - gave) * 2 > 5) AND NOT (had >= 4 AND routes * 2 < had) AS ok FROM runs, priorities""",
+}

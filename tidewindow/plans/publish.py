@@ -3,8 +3,11 @@
 One run: parse each source; stop if more than half failed; add the ledger's windows that
 the archive does not cover to history; build routes; fold today's live routes into the
 ledger; fill in previous routes if a source failed; stop on a cliff in the number of
-routes; validate; write. Guards look at counts only. What is published is one document of
-at most a few routes a bank and partner, so it alone is collected, to be written at once.
+routes; validate; write. All sources are read in one job and its rows written; guards look at
+counts of those. What is published is one document of at most a few routes a bank and
+partner, so it alone is collected, to be written at once; a ledger in a folder is a
+versioned table (:mod:`tidewindow.plans.ledger_table`) and never comes to the driver, one in
+a ``.json`` file is a document as the feed is.
 """
 
 from __future__ import annotations
@@ -18,16 +21,20 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewindow.functions.shared import written
 from tidewindow.operators.directory import merge_directory
 from tidewindow.operators.forecast import derive_history, history_lines
+from tidewindow.operators.guards import MOST_FAILED, source_report, verdict
 from tidewindow.operators.ledger import ENTRY, ledger_windows, update_ledger, without_repeats
 from tidewindow.operators.routes import FIELDS, all_routes, stale_fill
 from tidewindow.operators.validate import feed_violations
 from tidewindow.operators.windows import resolve_windows
+from tidewindow.plans import ledger_table
 from tidewindow.sources.listings import SOURCES, Source, table_archive
 
-# The share of sources that may fail, and the drop in routes that stops a run.
-MOST_FAILED, CLIFF, CLIFF_FROM = 0.5, 0.5, 4
+#: Names of unmapped partners and banks in a run's outcome, a report; all of them are in its table.
+REPORTED = 100
+RAW_BONUS = "ord bigint, source string, bankName string, partnerName string, pct double, endDateRaw string, sourceUrl string"
 RAW_WINDOW = "ord bigint, source string, bankName string, partnerName string, pct double, startDateRaw string, endDateRaw string"
 ROUTE = (
     "id string, bank string, airline string, code string, time string, typical string, mp array<double>, p2 array<double>, wait array<double>, "
@@ -44,6 +51,8 @@ class Outcome:
     counts: dict[str, int] = field(default_factory=dict)
     failed: list[str] = field(default_factory=list)
     filled: int = 0
+    missing: DataFrame | None = None
+    """All rows whose bank or partner is not known."""
 
 
 def plain(value):
@@ -80,6 +89,8 @@ def read_ledger(spark: SparkSession, path: str | None) -> tuple[bool, DataFrame]
     empty = spark.createDataFrame([], ENTRY)
     if path is None:
         return False, empty
+    if not path.endswith(".json"):
+        return ledger_table.read_entries(spark, path)
     if not os.path.exists(path):
         return True, empty
     doc = read_json(path)
@@ -111,6 +122,22 @@ def _routes(spark: SparkSession, doc: dict | None) -> DataFrame | None:
     return rows.select("k", F.from_json("r", ROUTE).alias("r")).select("r.*", F.struct(F.lit(0).alias("part"), F.col("k").alias("at")).alias("pos"))
 
 
+def raw_bonuses(spark: SparkSession, pages: dict[str, DataFrame | None], sources: tuple[Source, ...]) -> tuple[DataFrame, str]:
+    """Rows of all sources, written once, and what went wrong. If the job fails, each source is read by itself, and one that fails gives no rows."""
+    parsed = {s.id: s.parse(pages[s.id]).withColumns({"ord": F.col("ord") + (k << 50), "source": F.lit(s.id)}) for k, s in enumerate(sources) if pages.get(s.id) is not None}
+    none = spark.createDataFrame([], RAW_BONUS)
+    try:
+        return written(reduce(DataFrame.unionByName, parsed.values(), none), "raw-bonuses"), ""
+    except Exception:  # a page that can't be parsed fails its source, never the run
+        found, why = [none], []
+        for name, rows in parsed.items():
+            try:
+                found.append(written(rows, "raw-bonuses"))
+            except Exception as e:
+                why.append(f"{name}: {e}")
+        return reduce(DataFrame.unionByName, found), "; ".join(why)
+
+
 def publish(spark: SparkSession, pages: dict[str, DataFrame | None], out_dir: str, now: datetime, **options) -> Outcome:
     """Runs :func:`run_publish`, and lets go of what it holds in memory."""
     held: list[DataFrame] = []
@@ -132,28 +159,18 @@ def run_publish(
     """
     today = now.astimezone(timezone.utc).date()
     out = Outcome(True)
-    parsed = []
-    for k, s in enumerate(sources):
-        rows = None if pages.get(s.id) is None else s.parse(pages[s.id]).withColumn("ord", F.col("ord") + (k << 50)).cache()
-        if rows is not None:
-            held.append(rows)
-        try:
-            out.counts[s.id] = 0 if rows is None else rows.count()
-        except Exception as e:  # a page that can't be parsed fails its source, never the run
-            out.counts[s.id], out.reason = 0, f"{s.id}: {e}"
-        if out.counts[s.id]:
-            parsed.append(rows)
-        else:
-            out.failed.append(s.id)
-    if len(out.failed) / len(sources) > MOST_FAILED:
+    raw, out.reason = raw_bonuses(spark, pages, sources)
+    report = source_report(raw, [s.id for s in sources])
+    counts = {r["source"]: r for r in report.collect()}  # a row a source
+    out.counts, out.failed = {s.id: counts[s.id]["entries"] for s in sources}, [s.id for s in sources if counts[s.id]["failed"]]
+    if len(out.failed) > MOST_FAILED * len(sources):
         return Outcome(False, f"{len(out.failed)} of {len(sources)} sources failed", counts=out.counts, failed=out.failed)
-    raw = reduce(DataFrame.unionByName, parsed)
 
     table = pages.get("table")
-    archive = resolve_windows(table_archive(table, "table") if table is not None else spark.createDataFrame([], RAW_WINDOW))
+    archive = written(resolve_windows(table_archive(table, "table") if table is not None else spark.createDataFrame([], RAW_WINDOW)), "archive")
     usable, entries = read_ledger(spark, ledger_path)
     watched = ledger_windows(entries if compat else without_repeats(entries), archive).withColumn("ord", F.col("ord") + (1 << 56))
-    windows = archive.select(*watched.columns).unionByName(watched)
+    windows = written(archive.select(*watched.columns).unionByName(watched), "windows")  # pages are parsed once, however often the forecast reads windows
     firsts = windows.groupBy("id").agg(F.min("ord").alias("ord"))
     history = derive_history(windows, [today], monotone=not compat).join(history_lines(windows), "id").join(firsts, "id")
     # banners write the day first, in dates with a year too
@@ -167,23 +184,28 @@ def run_publish(
     if ledger_path and usable:
         active = routes.filter("active is not null").select("id", "bank", "code", "active.pct", "active.endDate", F.col("pos.at").alias("pos"))
         as_of = date.fromisoformat(before["generatedAt"][:10]) if before and before.get("generatedAt") else None
-        folded = ledger_json(update_ledger(entries, active, today, previous=previous, as_of=as_of).orderBy("ord").collect())
-        if folded["windows"] != (read_json(ledger_path) or {}).get("windows"):
-            write_json(folded, ledger_path)
+        stepped = update_ledger(entries, active, today, previous=previous, as_of=as_of)
+        if ledger_path.endswith(".json"):
+            folded = ledger_json(stepped.orderBy("ord").collect())
+            if folded["windows"] != (read_json(ledger_path) or {}).get("windows"):
+                write_json(folded, ledger_path)
+        else:
+            ledger_table.write_entries(stepped, ledger_path)
     if out.failed and previous is not None:
         filled = stale_fill(routes, previous)
         out.filled = filled.count() - routes.count()
         routes = filled
-    n, had = routes.count(), len((before or {}).get("routes", []))
-    if had >= CLIFF_FROM and n < had * CLIFF:
-        return Outcome(False, f"routes fell from {had} to {n}", counts=out.counts, failed=out.failed)
+    checked = verdict(report, routes.limit(0) if previous is None else previous, routes).first()
+    if checked["fell"]:
+        return Outcome(False, f"routes fell from {checked['had']} to {checked['routes']}", counts=out.counts, failed=out.failed)
     broken = feed_violations(routes).orderBy("subject", "rule").first()
     if broken is not None:
         return Outcome(False, f"invalid: {broken['subject']}: {broken['rule']}", counts=out.counts, failed=out.failed)
     out.routes = [plain(r) for r in routes.orderBy("pos.part", "pos.at").select(*FIELDS).collect()]
     stamp = now.astimezone(timezone.utc).strftime("%Y-%m-%dT%H:%M:%S.") + f"{now.microsecond // 1000:03d}Z"
     write_json({"version": 1, "generatedAt": stamp, "routes": out.routes}, feed_path)
-    out.unmapped = [r["partnerName"] or r["bankName"] for r in missing.orderBy("ord").collect()]
+    out.missing = missing
+    out.unmapped = [r["partnerName"] or r["bankName"] for r in missing.orderBy("ord").limit(REPORTED).collect()]
     if partners is not None and curated is not None:
         merged = curated
         for s in scraped or []:

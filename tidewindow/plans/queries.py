@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewindow.functions.dates import month_index, parse_end_date, parse_mdy
 from tidewindow.functions.names import name_candidates, norm, resolve_by_join
-from tidewindow.operators import evaluate, ledger, routes, validate
+from tidewindow.functions.shared import shared_dir
+from tidewindow.operators import evaluate, guards, ledger, routes, validate
 from tidewindow.operators.directory import merge_directory, upsert_rates
 from tidewindow.operators.forecast import at_dates, derive_history, history_lines, masses, observed_months, with_priors
 from tidewindow.operators.windows import overlap_pairs, uncovered
+from tidewindow.plans import ledger_table
 from tidewindow.plans.tables import CUTOFFS, NOW, order_windows, table
 from tidewindow.sources.rates import page_partner, strip_tags
 
@@ -300,11 +304,47 @@ def rate_upsert(spark, sf_dir):
     return upsert_rates(_brand_directory(spark, sf_dir, 1, 30), first.unionByName(again)).select("bank", "name", "ratio", "change")
 
 
+def _priority_rows(spark, sf_dir):
+    """Large orders as raw rows, their priority as the source; one priority gives none."""
+    return table(spark, sf_dir, "orders").filter((F.col("o_totalprice") > 400_000) & (F.col("o_orderpriority") != "5-LOW")).select(F.col("o_orderpriority").alias("source"))
+
+
+_PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+
+
 def source_counts(spark, sf_dir):
     o = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("source")).agg(F.count("*").alias("entries"), F.sum(F.when(F.col("o_totalprice") > 400_000, 1).otherwise(0)).cast("long").alias("kept"))
     return o.withColumn("failed", F.col("kept") == 0)
 
 
+def source_guard(spark, sf_dir):
+    """What the guard counts of each source, one of which failed."""
+    return guards.source_report(_priority_rows(spark, sf_dir), _PRIORITIES)
+
+
+def publish_verdict(spark, sf_dir):
+    """The guards of runs whose routes are those of a segment's urgent orders, after ones with all segments' routes of its nations."""
+    report = guards.source_report(_priority_rows(spark, sf_dir), _PRIORITIES)
+    live = order_windows(spark, sf_dir).select("id", "bank").distinct()
+    runs = [guards.verdict(report, live.filter(F.col("bank") <= b), live.filter(F.col("bank") == b)).withColumn("bank", F.lit(b)) for b in ("AUTOMOBILE", "BUILDING", "FURNITURE")]
+    return reduce(DataFrame.unionByName, runs)
+
+
+def ledger_changes(spark, sf_dir):
+    """Routes whose entries a day's step changes: the ledger written as a table, the step written over it, and both versions compared."""
+    folder = f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
+    w = order_windows(spark, sf_dir)
+    old = w.select("ord", "id", "bank", "code", "pct", F.col("start").alias("firstSeen"), F.col("end").alias("lastSeen"), F.lit(None).cast("date").alias("endDate"), F.lit(None).cast(ledger.PRED).alias("pred"))
+    ledger_table.write_entries(old, folder)
+    before = ledger_table.read_entries(spark, folder)[1]
+    high = order_windows(spark, sf_dir, "2-HIGH").groupBy("id", "bank", "code").agg(F.max("pct").alias("pct"), F.max("end").alias("endDate"), F.min("ord").alias("pos"))
+    ledger_table.write_entries(ledger.update_ledger(before, high, NOW), folder)
+    after = ledger_table.read_entries(spark, folder)[1]
+    changed = ledger_table.changed_entries(after, before).distinct().withColumn("changed", F.lit(True))
+    sizes = after.groupBy("id").agg(F.count("*").alias("entries"), F.max("lastSeen").cast("string").alias("last_seen"))
+    return sizes.join(changed, "id", "left").select("id", "entries", "last_seen", F.coalesce("changed", F.lit(False)).alias("changed"))
+
+
 def constraint_violations(spark, sf_dir):
     """Rules broken by unfinished routes: waits before they are raised, no times, and every probability scaled by two."""
     h = derive_history(order_windows(spark, sf_dir), [NOW], monotone=False)
@@ -319,6 +359,6 @@ QUERIES: dict[str, Query] = {
         next_best_month, recently_ended, typical_range, history_labels, overlaps, uncovered_windows, dedupe_max_pct, alias_resolve, candidate_names, unmapped_names,
         transfer_times, forecast_topk, stale_merge, cutoff_training, climatology, eval_rows, brier_logloss, yearly_scores, thickness_scores, worst_misses, calibration_bins,
         effective_events, bootstrap_delta, route_sizes, parse_dates, parse_end_dates, norm_text, page_titles, stripped_pages, props_field, ledger_runs, ledger_replay,
-        ledger_step, directory_merge, rate_upsert, source_counts, constraint_violations,
+        ledger_step, ledger_changes, directory_merge, rate_upsert, source_counts, source_guard, publish_verdict, constraint_violations,
     )
 }
