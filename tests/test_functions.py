@@ -92,3 +92,25 @@ def test_draws_are_those_of_the_sequential_generator(spark):
     draws = mulberry32(42)
     assert got[:3] == [0.6011037519201636, 0.44829055899754167, 0.8524657934904099]
     assert got == [next(draws) for _ in got]
+
+
+def test_norm_strips_the_marks_of_every_character(spark):
+    """Against the decomposition of each code point, composed and decomposed alike."""
+    import re
+    import sys
+    import unicodedata
+
+    from tidewindow.functions.names import norm
+
+    chars = [chr(c) for c in range(0xA1, sys.maxunicode + 1) if not 0xD800 <= c < 0xE000 and not 0xAC00 <= c < 0xD7A4]
+    some = [c for c in chars if unicodedata.normalize("NFD", c) != c and unicodedata.category(c) != "Mn" and c == c.lower()]
+    some = [c for c in some if sum(unicodedata.category(x) != "Mn" for x in unicodedata.normalize("NFD", c)) == 1]
+    assert len(some) > 1000
+    rows = spark.createDataFrame([(k, f"a{c}b", unicodedata.normalize("NFD", f"a{c}b")) for k, c in enumerate(some)], "k int, composed string, parts string")
+    got = rows.select("k", norm(F.col("composed")).alias("composed"), norm(F.col("parts")).alias("parts")).collect()
+    strip = lambda c: "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn")
+    assert not [some[r["k"]] for r in got if r["composed"] != r["parts"]]
+    wrong = [some[r["k"]] for r in got if r["composed"] != re.sub(r"\s+", " ", re.sub(r"[/&.,()-]", " ", f"a{strip(some[r['k']])}b"))]
+    assert not wrong, wrong[:20]
+    names = spark.createDataFrame([("Vi\u1ec7t \u01cd \u0218",)], "n string")
+    assert names.select(norm(F.col("n"))).first()[0] == "viet a s"

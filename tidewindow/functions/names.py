@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 from itertools import chain
 
@@ -75,9 +76,20 @@ DISPLAY_NAMES = {
 
 
 def _accents() -> tuple[str, str]:
-    """Lower-case letters of Latin-1 and Latin Extended-A with a mark, and the letters without it."""
-    marked = [c for c in map(chr, range(0xC0, 0x180)) if c == c.lower() and len(unicodedata.normalize("NFD", c)) > 1]
-    return "".join(marked), "".join(unicodedata.normalize("NFD", c)[0] for c in marked)
+    """Every character that is one character and marks when decomposed, and those characters.
+
+    By Python's table of Unicode; only Hangul syllables and a few signs decompose into several
+    characters, and stay as they are.
+    """
+    marked, plain = [], []
+    for c in map(chr, (*range(0xA0, 0xAC00), *range(0xE000, sys.maxunicode + 1))):  # without Hangul syllables and surrogates
+        parts = unicodedata.normalize("NFD", c)
+        if parts != c and unicodedata.category(c) != "Mn":
+            bare = [x for x in parts if unicodedata.category(x) != "Mn"]
+            if len(bare) == 1:
+                marked.append(c)
+                plain.append(bare[0])
+    return "".join(marked), "".join(plain)
 
 
 _MARKED, _PLAIN = _accents()
