@@ -9,8 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewindow.functions.dates import month_index, parse_end_date, parse_mdy
-from tidewindow.functions.names import name_candidates, norm, resolve_by_join
+from tidewindow.functions.dates import deadline_day, month_index, parse_end_date, parse_mdy
+from tidewindow.functions.names import DISPLAY_NAMES, display_name, name_candidates, norm, resolve_by_join
 from tidewindow.functions.shared import shared_dir
 from tidewindow.operators import evaluate, guards, ledger, routes, validate
 from tidewindow.operators.directory import merge_directory, upsert_rates
@@ -247,6 +247,21 @@ def parse_end_dates(spark, sf_dir):
     )
 
 
+def deadline_days(spark, sf_dir):
+    """Deadlines with a time, some of which fall on the day before three hours further west, and plain ones."""
+    o = table(spark, sf_dir, "orders")
+    hour = F.lpad((F.col("o_orderkey") % 24).cast("string"), 2, "0")
+    timed = F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("T"), hour, F.lit(":59:00Z"))
+    return o.select("o_orderkey", deadline_day(timed).alias("timed"), deadline_day(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("plain"), deadline_day(F.col("o_orderpriority")).alias("none"))
+
+
+def display_names(spark, sf_dir):
+    """The names of parts' codes, every ninth of which is not known."""
+    codes = sorted(DISPLAY_NAMES)
+    known = F.element_at(F.array(*map(F.lit, codes)), (F.col("p_partkey") % len(codes) + 1).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", display_name(F.when(F.col("p_partkey") % 9 == 0, F.lit("ZZ")).otherwise(known)).alias("name"))
+
+
 def norm_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(norm(F.col("text"))).alias("norm_md5"))
 
@@ -358,7 +373,7 @@ QUERIES: dict[str, Query] = {
         windows_from_orders, month_expand, month_hits, decay_mass, monthly_probability, stretch_rate, calendar_stretch_mass, horizon_wait, bank_leave_one_out, pooled_p2,
         next_best_month, recently_ended, typical_range, history_labels, overlaps, uncovered_windows, dedupe_max_pct, alias_resolve, candidate_names, unmapped_names,
         transfer_times, forecast_topk, stale_merge, cutoff_training, climatology, eval_rows, brier_logloss, yearly_scores, thickness_scores, worst_misses, calibration_bins,
-        effective_events, bootstrap_delta, route_sizes, parse_dates, parse_end_dates, norm_text, page_titles, stripped_pages, props_field, ledger_runs, ledger_replay,
+        effective_events, bootstrap_delta, route_sizes, parse_dates, parse_end_dates, deadline_days, display_names, norm_text, page_titles, stripped_pages, props_field, ledger_runs, ledger_replay,
         ledger_step, ledger_changes, directory_merge, rate_upsert, source_counts, source_guard, publish_verdict, constraint_violations,
     )
 }
