@@ -30,6 +30,8 @@ UNION ALL SELECT -p_partkey, CASE WHEN p_partkey % 8 = 1 THEN p_size || ':1' ELS
     "page_rates": "SELECT p_partkey AS k, p_size || CASE WHEN p_partkey % 2 = 0 THEN ':1' ELSE ':2' END AS ratio FROM part",
     "resolved_windows": f"""WITH {WIN} SELECT ord, ['amex', 'chase', 'citi', 'c1', 'bilt', 'wf', 'esf', 'liv', 'rove'][ord % 9 + 1] || CASE WHEN ord % 2 = 0 THEN '-g3' ELSE '-la' END AS id,
   CAST(a AS VARCHAR) AS start, CAST(z AS VARCHAR) AS "end", s FROM win WHERE ord % 7 <> 0 AND ord % 9 <> 0 AND ord % 11 <> 0""",
+    "windows_of_any_pct": f"""WITH {WIN} SELECT ord, ['amex', 'chase', 'citi', 'c1', 'bilt', 'wf', 'esf', 'liv', 'rove'][ord % 9 + 1] || CASE WHEN ord % 2 = 0 THEN '-g3' ELSE '-la' END AS id,
+  CASE WHEN ord % 11 = 0 THEN 0 ELSE pct END AS pct FROM win WHERE ord % 7 <> 0 AND ord % 9 <> 0""",
     "live_routes": f"""WITH {ONE}, {HIGH}, {_LIVE},
 best AS (SELECT *, min(ord) OVER (PARTITION BY id) AS seen FROM live QUALIFY row_number() OVER (PARTITION BY id ORDER BY pct DESC, ord) = 1),
 said AS (SELECT id, count(*) AS n, min(pct) AS lo, max(pct) AS hi FROM dated GROUP BY id)

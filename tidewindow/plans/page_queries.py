@@ -175,7 +175,7 @@ def page_rates(spark, sf_dir):
     return rates.page_ratios(p.select("k", "bank", F.when(F.col("k") % 2 == 0, shown).otherwise(hidden).alias("html")), F.lit(NOW))
 
 
-def resolved_windows(spark, sf_dir):
+def _raw_windows(spark, sf_dir):
     """Orders as raw windows; every seventh names no known bank, every ninth has a date that there is none, every eleventh no bonus."""
     w = order_windows(spark, sf_dir)
     banks = list(BANK_ALIASES)
@@ -184,7 +184,17 @@ def resolved_windows(spark, sf_dir):
         F.when(F.col("ord") % 7 == 0, "no bank").otherwise(F.upper(name)).alias("bankName"), F.when(F.col("ord") % 2 == 0, "Smiles (GOL)").otherwise("LATAM - Latam Pass").alias("partnerName"),
         F.when(F.col("ord") % 11 == 0, 0.0).otherwise(F.col("pct")).alias("pct"), F.when(F.col("ord") % 9 == 0, "02/30/01").otherwise(F.date_format("start", "M/d/yyyy")).alias("startDateRaw"), F.date_format("end", "MM/dd/yyyy").alias("endDateRaw"), "ord",
     )
-    return resolve_windows(raw).select("ord", "id", F.col("start").cast("string").alias("start"), F.col("end").cast("string").alias("end"), F.col("s").cast("long").alias("s"))
+    return raw
+
+
+def resolved_windows(spark, sf_dir):
+    """Raw windows that have a known bank, dates and a bonus."""
+    return resolve_windows(_raw_windows(spark, sf_dir)).select("ord", "id", F.col("start").cast("string").alias("start"), F.col("end").cast("string").alias("end"), F.col("s").cast("long").alias("s"))
+
+
+def windows_of_any_pct(spark, sf_dir):
+    """The same without a look at the bonus, as the evaluation reads its archive."""
+    return resolve_windows(_raw_windows(spark, sf_dir), check_pct=False).select("ord", "id", "pct")
 
 
 def _bonuses(spark, sf_dir):
@@ -266,6 +276,6 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         bonus_table_rows, archive_table_rows, bonus_grid_rows, offer_rows, banner_rows, unpivot_ratio, listed_partners, list_directory, menu_directory, showcase_ids, data_words,
-        stated_rates, page_rates, resolved_windows, live_routes, forecasts_beside_live, ledger_stamps, ledger_as_history, fold_directory, partner_rules,
+        stated_rates, page_rates, resolved_windows, windows_of_any_pct, live_routes, forecasts_beside_live, ledger_stamps, ledger_as_history, fold_directory, partner_rules,
     )
 }
