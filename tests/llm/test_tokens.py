@@ -98,7 +98,8 @@ def test_many_small_files_and_one_large(spark, sizes, least, most):
     assert least <= len(listed) <= most and sum(r["documents"] for r in listed) == 40
     got = read_token_files(files).collect()
     lib, start, want = library("byte_bpe_50k.json"), 0, []
-    for i, t in sorted(((i, t or "") for i, t, _ in texts), key=lambda x: (x[0] is not None, x[0] or 0, x[1])):
+    hashes = {r["text"]: r["h"] for r in df.select(F.coalesce("text", F.lit("")).alias("text")).select("text", F.xxhash64("text").alias("h")).collect()}
+    for i, t in sorted(((i, t or "") for i, t, _ in texts), key=lambda x: (x[0] is not None, x[0] or 0, hashes[x[1]])):
         n = len(lib.encode(t, add_special_tokens=False).ids) + 1
         want.append((i, start, n))
         start += n
@@ -108,6 +109,12 @@ def test_many_small_files_and_one_large(spark, sizes, least, most):
     assert sorted(r["start"] for r in some) == [s for i, s, _ in want if i in (3, 18)]
 
 
+def test_rows_without_an_id_are_written_by_many_tasks(spark):
+    df = spark.createDataFrame([(None, f"word {k}", "s") for k in range(400)], "doc_id bigint, text string, start string")
+    listed = write_token_files(df, tokenizer_json("byte_bpe_50k.json"), partitions=4).collect()
+    assert len(listed) > 2 and sum(r["documents"] for r in listed) == 400 and max(r["documents"] for r in listed) < 250
+
+
 def test_damaged_frame(spark, tmp_path):
     from pyarrow import fs
 

@@ -7,7 +7,7 @@ XXH64 of its content. The layout of the seek table is that of the public seekabl
 zstandard format, so the files are also plain zstandard streams. A reader takes the table
 from the end of the file and decompresses the frames it is asked for.
 
-Documents are range-partitioned by id, into as many partitions as their bytes ask for, and
+Documents are range-partitioned by id, and those of one id by a hash of their text, into as many partitions as their bytes ask for, and
 a partition begins a new file when one has FILE_BYTES of ids or FILE_FRAMES documents, so
 ids ascend from file to file and what a writer or reader holds, a file's ids and seek
 table, is bounded whatever the corpus and however ids are spread. A task that runs again
@@ -15,7 +15,7 @@ writes files of other names, and the file list names those that count; it also h
 sums, so nothing is opened for them.
 
 Defined results: a null or empty text has the end id alone; documents of one id stay
-apart, ordered by text; a null id comes first; an empty table gives no files; other
+apart, ordered by a hash of the text; a null id comes first; an empty table gives no files; other
 columns are ignored.
 """
 
@@ -213,11 +213,13 @@ def write_token_files(
         if out is not None:
             yield closed()
 
-    rows = docs.select(F.col(key).cast("long").alias("k"), text_or_empty(text).alias("t"))
+    t = text_or_empty(text)
+    rows = docs.select(F.col(key).cast("long").alias("k"), t.alias("t"), F.xxhash64(t).alias("h"))
     if partitions is None:
         size = rows.agg(F.sum(F.octet_length("t").cast("long"))).first()[0] or 0
         partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PARTITION_BYTES))
-    ordered = rows.repartitionByRange(partitions, "k").sortWithinPartitions("k", "t")
+    # rows of one id, as of none, are dealt by the hash of their texts
+    ordered = rows.repartitionByRange(partitions, "k", "h").sortWithinPartitions("k", "h", "t").select("k", "t")
     return written(ordered.mapInArrow(write, _FILES_SQL), "token-files")
 
 
