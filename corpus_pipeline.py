@@ -64,7 +64,7 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents sampled to the flattened weights of sources, languages and topics, without repeats: 80 % of tokens or what the weights allow."""
     docs = Placed(docs, ROW)
-    mixed = mix_sources(docs.rows, budget=0.8, key=ROW, drawn_by="doc_id")
+    mixed = mix_sources(docs.rows, budget=0.8, key=ROW, drawn_by="doc_id", tokenizer=tokenizer_json("byte_bpe_50k.json"))
     return docs.without(mixed.filter("not coalesce(taken, false)").select(ROW))
 
 

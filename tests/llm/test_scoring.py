@@ -91,7 +91,7 @@ def test_rules(spark):
     assert quality_rules.quality_rules(frame(spark, [])).count() == 0
 
 
-def slow_fence(values, upper=True):
+def slow_fence(values, upper=True, rank=None):
     """The fence from exact quantiles; a quantile is the least value whose share of values up to it reaches the rank."""
     ordered = sorted(values)
     q = lambda p: ordered[max(0, int(np.ceil(p * len(ordered) - 1e-9)) - 1)]
@@ -99,6 +99,8 @@ def slow_fence(values, upper=True):
     if inner != edge:
         return edge + quality_rules.FENCE * (edge - inner)
     beyond = [v for v in (q(k / quality_rules.STEPS) for k in range(quality_rules.STEPS + 1)) if (v > edge if upper else v < edge)]
+    if rank:
+        return beyond[int((len(beyond) - 1) * rank)] if beyond else edge
     return (edge + (beyond[(len(beyond) - 1) // 2] if beyond else edge)) / 2
 
 
@@ -115,10 +117,11 @@ def test_thresholds_follow_each_group(spark):
     rows = rows[:-1]
     assert set(got) == {x[2:4] for x in rows} and len(got) == 7
     sides = [(f"{m}_most", 4 + k, True) for k, m in enumerate(quality_rules.UPPER)] + [("mean_word_least", 8, False)]
-    drawn = lambda xs, wider, c, up: (len(xs) * slow_fence([x[c] for x in xs], up) + quality_rules.SHARED * wider) / (len(xs) + quality_rules.SHARED)
+    rank = lambda c: 0.9 if c == 5 else None
+    drawn = lambda xs, wider, c, up: (len(xs) * slow_fence([x[c] for x in xs], up, rank(c)) + quality_rules.SHARED * wider) / (len(xs) + quality_rules.SHARED)
     for (lang, source), t in got.items():
         for name, c, up in sides:
-            of_lang = drawn([x for x in rows if x[2] == lang], slow_fence([x[c] for x in rows], up), c, up)
+            of_lang = drawn([x for x in rows if x[2] == lang], slow_fence([x[c] for x in rows], up, rank(c)), c, up)
             want = drawn([x for x in rows if x[2:4] == (lang, source)], of_lang, c, up)
             assert abs(t[name] - want) < 1e-9, (lang, source, name)
     assert len({round(t["symbol_share_most"], 6) for t in got.values()}) == 7 and got["en", "b"]["symbol_share_most"] > got["en", "a"]["symbol_share_most"]
@@ -398,6 +401,14 @@ def test_mixing_by_counted_tokens(spark):
     total = sum(x["n_tokens"] * x["probability"] for x in got)
     for dim, value, share in (("source", "a", 0.5), ("lang", "de", 0.5)):
         assert abs(sum(x["n_tokens"] * x["probability"] for x in got if x[dim] == value) / total - share) < 2e-3
+    by_itself = mixing.mix_sources(docs, targets, budget=0.3, topic=F.lit("t"), tokenizer=tokenizer_json("byte_bpe_50k.json")).collect()
+    counts = {x["doc_id"]: x["n_tokens"] for x in token_counts(docs, tokenizer_json("byte_bpe_50k.json")).collect()}
+    assert len(by_itself) == 602 and all(x["n_tokens"] == counts[x["doc_id"]] for x in by_itself)
+    total = sum(x["n_tokens"] * x["probability"] for x in by_itself)
+    for x in mixing.marginals(mixing.mix_sources(docs, targets, budget=0.3, topic=F.lit("t"), tokenizer=tokenizer_json("byte_bpe_50k.json"))).collect():
+        assert abs(x["expected"] - x["target"]) < 2e-3
+    for dim, value, share in (("source", "a", 0.5), ("lang", "de", 0.5)):
+        assert abs(sum(x["n_tokens"] * x["probability"] for x in by_itself if x[dim] == value) / total - share) < 2e-3
     words = mixing.mix_sources(counted, targets, budget=0.3, topic=F.lit("t")).agg(F.sum("n_tokens")).first()[0]
     assert words < sum(x["n_tokens"] for x in got)
 

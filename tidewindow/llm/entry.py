@@ -62,14 +62,14 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the files hold of every row, a null id first and rows of one id by text; a null text has the end id alone."""
+    """What the files hold of every row, a null id first and rows of one id by a hash of the text; a null text has the end id alone."""
     files = write_token_files(table(spark, sf_dir, "documents"), tokenizer_json("byte_bpe_50k.json"), end_id=2)
     return read_token_files(files).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weight and decision of every row; null sources, languages and topics count as the empty one, repeated ids share a decision, a null id is drawn by its text."""
-    return mix_sources(table(spark, sf_dir, "documents"), budget=0.8)
+    return mix_sources(table(spark, sf_dir, "documents"), budget=0.8, tokenizer=tokenizer_json("byte_bpe_50k.json"))
 
 
 def op10_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,7 +118,8 @@ def _fence(side: str) -> str:
     """Of a sorted list v of n values the fence above or below, from the quantiles g at every 200th."""
     inner, edge, beyond = ("v[ceil(n * 0.25)::INT]", "v[ceil(n * 0.75)::INT]", ">") if side == "most" else ("v[ceil(n * 0.75)::INT]", "v[ceil(n * 0.25)::INT]", "<")
     past = f"list_filter(g, lambda x: x {beyond} {edge})"
-    return f"CASE WHEN {edge} <> {inner} THEN {edge} + 6 * ({edge} - {inner}) ELSE ({edge} + coalesce({past}[(len({past}) - 1) // 2 + 1], {edge})) / 2 END AS {side}"
+    ranked = f"WHEN measure = 'dup_line_share' THEN coalesce({past}[floor((len({past}) - 1) * 0.9)::INT + 1], {edge}) "
+    return f"CASE WHEN {edge} <> {inner} THEN {edge} + 6 * ({edge} - {inner}) {ranked}ELSE ({edge} + coalesce({past}[(len({past}) - 1) // 2 + 1], {edge})) / 2 END AS {side}"
 
 
 def _fences(name: str, keys: str) -> str:

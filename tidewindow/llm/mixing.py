@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewindow.llm.common import text_or_empty, written
+from tidewindow.llm.token_counts import with_token_counts
 
 DIMENSIONS = ("source", "lang", "topic")
 #: Exponents on the shares that make the default targets: below 1 they lift what is rare.
@@ -53,7 +54,7 @@ def topic_of(text: Column) -> Column:
 
 
 def token_count(text: Column) -> Column:
-    """Words between white space, the measure that weights are raked in."""
+    """Words between white space, what counts as tokens where no tokenizer is given."""
     return F.size(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")).cast("long")
 
 
@@ -189,6 +190,7 @@ def mix_sources(
     source: str = "source",
     topic: Column | None = None,
     tokens: Column | None = None,
+    tokenizer: str | None = None,
     seed: int = 17,
 ) -> DataFrame:
     """``key, source, lang, topic, n_tokens, weight, probability, taken, copies`` of every row.
@@ -198,13 +200,20 @@ def mix_sources(
     or less where the targets allow less without repeats; that of ``copies`` is met.
     ``drawn_by``: the column whose hash decides, ``key`` by default. ``topic`` and ``tokens``:
     a topic and a token count that rows have, as of another operator; by default markers in
-    the text and its words. A null or negative count counts as none.
+    the text, and the tokens of ``tokenizer`` (a tokenizer file's content, counted as by
+    :mod:`tidewindow.llm.token_counts`) or else words. A null or negative count counts as none.
     """
     t = text_or_empty(text)
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     by = F.col(drawn_by or key)
     u = F.when(by.isNull(), uniform(t, seed)).otherwise(uniform(by, seed))
-    rows = docs.select(F.col(key).alias("id"), name(source).alias("source"), name(lang).alias("lang"), F.coalesce(topic_of(t) if topic is None else topic, F.lit("")).alias("topic"), (token_count(t) if tokens is None else F.greatest(F.coalesce(tokens, F.lit(0)), F.lit(0)).cast("long")).alias("tokens"), u.alias("u"))
+    rows = docs.select(F.col(key).alias("id"), name(source).alias("source"), name(lang).alias("lang"), F.coalesce(topic_of(t) if topic is None else topic, F.lit("")).alias("topic"), u.alias("u"), t.alias("t"), *([] if tokens is None else [tokens.alias("tokens")]))
+    if tokens is not None:
+        rows = rows.withColumn("tokens", F.greatest(F.coalesce("tokens", F.lit(0)), F.lit(0)).cast("long")).drop("t")
+    elif tokenizer is not None:
+        rows = with_token_counts(rows, tokenizer, name="tokens")
+    else:
+        rows = rows.withColumn("tokens", token_count(F.col("t"))).drop("t")
     rows = written(rows, "tokens")
     cells = written(rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")), "cells")
     weights = with_probability(rake(cells, flattened(cells) if targets is None else targets), budget)

@@ -5,8 +5,10 @@ built with map-side partial sketches; merged, they give the sketches of language
 rows. A threshold is the fence of the measure's own distribution: FENCE interquartile
 ranges beyond the quartile. Where the quartiles are equal there is no range: then the fence
 lies midway between them and the median of the values beyond them (of the STEPS + 1
-quantiles that a sketch is asked for), so that it follows what outliers the group has;
-without any, nothing is beyond it. A group's fence is drawn towards
+quantiles that a sketch is asked for), so that it follows what outliers the group has; for
+measures in RANKED at that rank of the values beyond, as there any value is ordinary (one
+repeated line in a short text is a large share) and only the largest are not. Without values
+beyond, nothing is beyond the fence. A group's fence is drawn towards
 its language's, and that towards the fence of all rows, each counting as SHARED rows, so
 that a small group's threshold is mostly its language's, with no switch on size. The
 thresholds are joined back and rows beyond any of them fail.
@@ -37,6 +39,8 @@ WINDOW = 8
 FENCE = 6.0
 #: Measures that have an upper fence, and those that have a lower one too.
 UPPER, LOWER = ("symbol_share", "dup_line_share", "upper_share", "bang_share", "mean_word"), ("mean_word",)
+#: Ranks among the values beyond equal quartiles at which these measures' fences stand.
+RANKED = {"dup_line_share": 0.9}
 #: Rows that the fence of the wider group counts as.
 SHARED = 200
 #: Size of a sketch, and steps between the ranks it is asked for.
@@ -114,13 +118,13 @@ def measured(docs: DataFrame, *, text: str = "text", key: str = "doc_id", lang:
     )
 
 
-def fence(quantiles: Column, *, upper: bool = True) -> Column:
-    """The value beyond which rows are outliers, from STEPS + 1 quantiles."""
+def fence(quantiles: Column, *, upper: bool = True, rank: float | None = None) -> Column:
+    """The value beyond which rows are outliers, from STEPS + 1 quantiles; ``rank``: that of an upper fence where the quartiles are equal."""
     low, high = F.get(quantiles, F.lit(STEPS // 4)), F.get(quantiles, F.lit(3 * STEPS // 4))
     inner, edge = (low, high) if upper else (high, low)
     beyond = F.filter(quantiles, lambda v: v > edge if upper else v < edge)
-    middle = F.coalesce(F.get(beyond, F.floor((F.size(beyond) - 1) / 2).cast("int")), edge)
-    return F.when(edge != inner, edge + FENCE * (edge - inner)).otherwise((edge + middle) / 2)
+    there = F.coalesce(F.get(beyond, F.floor((F.size(beyond) - 1) * (rank or 0.5)).cast("int")), edge)
+    return F.when(edge != inner, edge + FENCE * (edge - inner)).otherwise(there if rank else (edge + there) / 2)
 
 
 def thresholds(rows: DataFrame) -> DataFrame:
@@ -134,7 +138,7 @@ def thresholds(rows: DataFrame) -> DataFrame:
     def fences(sketches: DataFrame, tag: str, *keys: Column) -> DataFrame:
         ranks = F.array(*(F.lit(k / STEPS) for k in range(STEPS + 1)))
         asked = sketches.select(*keys, F.col("rows").cast("double").alias(f"rows_{tag}"), *(F.kll_sketch_get_quantile_double(m, ranks).alias(m) for m in UPPER))
-        return asked.select(*(F.col(c) for c in asked.columns if c not in UPPER), *(fence(F.col(m), upper=up).alias(f"{name}_{tag}") for name, m, up in sides))
+        return asked.select(*(F.col(c) for c in asked.columns if c not in UPPER), *(fence(F.col(m), upper=up, rank=RANKED.get(m)).alias(f"{name}_{tag}") for name, m, up in sides))
 
     drawn = lambda name, tag, wider: (F.col(f"rows_{tag}") * F.col(f"{name}_{tag}") + SHARED * wider) / (F.col(f"rows_{tag}") + SHARED)
     of_lang = fences(by_lang, "l", F.col("lang").alias("of")).join(F.broadcast(fences(whole, "a")))  # one row

@@ -116,9 +116,9 @@ def merger(tokenizer: str) -> RankMerger:
     return _mergers[key]
 
 
-def token_counts(docs: DataFrame, tokenizer: str, *, text: str = "text", key: str = "doc_id", limit: int = 1024) -> DataFrame:
-    """``key, n_bytes, n_tokens, over_limit`` of every row. ``tokenizer``: a tokenizer file's content."""
-    spark = docs.sparkSession
+def with_token_counts(rows: DataFrame, tokenizer: str, *, text: str = "t", name: str = "n_tokens") -> DataFrame:
+    """``rows`` with the tokens of ``text``, which no null may be in, in place of that column. ``tokenizer``: a tokenizer file's content."""
+    spark = rows.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(tokenizer)
 
@@ -126,9 +126,16 @@ def token_counts(docs: DataFrame, tokenizer: str, *, text: str = "text", key: st
         m = merger(shared.value)
         for b in batches:
             texts = b.column(1).to_pylist()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(m.counts(texts), pa.int64())], ["key", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(m.counts(texts), pa.int64())], ["row", "n"])
+
+    others = [c for c in rows.columns if c != text]
+    packed = rows.select(F.struct(*others).alias("row"), F.col(text).alias("t"))
+    out = packed.mapInArrow(count, f"row {packed.schema['row'].dataType.simpleString()}, n bigint")
+    return out.select(*(F.col(f"row.{c}").alias(c) for c in others), F.col("n").alias(name))
 
-    rows = docs.select(F.struct(F.col(key).alias("id"), F.octet_length(text_or_empty(text)).cast("long").alias("n")).alias("key"), text_or_empty(text).alias("t"))
-    kind = docs.schema[key].dataType.simpleString()
-    out = rows.mapInArrow(count, f"key struct<id:{kind},n:bigint>, n_tokens bigint")
-    return out.select(F.col("key.id").alias(key), F.col("key.n").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+
+def token_counts(docs: DataFrame, tokenizer: str, *, text: str = "text", key: str = "doc_id", limit: int = 1024) -> DataFrame:
+    """``key, n_bytes, n_tokens, over_limit`` of every row. ``tokenizer``: a tokenizer file's content."""
+    rows = docs.select(F.col(key).alias("k"), F.octet_length(text_or_empty(text)).cast("long").alias("n_bytes"), text_or_empty(text).alias("t"))
+    out = with_token_counts(rows, tokenizer)
+    return out.select(F.col("k").alias(key), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
