@@ -60,6 +60,19 @@ def rows(spark):
     return spark.createDataFrame([(1, "Hello  world", "x", None), (2, None, "x", None), (3, "", None, None), (1, "Hello  world", "y", None), (None, "abc", None, None)], DOCS)
 
 
+def test_plain_texts_are_split_as_any_other():
+    m = RankMerger(tokenizer_json("byte_bpe_50k.json"))
+    plain = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and not m.other(chr(c))]
+    assert len(plain) == len(range(0x20, 0x7F)) + 3 + 3 + len(range(0xC0, 0x250)) + len(range(0x2010, 0x2028))
+    for c in plain:
+        for t in (c, f"a{c}b", f" {c} {c}", f"1{c}2", f"!{c}?", f"{c}{c}'s"):
+            assert m.plain_split(t) == m.any_split(t), t
+    r = random.Random(5)
+    for _ in range(3000):
+        t = "".join(r.choice((r.choice(plain), " ", "\n", "a", "'ll", "7")) for _ in range(r.randint(0, 40)))
+        assert m.split(t) == m.any_split(t), t
+
+
 def test_queries_on_odd_rows(spark):
     got = token_counts(rows(spark), tokenizer_json("byte_bpe_50k.json"), limit=2).collect()
     assert sorted((r["doc_id"] or 0, r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in got) == [(0, 3, 1, False), (1, 12, 3, True), (1, 12, 3, True), (2, 0, 0, False), (3, 0, 0, False)]

@@ -12,6 +12,7 @@ rows each give their row; an empty table gives no rows; other columns are ignore
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,10 @@ from tidewindow.llm.common import PairTable, byte_alphabet, ragged, small_batche
 
 #: Fixed value: how byte-level BPE splits a text before merging.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The same for texts of ASCII and Latin characters and common punctuation alone, whose classes can be listed.
+LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
+PLAIN_SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[0-9]+| ?[^\s{LETTERS}0-9]+|\s+(?!\S)|\s+"
+OTHER = r"[^\t\n\r\x20-\x7eªµºÀ-ɏ‐-‧]"
 #: Counts that a Python worker remembers at most; then it forgets all and starts again.
 MEMO = 300_000
 NONE = np.int32(2**31 - 1)
@@ -43,7 +48,8 @@ class RankMerger:
         self.of_byte = np.array([vocab[c] for c in byte_alphabet()], np.int32)
         self.specials = [t["content"] for t in doc["added_tokens"]]
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True)))) if self.specials else None
-        self.split = regex.compile(SPLIT).findall
+        self.any_split, self.plain_split = regex.compile(SPLIT).findall, re.compile(PLAIN_SPLIT).findall
+        self.other = re.compile(OTHER).search
         self.memo: dict[str, int] = {}
 
     def rank(self, sym: np.ndarray, seq: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -88,6 +94,10 @@ class RankMerger:
             rank[near] = self.rank(sym, seq, near)
         return counts
 
+    def split(self, text: str) -> list[str]:
+        """The pre-tokens of a text."""
+        return self.any_split(text) if self.other(text) else self.plain_split(text)
+
     def counts(self, texts: list[str]) -> list[int]:
         """Tokens of each text."""
         parts, extra = [], []
@@ -96,11 +106,11 @@ class RankMerger:
             extra.append(len(special))
             parts.append([w for s in self.cut.split(t) for w in self.split(s)] if special else self.split(t))
         memo = self.memo
-        new = list({w for p in parts for w in p if w not in memo})
+        new = list(set().union(*parts).difference(memo))
         if new:
             if len(memo) + len(new) > MEMO:
                 memo.clear()
-                new = list({w for p in parts for w in p})
+                new = list(set().union(*parts))
             memo.update(zip(new, self.merged_lengths([w.encode() for w in new]).tolist(), strict=True))
         return [e + sum(map(memo.__getitem__, p)) for e, p in zip(extra, parts, strict=True)]
 
