@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidewindow.operators import guards
 from tidewindow.operators.ledger import ENTRY, update_ledger
 from tidewindow.plans import ledger_table as T
+from tidewindow.plans import versions as V
 
 DAY = date(2026, 8, 1)
 ACTIVE = "id string, bank string, code string, pct double, endDate date, pos bigint"
@@ -29,38 +30,38 @@ def test_versions_rewrite_what_changed(spark, tmp_path):
     assert usable and none.count() == 0 and none.columns == entries(spark, 1).columns
     first = T.write_entries(entries(spark, 200), path)
     assert len(first) > 40 and sorted(map(tuple, T.read_entries(spark, path)[1].collect())) == sorted(map(tuple, entries(spark, 200).collect()))
-    assert T.write_entries(T.read_entries(spark, path)[1], path) == [] and T.manifest(path)["version"] == 1
+    assert T.write_entries(T.read_entries(spark, path)[1], path) == [] and V.manifest(path)["version"] == 1
     before, held = files(path), T.read_entries(spark, path)[1]
     active = spark.createDataFrame([("b-7", "B", "7", 99.0, None, 0), ("new", "N", "1", 5.0, None, 1)], ACTIVE)
     stepped = update_ledger(held, active, date(2026, 8, 3))
     want = sorted(map(tuple, stepped.collect()))
     changed = T.write_entries(stepped, path)
-    assert 1 <= len(changed) <= 2 and T.manifest(path)["version"] == 2
+    assert 1 <= len(changed) <= 2 and V.manifest(path)["version"] == 2
     after = files(path)
     assert all(after[f] == t for f, t in before.items()) and len(after) - len(before) == len(changed)
     assert sorted(map(tuple, T.read_entries(spark, path)[1].collect())) == want and held.count() == 200  # a reader of the old version still has it
     # entries that go take their bucket along
     emptied = T.write_entries(T.read_entries(spark, path)[1].filter("id = 'new'"), path)
     assert len(emptied) >= 39 and [r["id"] for r in T.read_entries(spark, path)[1].collect()] == ["new"]
-    assert T.prune(path) and len(files(path)) == 1 and T.read_entries(spark, path)[1].count() == 1
+    assert V.prune(path) and len(files(path)) == 1 and T.read_entries(spark, path)[1].count() == 1
 
 
 def test_a_run_that_dies_changes_nothing(spark, tmp_path, monkeypatch):
     path = str(tmp_path / "ledger")
     T.write_entries(entries(spark, 5), path)
-    before = (tmp_path / "ledger" / T.MANIFEST).read_bytes()
-    monkeypatch.setattr(T.json, "dumps", lambda *a, **k: 1 / 0)
+    before = (tmp_path / "ledger" / V.MANIFEST).read_bytes()
+    monkeypatch.setattr(V.json, "dumps", lambda *a, **k: 1 / 0)
     with pytest.raises(ZeroDivisionError):
         T.write_entries(entries(spark, 9), path)
     monkeypatch.undo()
-    assert (tmp_path / "ledger" / T.MANIFEST).read_bytes() == before and T.read_entries(spark, path)[1].count() == 5
+    assert (tmp_path / "ledger" / V.MANIFEST).read_bytes() == before and T.read_entries(spark, path)[1].count() == 5
     for broken in ("{", '{"version": 1}', "[]", "null"):
-        (tmp_path / "ledger" / T.MANIFEST).write_text(broken)
+        (tmp_path / "ledger" / V.MANIFEST).write_text(broken)
         assert not T.read_entries(spark, path)[0]
         with pytest.raises(ValueError, match="manifest"):
             T.write_entries(entries(spark, 9), path)
-        assert (tmp_path / "ledger" / T.MANIFEST).read_text() == broken
-    (tmp_path / "ledger" / T.MANIFEST).write_bytes(before)
+        assert (tmp_path / "ledger" / V.MANIFEST).read_text() == broken
+    (tmp_path / "ledger" / V.MANIFEST).write_bytes(before)
     assert json.loads(before)["version"] == 1 and T.read_entries(spark, path)[1].count() == 5
 
 

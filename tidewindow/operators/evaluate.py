@@ -100,20 +100,22 @@ def effective_events(rows: DataFrame, windows: DataFrame) -> DataFrame:
 
 
 def clusters(rows: DataFrame, by: str, *, key: str = "ship", ref: str = "clim") -> DataFrame:
-    """``g, e_key, e_ref, n``: sums for each cluster, numbered from 0 in order of its first row (cut, id)."""
+    """``g, e_key, e_ref, n``: sums for each cluster, numbered from 0 in order of its first row (cut, id).
+
+    The sums are written before they are numbered, as range partitioning reads its input twice.
+    """
     sums = rows.groupBy(by).agg(F.sum(squared(key)).alias("e_key"), F.sum(squared(ref)).alias("e_ref"), F.count("*").alias("n"), F.min(F.struct("cut", "id")).alias("at"))
-    return numbered(sums, "at", "g").select("g", "e_key", "e_ref", "n")
+    return numbered(written(sums, "clusters"), "at", "g").select("g", "e_key", "e_ref", "n")
 
 
 def bootstrap_delta(rows: DataFrame, *, by: str = "cut", key: str = "ship", ref: str = "clim", reps: int = 2000, seed: int = 42) -> DataFrame:
     """One row ``delta, lo, hi, pNeg, clusters``: the gain in Brier score over ``ref`` and its 95 % interval when whole clusters are drawn.
 
     Draw i of the generator is a function of i, so all draws are columns of one range; each
-    is joined to its cluster's sums, and replicates are sums of those. The sums are written
-    once, as they are used for the totals and for the draws.
+    is joined to its cluster's sums, and replicates are sums of those.
     """
     spark = rows.sparkSession
-    g = written(clusters(rows, by, key=key, ref=ref), "clusters")
+    g = clusters(rows, by, key=key, ref=ref)
     size = g.agg(F.count("*").alias("G"), (F.sum("e_ref") / F.sum("n") - F.sum("e_key") / F.sum("n")).alias("delta"))
     slots = spark.range(reps).withColumnRenamed("id", "rep").join(F.broadcast(size)).filter("G > 0").select("rep", "G", F.explode(F.sequence(F.lit(0), F.col("G") - 1)).alias("j"))
     drawn = slots.select("rep", F.floor(uniform_draw(seed, F.col("rep") * F.col("G") + F.col("j") + 1) * F.col("G")).cast("int").alias("g"))

@@ -1,105 +1,27 @@
-"""The ledger as a versioned table, for ledgers of any size.
-
-Entries lie in buckets by their route. A manifest names the folder that holds each bucket; a
-new version writes the buckets that changed into a folder of its own and then switches the
-manifest in one step, so a reader sees the old version or the new one, and a run that dies
-before the switch leaves nothing but a folder that no one names. What changed is found by
-comparing rows in Spark; only bucket numbers come to the driver.
-"""
+"""The ledger as a table of versions (:mod:`tidewindow.plans.versions`), its entries in buckets by route."""
 
 from __future__ import annotations
 
-import json
-import uuid
-
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tidewindow.functions.shared import written
 from tidewindow.operators.ledger import ENTRY
-
-MANIFEST = "manifest.json"
-BUCKETS = 64
-
-
-def _file_system(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+from tidewindow.plans.versions import VersionedTable, changed_keys
 
 
-def _bucket(buckets: int):
-    return F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int")
-
-
-def manifest(path: str) -> dict | None:
-    """The manifest, an empty one where there is none yet, or None if it can't be read."""
-    where, folder = _file_system(path)
-    name = f"{folder}/{MANIFEST}"
-    if where.get_file_info(name).type == fs.FileType.NotFound:
-        return {"version": 0, "buckets": BUCKETS, "folders": {}}
-    try:
-        with where.open_input_stream(name) as f:
-            doc = json.loads(f.read())
-        return doc if isinstance(doc["version"], int) and isinstance(doc["folders"], dict) and isinstance(doc["buckets"], int) else None
-    except (OSError, ValueError, KeyError, TypeError):
-        return None
+def ledger_table(spark: SparkSession, path: str) -> VersionedTable:
+    return VersionedTable(spark, path, ENTRY, "id")
 
 
 def read_entries(spark: SparkSession, path: str) -> tuple[bool, DataFrame]:
     """(usable, entries). Without a manifest: usable and empty; with one that can't be read: not to be used or replaced."""
-    doc = manifest(path)
-    if not doc or not doc["folders"]:
-        return doc is not None, spark.createDataFrame([], ENTRY)
-    return True, spark.read.schema(ENTRY).parquet(*(f"{path}/{f}" for f in sorted(doc["folders"].values())))
+    return ledger_table(spark, path).read()
 
 
 def changed_entries(new: DataFrame, old: DataFrame) -> DataFrame:
-    """``id`` of every entry that only one of two ledgers has, or that they have with other values."""
-    mark = lambda rows: rows.select("id", "ord", F.to_json(F.struct(*sorted(rows.columns))).alias("entry"))
-    a, b = mark(new), mark(old)
-    return a.join(b, ["id", "ord", "entry"], "left_anti").select("id").unionByName(b.join(a, ["id", "ord", "entry"], "left_anti").select("id"))
+    """``id`` of every route of which only one of two ledgers has an entry, or has it with other values."""
+    return changed_keys(new, old, "id")
 
 
 def write_entries(entries: DataFrame, path: str) -> list[int]:
     """Makes ``entries`` the ledger at ``path``; the buckets that were written anew, none if nothing changed."""
-    spark = entries.sparkSession
-    doc = manifest(path)
-    if doc is None:
-        raise ValueError(f"{path}: the manifest can't be read")
-    of = _bucket(doc["buckets"])
-    _, old = read_entries(spark, path)
-    new = written(entries.select(*old.columns), "ledger")
-    changed = sorted(r[0] for r in changed_entries(new, old).select(of.alias("b")).distinct().collect())  # as many as there are buckets
-    if not changed:
-        return []
-    where, folder = _file_system(path)
-    version = f"v{doc['version'] + 1:06d}-{uuid.uuid4().hex[:8]}"
-    target = f"{path}/{version}"
-    rows = new.withColumn("bucket", of).filter(F.col("bucket").isin(changed))
-    rows.repartition("bucket").write.partitionBy("bucket").parquet(target if "://" in target else f"file://{target}")
-    there = {i.base_name for i in where.get_file_info(fs.FileSelector(f"{folder}/{version}"))}
-    for b in changed:
-        name = f"bucket={b}"
-        doc["folders"].pop(str(b), None)
-        if name in there:
-            doc["folders"][str(b)] = f"{version}/{name}"
-    doc["version"] += 1
-    fresh = f"{folder}/{MANIFEST}.{version}"
-    with where.open_output_stream(fresh) as f:
-        f.write(json.dumps(doc, indent=1, sort_keys=True).encode())
-    where.move(fresh, f"{folder}/{MANIFEST}")
-    return changed
-
-
-def prune(path: str) -> list[str]:
-    """Removes the bucket folders that the manifest no longer names; call it when no reader of an older version is left."""
-    where, folder = _file_system(path)
-    named = set((manifest(path) or {"folders": {}})["folders"].values())
-    inside = lambda name: [i.base_name for i in where.get_file_info(fs.FileSelector(f"{folder}/{name}")) if i.type == fs.FileType.Directory]
-    gone = []
-    for version in inside(""):
-        buckets = [f"{version}/{b}" for b in inside(version)]
-        gone += [b for b in buckets if b not in named]
-        for name in [version] if not named.intersection(buckets) else [b for b in buckets if b not in named]:
-            where.delete_dir(f"{folder}/{name}")
-    return sorted(gone)
+    return ledger_table(entries.sparkSession, path).write(entries)

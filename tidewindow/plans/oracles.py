@@ -209,11 +209,16 @@ UNION ALL SELECT id, 'wait falls' FROM x WHERE a > b + 1e-9 OR b > c + 1e-9""",
 }
 
 _STEP = ORACLE_SQL["ledger_step"]
+_MERGED, _UPSERTED = ORACLE_SQL["directory_merge"], ORACLE_SQL["rate_upsert"]
 _NAMES = ", ".join(f"({k}, '{DISPLAY_NAMES[code]}')" for k, code in enumerate(sorted(DISPLAY_NAMES)))
 ORACLE_SQL |= {
     "deadline_days": """SELECT o_orderkey, strftime(CAST(o_orderdate AS DATE) + to_hours(o_orderkey % 24) + INTERVAL 59 MINUTE - INTERVAL 3 HOUR, '%d/%m') AS timed,
   strftime(CAST(o_orderdate AS DATE), '%d/%m') AS plain, '' AS none FROM orders""",
     "display_names": f"""SELECT p_partkey, CASE WHEN p_partkey % 9 = 0 THEN 'ZZ' ELSE name END AS name FROM part JOIN (VALUES {_NAMES}) v(k, name) ON k = p_partkey % {len(DISPLAY_NAMES)}""",
+    "directory_versions": f"""WITH {_directory("had", 1, 30)}, rows AS (SELECT bank, name, ratio FROM ({_MERGED}) WHERE bank < 'Brand#3'
+  UNION ALL SELECT bank, name, ratio FROM ({_UPSERTED}) WHERE bank >= 'Brand#4' UNION ALL SELECT bank, name, ratio FROM had WHERE bank >= 'Brand#3' AND bank < 'Brand#4'),
+other AS (SELECT coalesce(r.bank, h.bank) AS bank FROM rows r FULL JOIN had h ON r.bank = h.bank AND r.name = h.name WHERE r.ratio IS DISTINCT FROM h.ratio)
+SELECT bank, name, ratio, bank IN (SELECT bank FROM other) AS changed FROM rows""",
     "ledger_changes": f"""WITH step AS ({_STEP}), {HIGH} SELECT id, count(*) AS entries, max(lastSeen) AS last_seen, id IN (SELECT id FROM high) AS changed FROM step GROUP BY id""",
     "source_guard": f"""SELECT p AS source, count(o) AS entries, count(o) = 0 AS failed FROM (SELECT unnest(['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW']) AS p)
 LEFT JOIN (SELECT o_orderpriority AS o FROM orders WHERE o_totalprice > {LARGE} AND o_orderpriority <> '5-LOW') ON o = p GROUP BY p""",

@@ -16,8 +16,9 @@ from tidewindow.operators import evaluate, guards, ledger, routes, validate
 from tidewindow.operators.directory import merge_directory, upsert_rates
 from tidewindow.operators.forecast import at_dates, derive_history, history_lines, masses, observed_months, with_priors
 from tidewindow.operators.windows import overlap_pairs, uncovered
-from tidewindow.plans import ledger_table
+from tidewindow.plans import directory_table, ledger_table
 from tidewindow.plans.tables import CUTOFFS, NOW, order_windows, table
+from tidewindow.plans.versions import changed_keys
 from tidewindow.sources.rates import page_partner, strip_tags
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -312,11 +313,29 @@ def directory_merge(spark, sf_dir):
     return merged.select("bank", "name", "ratio")
 
 
-def rate_upsert(spark, sf_dir):
-    """Larger parts are seen a second time, at another rate: the last one holds."""
+def _seen_rates(spark, sf_dir):
+    """Larger parts are seen a second time, at another rate."""
     first = _brand_directory(spark, sf_dir, 26, 50).select("bank", "name", F.nullif("ratio", F.lit("—")).alias("ratio"), F.lit(0).alias("ord"))
     again = _brand_directory(spark, sf_dir, 41, 50).select("bank", "name", F.lit("10:1").alias("ratio"), F.lit(1).alias("ord"))
-    return upsert_rates(_brand_directory(spark, sf_dir, 1, 30), first.unionByName(again)).select("bank", "name", "ratio", "change")
+    return first.unionByName(again)
+
+
+def rate_upsert(spark, sf_dir):
+    """Of rates seen twice the last one holds."""
+    return upsert_rates(_brand_directory(spark, sf_dir, 1, 30), _seen_rates(spark, sf_dir)).select("bank", "name", "ratio", "change")
+
+
+def directory_versions(spark, sf_dir):
+    """A directory table that was written, into which some brands' scrape was merged and others' rates were upserted, read back; ``changed`` tells the brands whose rows are others than at first."""
+    folder = f"{shared_dir(spark)}/directory-{uuid.uuid4().hex}"
+    kept = directory_table.directory_versions(spark, folder)
+    kept.write(_brand_directory(spark, sf_dir, 1, 30))
+    before = kept.read()[1]
+    directory_table.merge_scraped(_brand_directory(spark, sf_dir, 26, 50).filter("bank < 'Brand#3'"), folder)
+    directory_table.upsert_seen(_seen_rates(spark, sf_dir).filter("bank >= 'Brand#4'"), folder)
+    after = kept.read()[1]
+    changed = changed_keys(after.select("bank", "name", "ratio"), before.select("bank", "name", "ratio"), "bank").withColumn("changed", F.lit(True))
+    return after.join(changed, "bank", "left").select("bank", "name", "ratio", F.coalesce("changed", F.lit(False)).alias("changed"))
 
 
 def _priority_rows(spark, sf_dir):
@@ -374,6 +393,6 @@ QUERIES: dict[str, Query] = {
         next_best_month, recently_ended, typical_range, history_labels, overlaps, uncovered_windows, dedupe_max_pct, alias_resolve, candidate_names, unmapped_names,
         transfer_times, forecast_topk, stale_merge, cutoff_training, climatology, eval_rows, brier_logloss, yearly_scores, thickness_scores, worst_misses, calibration_bins,
         effective_events, bootstrap_delta, route_sizes, parse_dates, parse_end_dates, deadline_days, display_names, norm_text, page_titles, stripped_pages, props_field, ledger_runs, ledger_replay,
-        ledger_step, ledger_changes, directory_merge, rate_upsert, source_counts, source_guard, publish_verdict, constraint_violations,
+        ledger_step, ledger_changes, directory_merge, rate_upsert, directory_versions, source_counts, source_guard, publish_verdict, constraint_violations,
     )
 }
