@@ -175,6 +175,7 @@ SELECT min(n) AS lo, max(n) FILTER (k = c // 2) AS mid, max(n) AS hi FROM r""",
     "page_titles": r"""SELECT page_id, CASE WHEN x <> '' AND lower(x) <> 'esfera' THEN x END AS title FROM (
 SELECT page_id, trim(regexp_replace(replace(regexp_extract(html, '(?i)<title[^>]*>([^<]*)<', 1), '&amp;', '&'), '(?i)\s*[|–—-]\s*Esfera.*$', '')) AS x FROM pages)""",
     "stripped_pages": rf"SELECT page_id, md5(regexp_replace({_STRIP}, '\s+', ' ', 'g')) AS words_md5 FROM pages",
+    "archived_pages": "SELECT url, md5(html) AS html_md5, length(html) AS chars, CAST(NULL AS VARCHAR) AS error FROM pages WHERE starts_with(url, 'https://')",
     "props_field": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events",
     "ledger_runs": f"""WITH {_EVENTS}, o AS (SELECT *, CASE WHEN d - lag(d) OVER w <= 1 THEN 0 ELSE 1 END AS opens FROM seen WINDOW w AS (PARTITION BY id ORDER BY d)),
 r AS (SELECT *, sum(opens) OVER (PARTITION BY id ORDER BY d) AS run FROM o)

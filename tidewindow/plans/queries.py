@@ -20,6 +20,7 @@ from tidewindow.plans import directory_table, ledger_table
 from tidewindow.plans.tables import CUTOFFS, NOW, order_windows, table
 from tidewindow.plans.versions import changed_keys
 from tidewindow.sources.rates import page_partner, strip_tags
+from tidewindow.sources.warc import read_warc, write_warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -275,6 +276,14 @@ def stripped_pages(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.md5(strip_tags(F.col("html"))).alias("words_md5"))
 
 
+def archived_pages(spark, sf_dir):
+    """Pages written as a web archive and read back by the beginning of their addresses, which the reader gets as a filter."""
+    folder = f"{shared_dir(spark)}/archive-{uuid.uuid4().hex}"
+    write_warc(table(spark, sf_dir, "pages"), folder)
+    rows = read_warc(spark, folder).filter(F.col("url").startswith("https://"))
+    return rows.select("url", F.md5("html").alias("html_md5"), F.length("html").cast("long").alias("chars"), "error")
+
+
 def props_field(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("long").alias("k"))
 
@@ -392,7 +401,7 @@ QUERIES: dict[str, Query] = {
         windows_from_orders, month_expand, month_hits, decay_mass, monthly_probability, stretch_rate, calendar_stretch_mass, horizon_wait, bank_leave_one_out, pooled_p2,
         next_best_month, recently_ended, typical_range, history_labels, overlaps, uncovered_windows, dedupe_max_pct, alias_resolve, candidate_names, unmapped_names,
         transfer_times, forecast_topk, stale_merge, cutoff_training, climatology, eval_rows, brier_logloss, yearly_scores, thickness_scores, worst_misses, calibration_bins,
-        effective_events, bootstrap_delta, route_sizes, parse_dates, parse_end_dates, deadline_days, display_names, norm_text, page_titles, stripped_pages, props_field, ledger_runs, ledger_replay,
+        effective_events, bootstrap_delta, route_sizes, parse_dates, parse_end_dates, deadline_days, display_names, norm_text, page_titles, stripped_pages, archived_pages, props_field, ledger_runs, ledger_replay,
         ledger_step, ledger_changes, directory_merge, rate_upsert, directory_versions, source_counts, source_guard, publish_verdict, constraint_violations,
     )
 }

@@ -1,4 +1,4 @@
-"""Pages to read: fetched on the driver, a few a run, or saved before. Jobs get them as rows (page, url, html)."""
+"""Pages to read: fetched on the driver, a few a run, saved before, or captured in a web archive. Jobs get them as rows (page, url, html)."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ from collections.abc import Callable, Iterable, Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewindow.sources.warc import read_warc
+
 PAGE = "page bigint, url string, html string"
 
 
@@ -60,3 +62,12 @@ def saved_pages(spark: SparkSession, folder: str, ids: Iterable[str]) -> dict[st
     wanted = list(ids)
     there = {r["id"] for r in rows.select("id").filter(F.col("id").isin(wanted)).collect()}  # as many as there are sources
     return {i: rows.filter(F.col("id") == i).drop("id") if i in there else None for i in wanted}
+
+
+def captured_pages(spark: SparkSession, folder: str, urls: Mapping[str, str]) -> dict[str, DataFrame | None]:
+    """For each source id the last capture of its page in the web archive of a folder, or None if there is none with a text."""
+    rows = read_warc(spark, folder).filter(F.col("url").isin(*set(urls.values())) & F.col("html").isNotNull())
+    last = rows.groupBy("url").agg(F.max_by("html", F.struct(F.coalesce("date", F.lit("")), "page")).alias("html"))
+    last = last.select(F.lit(0).cast("bigint").alias("page"), "url", "html")
+    there = {r["url"] for r in rows.select("url").distinct().collect()}  # as many as there are sources
+    return {i: last.filter(F.col("url") == url) if url in there else None for i, url in urls.items()}
