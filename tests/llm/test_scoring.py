@@ -250,7 +250,9 @@ def slow_label_model(rows, start, rounds, weighed):
             rest = [[v[j] - r * a[j] - (1 - r) * b[j] for j in range(m)] for r, v in zip(post, rows)]
             cross = lambda i, j: sum(x[i] * x[j] for x in rest)  # noqa: E731,B023
             tied = [[1.0 if i == j else cross(i, j) / np.sqrt(cross(i, i) * cross(j, j)) for j in range(m)] for i in range(m)]
-            w = [1 / sum(t for t in line if t > label_model.TIED) for line in tied]
+            share = lambda i, j: sum(v[i] & v[j] for v in rows) / sum(v[i] | v[j] for v in rows)
+            nested = lambda i, j: all(v[i] <= v[j] for v in rows) or all(v[j] <= v[i] for v in rows)
+            w = [1 / sum(max(tied[i][j] if tied[i][j] > label_model.TIED else 0, share(i, j) if nested(i, j) else 0) for j in range(m)) for i in range(m)]
     return prior, a, b, w
 
 
@@ -259,19 +261,42 @@ def test_label_model_against_loops(spark, monkeypatch):
     y = r.random(250) < 0.3
     vote = lambda hit, false: np.where(y, r.random(250) < hit, r.random(250) < false).astype(int)
     one = vote(0.8, 0.1)
-    rows = np.c_[one, np.where(r.random(250) < 0.95, one, 1 - one), vote(0.8, 0.1), vote(0.75, 0.1), vote(0.8, 0.05), vote(0.5, 0.4)].tolist()
-    start = label_model.LabelModel.from_counts(60.0, 190.0, np.array([40.0, 40, 40, 40, 40, 30]), np.array([30.0, 30, 30, 30, 30, 60]))
-    count = Counter(tuple(j for j in range(6) if v[j]) for v in rows)
+    rows = np.c_[one, np.where(r.random(250) < 0.95, one, 1 - one), vote(0.8, 0.1), vote(0.75, 0.1), vote(0.8, 0.05), vote(0.5, 0.4)]
+    rows = np.c_[rows, rows[:, 2] * (r.random(250) < 0.6)].tolist()  # the last fires where the third does, or not at all
+    start = label_model.LabelModel.from_counts(60.0, 190.0, np.array([40.0, 40, 40, 40, 40, 30, 30]), np.array([30.0, 30, 30, 30, 30, 60, 20]))
+    count = Counter(tuple(j for j in range(7) if v[j]) for v in rows)
     table = spark.createDataFrame([(list(k), n) for k, n in count.items()], "fired array<int>, n bigint").repartition(3)
     monkeypatch.setattr(label_model, "ROUNDS", 9)
     got = label_model.fit_label_model(table, start)
     prior, a, b, w = slow_label_model(rows, start, 9, label_model.WEIGHED)
     assert np.allclose([got.prior, *got.on1, *got.on0, *got.weight], [prior, *a, *b, *w], atol=1e-9)
-    assert max(got.weight[:2]) < 0.9 < min(got.weight[2:])
+    assert max(got.weight[[0, 1, 2, 6]]) < 0.9 < min(got.weight[3:6])
+    agreed = [sum(v[:3]) >= 2 for v in rows]
+    first = label_model.from_agreement(table, 7, 3)
+    assert np.allclose(first.on1, [(sum(v[j] for v, g in zip(rows, agreed) if g) + 0.5) / (sum(agreed) + 1) for j in range(7)])
+    assert np.allclose(first.on0, [(sum(v[j] for v, g in zip(rows, agreed) if not g) + 0.5) / (250 - sum(agreed) + 1) for j in range(7)])
     empty = label_model.fit_label_model(table.filter("false"), start)
     assert empty is start
 
 
+def test_pairs_of_voters(spark):
+    lists = [[0, 2, 3], [], [1], [2, 3], [0, 2, 3]]
+    table = spark.createDataFrame([(x, k + 1) for k, x in enumerate(lists)], "fired array<int>, n bigint").repartition(2)
+    got = {(int(i), int(j)): n for i, j, n in zip(*label_model.together(table, 4))}
+    assert got == sum((Counter({(i, j): k + 1 for i in x for j in x}) for k, x in enumerate(lists)), Counter())
+    assert [len(x) for x in label_model.together(table.filter("false"), 4)] == [0, 0, 0]
+
+
+def test_classifier_against_plain_descent():
+    r = np.random.default_rng(6)
+    x, target = (r.random((2500, 5)) < 0.4).astype(float), r.random(2500)
+    w, step = np.zeros(6), 0.0008
+    full = np.c_[x, np.ones(2500)]
+    for _ in range(6000):
+        w -= step * (full.T @ (1 / (1 + np.exp(-full @ w)) - target) + np.r_[w[:5], 1e-6 * w[5]])
+    assert np.allclose(toxicity.fit_linear(x, target), w, atol=1e-6)
+
+
 def test_label_model_finds_rates_without_labels(spark):
     r = np.random.default_rng(4)
     n = 6000
@@ -281,8 +306,7 @@ def test_label_model_finds_rates_without_labels(spark):
     votes = np.c_[one, one, vote(0.6, 0.1), vote(0.7, 0.05), vote(0.75, 0.1), vote(0.5, 0.5)].astype(int)
     count = Counter(tuple(np.flatnonzero(v).tolist()) for v in votes)
     table = spark.createDataFrame([(list(k), c) for k, c in count.items()], "fired array<int>, n bigint")
-    start = label_model.LabelModel.from_counts(100.0, 100.0, np.full(6, 60.0), np.full(6, 30.0))  # says only which class is which
-    m = label_model.fit_label_model(table, start)
+    m = label_model.fit_label_model(table, label_model.from_agreement(table, 6, 5))
     assert abs(m.on1[0] - 0.8) < 0.06 and abs(m.on0[2] - 0.1) < 0.04 and abs(m.prior - 0.3) < 0.05 and m.weight[0] < 0.7 < m.weight[2]
     assert np.mean((m.posterior(votes) > 0.5) == y) > 0.93
 

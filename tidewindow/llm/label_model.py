@@ -4,12 +4,14 @@ Each row has a hidden class; voter j fires with probability ``on1[j]`` in class
 ``on0[j]`` in class 0. Expectation maximisation over the table of distinct sets of fired
 voters estimates these rates and the share of class 1. Voters that agree beyond what the
 classes explain don't count as independent witnesses: a voter's weight is one over the sum
-of its correlations within the classes above TIED, its own included; voters that exclude
-each other, as those of two languages, keep theirs. Labels play no part
-but that the first rates may come from labelled rows, which says which class is which.
+of its ties, its own included. Two voters are tied by their correlation within the classes
+above TIED, or, where one never fires without the other, by the share of rows that have both
+among those that have either, whichever is more; voters that never fire together, as those
+of two languages, aren't. Labels play no part: the first rates come from rows on which
+several voters agree (:func:`from_agreement`), which says which class is which.
 
-Sums are made in Spark, a row a task and voter; counts of voters that fire together, at
-most voters squared whatever the corpus, and sums per voter come to the driver.
+Sums are made in Spark, a row a task and voter; counts of pairs of voters that do fire
+together and sums per voter come to the driver.
 
 Defined results: an empty table leaves the first rates as they are; rows on which no voter
 fires count like all others.
@@ -17,7 +19,7 @@ fires count like all others.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,6 +32,8 @@ from pyspark.sql import functions as F
 ROUNDS, WEIGHED, TOLERANCE = 40, (2, 8), 1e-4
 #: Correlation within the classes from which voters share their weight.
 TIED = 0.25
+#: Rows whose pairs of voters are counted at once.
+PAIR_ROWS = 500
 
 
 def dense(fired: pa.Array | pa.ChunkedArray, voters: int) -> np.ndarray:
@@ -61,15 +65,14 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(margin, -50, 50)))
 
 
-def expected(patterns: DataFrame, model: LabelModel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected firings of each voter in class 1 and in class 0, and sums of r, 1-r, r², r(1-r) and (1-r)², over the table (fired, n)."""
-    voters = len(model.on1)
+def expected(patterns: DataFrame, voters: int, posterior: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Expected firings of each voter in class 1 and in class 0, and sums of r, 1-r, r², r(1-r) and (1-r)², over the table (fired, n), where r is the ``posterior`` of rows of votes."""
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, zero, whole = np.zeros(voters), np.zeros(voters), np.zeros(5)
         for b in batches:
             v, n = dense(b.column(0), voters), b.column(1).to_numpy().astype(float)
-            r = model.posterior(v)
+            r = posterior(v)
             one += v.T @ (n * r)
             zero += v.T @ (n * (1 - r))
             whole += [(n * x).sum() for x in (r, 1 - r, r * r, r * (1 - r), (1 - r) ** 2)]
@@ -83,40 +86,61 @@ def expected(patterns: DataFrame, model: LabelModel) -> tuple[np.ndarray, np.nda
     return one[:voters], zero[:voters], one[voters:]
 
 
-def together(patterns: DataFrame, voters: int) -> np.ndarray:
-    """Rows on which voters i and j both fire."""
+def from_agreement(patterns: DataFrame, voters: int, witnesses: int, least: int = 2) -> LabelModel:
+    """Rates to start from, without labels: class 1 are rows on which at least ``least`` of the first ``witnesses`` voters fire."""
+    one, zero, whole = expected(patterns, voters, lambda v: (v[:, :witnesses].sum(1) >= least).astype(float))
+    return LabelModel.from_counts(whole[0], whole[1], one, zero)
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = np.zeros((voters, voters))
-        for b in batches:
-            v = dense(b.column(0), voters)
-            c += (v * b.column(1).to_numpy()[:, None]).T @ v
-        i, j = np.nonzero(c)
-        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(c[i, j])], ["i", "j", "n"])
-
-    got = patterns.select("fired", "n").mapInArrow(pairs, "i bigint, j bigint, n double").groupBy("i", "j").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros((voters, voters))
-    out[got["i"].to_numpy(), got["j"].to_numpy()] = got["n"].to_numpy()
-    return out
+
+def _pairs(fired: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For lists of fired voters: every ordered pair within a list, a voter with itself too, and the list's place."""
+    flat, size = pc.list_flatten(fired).to_numpy(zero_copy_only=False).astype(np.int64), pc.list_value_length(fired).to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.arange(len(size)), size * size)
+    inside = np.arange(len(row)) - np.repeat(np.cumsum(size * size) - size * size, size * size)
+    first = (np.cumsum(size) - size)[row]
+    return flat[first + inside // size[row]], flat[first + inside % size[row]], row
 
 
-def shared_weights(model: LabelModel, one: np.ndarray, zero: np.ndarray, whole: np.ndarray, both: np.ndarray) -> np.ndarray:
-    """Weights from the correlations of votes once each row's expected vote is taken off."""
-    mean = np.outer(one, model.on1) + np.outer(zero, model.on0)
-    a, b = model.on1, model.on0
-    expected_ = whole[2] * np.outer(a, a) + whole[3] * (np.outer(a, b) + np.outer(b, a)) + whole[4] * np.outer(b, b)
-    rest = both - mean - mean.T + expected_
-    size = np.sqrt(np.maximum(np.diag(rest), 0)) + 1e-9
-    tied = rest / np.outer(size, size)
-    np.fill_diagonal(tied, 1)
-    return 1 / np.where(tied > TIED, np.minimum(tied, 1), 0).sum(1)
+def together(patterns: DataFrame, voters: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """i, j, n: rows on which voters i and j both fire, of pairs that do on any row."""
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts = np.zeros(0, np.int64), np.zeros(0)
+        for b in batches:
+            for at in range(0, b.num_rows, PAIR_ROWS):
+                part = b.slice(at, PAIR_ROWS)
+                i, j, row = _pairs(part.column(0))
+                keys, where = np.unique(np.r_[keys, i * voters + j], return_inverse=True)
+                counts = np.bincount(where, np.r_[counts, part.column(1).to_numpy()[row]], len(keys))
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["key", "n"])
+
+    got = patterns.select("fired", "n").mapInArrow(pairs, "key bigint, n double").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    key = got["key"].to_numpy()
+    return key // voters, key % voters, got["n"].to_numpy()
+
+
+def shared_weights(model: LabelModel, one: np.ndarray, zero: np.ndarray, whole: np.ndarray, both: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """Weights from the correlations of votes once each row's expected vote is taken off, and from nesting."""
+    (i, j, n), a, b = both, model.on1, model.on0
+    rest = lambda i, j, n: (
+        n - one[i] * a[j] - zero[i] * b[j] - one[j] * a[i] - zero[j] * b[i] + whole[2] * a[i] * a[j] + whole[3] * (a[i] * b[j] + b[i] * a[j]) + whole[4] * b[i] * b[j]
+    )
+    fires, every = np.zeros(len(a)), np.arange(len(a))
+    fires[i[i == j]] = n[i == j]
+    size = np.sqrt(np.maximum(rest(every, every, fires), 0)) + 1e-9
+    other = i != j
+    i, j, n = i[other], j[other], n[other]
+    tied = rest(i, j, n) / (size[i] * size[j])
+    tied = np.where(tied > TIED, np.minimum(tied, 1), 0)
+    nested = np.where(n >= np.minimum(fires[i], fires[j]), n / (fires[i] + fires[j] - n), 0)
+    return 1 / (1 + np.bincount(i, np.maximum(tied, nested), len(a)))
 
 
 def fit_label_model(patterns: DataFrame, start: LabelModel) -> LabelModel:
     """The model of the table (fired, n) that expectation maximisation reaches from ``start``."""
     both, model = together(patterns, len(start.on1)), start
     for k in range(ROUNDS):
-        one, zero, whole = expected(patterns, model)
+        one, zero, whole = expected(patterns, len(start.on1), model.posterior)
         if not whole[:2].sum():
             return start
         after = LabelModel.from_counts(whole[0], whole[1], one, zero, model.weight)

@@ -5,11 +5,12 @@ training rows, a fixed lexicon of common insults, and patterns: two or three dif
 words of the lexicon, their share of a text's words, runs of exclamation marks, words in
 capitals, and runs of symbols. A generative label model (:mod:`tidewindow.llm.label_model`)
 estimates from the votes on all texts, without labels, how often each voter fires in either
-class, and lets voters that repeat each other share their weight. Its posterior labels of
-the sample train a linear classifier over the same voters, which scores any text.
+class, and lets voters that repeat or contain each other share their weight. It starts from
+texts on which two terms agree. Its posterior labels of the sample train a linear classifier
+over the same voters, which scores any text.
 
-Given labels choose the lexicon and the rates that the label model starts from, so that
-class 1 is the toxic one; neither its posterior nor the classifier sees them. At most
+Given labels choose the lexicon and nothing else: neither the label model's rates, nor its
+posterior, nor the classifier sees them. At most
 TRAIN_ROWS labelled rows outside the held-out fold are used, near copies among them as one
 (:mod:`tidewindow.llm.near_dup`), as else the words of any text with many copies would tell
 its label; the lexicon has every term whose association with the label is significant.
@@ -34,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewindow.llm.common import released, small_batches, text_or_empty, written
-from tidewindow.llm.label_model import LabelModel, dense, fit_label_model
+from tidewindow.llm.label_model import dense, fit_label_model, from_agreement
 from tidewindow.llm.labelled import held_out, training_rows
 from tidewindow.llm.near_dup import near_duplicates
 
@@ -179,7 +180,7 @@ class ToxicityModel:
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", *, text: str = "text", key: str = "doc_id", most: int = TRAIN_ROWS) -> ToxicityModel:
-    """Learns from the votes on all texts, and from at most ``most`` labelled rows which votes those are; the sample's votes (some MB) come to the driver."""
+    """Learns from the votes on all texts, and from at most ``most`` labelled rows which votes those are; the votes on the sample (some MB) come to the driver."""
     small_batches(docs.sparkSession)
     sample = written(training_rows(docs, labels, label, text=text, key=key, most=most).withColumn("row", F.monotonically_increasing_id()), "labelled")
     once = near_duplicates(sample, text="t", key="row").filter("kept").select("row")
@@ -190,10 +191,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", *, te
     voters = Voters(terms)
     patterns = votes(docs.select(text_or_empty(text).alias("t")), voters).groupBy("fired").agg(F.count("*").alias("n"))
     patterns = written(patterns, "votes")
-    got = votes(sample, voters, "y").toArrow()
-    x, y = dense(got["fired"], voters.size), got["y"].to_numpy().astype(float)
-    start = LabelModel.from_counts(y.sum(), (1 - y).sum(), y @ x, (1 - y) @ x)
-    w = fit_linear(x, fit_label_model(patterns, start).posterior(x))
+    model = fit_label_model(patterns, from_agreement(patterns, voters.size, len(terms) + 1))
+    x = dense(votes(sample, voters).toArrow()["fired"], voters.size)
+    w = fit_linear(x, model.posterior(x))
     return ToxicityModel(terms, w[:-1], float(w[-1]))
 
 
