@@ -4,11 +4,11 @@ Each row has a hidden class; voter j fires with probability ``on1[j]`` in class
 ``on0[j]`` in class 0. Expectation maximisation over the table of distinct sets of fired
 voters estimates these rates and the share of class 1. Voters that agree beyond what the
 classes explain don't count as independent witnesses: a voter's weight is one over the sum
-of its ties, its own included. Two voters are tied by their correlation within the classes
-above TIED, or, where one never fires without the other, by the share of rows that have both
-among those that have either, whichever is more; voters that never fire together, as those
-of two languages, aren't. Labels play no part: the first rates come from rows on which
-several voters agree (:func:`from_agreement`), which says which class is which.
+of its correlations within the classes above TIED, its own included; voters that never fire
+together, as those of two languages, aren't tied. A voter that fires only where another does
+is tied by that correlation alone: it says more than the other. Labels play no part: the
+first rates come from rows on which several voters agree (:func:`from_agreement`), which
+says which class is which.
 
 Sums are made in Spark, a row a task and voter; counts of pairs of voters that do fire
 together and sums per voter come to the driver.
@@ -120,7 +120,7 @@ def together(patterns: DataFrame, voters: int) -> tuple[np.ndarray, np.ndarray,
 
 
 def shared_weights(model: LabelModel, one: np.ndarray, zero: np.ndarray, whole: np.ndarray, both: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
-    """Weights from the correlations of votes once each row's expected vote is taken off, and from nesting."""
+    """Weights from the correlations of votes once each row's expected vote is taken off."""
     (i, j, n), a, b = both, model.on1, model.on0
     rest = lambda i, j, n: (
         n - one[i] * a[j] - zero[i] * b[j] - one[j] * a[i] - zero[j] * b[i] + whole[2] * a[i] * a[j] + whole[3] * (a[i] * b[j] + b[i] * a[j]) + whole[4] * b[i] * b[j]
@@ -131,9 +131,7 @@ def shared_weights(model: LabelModel, one: np.ndarray, zero: np.ndarray, whole:
     other = i != j
     i, j, n = i[other], j[other], n[other]
     tied = rest(i, j, n) / (size[i] * size[j])
-    tied = np.where(tied > TIED, np.minimum(tied, 1), 0)
-    nested = np.where(n >= np.minimum(fires[i], fires[j]), n / (fires[i] + fires[j] - n), 0)
-    return 1 / (1 + np.bincount(i, np.maximum(tied, nested), len(a)))
+    return 1 / (1 + np.bincount(i, np.where(tied > TIED, np.minimum(tied, 1), 0), len(a)))
 
 
 def fit_label_model(patterns: DataFrame, start: LabelModel) -> LabelModel:

@@ -5,7 +5,7 @@ training rows, a fixed lexicon of common insults, and patterns: two or three dif
 words of the lexicon, their share of a text's words, runs of exclamation marks, words in
 capitals, and runs of symbols. A generative label model (:mod:`tidewindow.llm.label_model`)
 estimates from the votes on all texts, without labels, how often each voter fires in either
-class, and lets voters that repeat or contain each other share their weight. It starts from
+class, and lets voters that repeat each other share their weight. It starts from
 texts on which two terms agree. Its posterior labels of the sample train a linear classifier
 over the same voters, which scores any text.
 
