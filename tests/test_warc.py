@@ -5,9 +5,10 @@ import os
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import EqualTo, GreaterThan, StringStartsWith
 
 from tidewindow.sources.pages import captured_pages
-from tidewindow.sources.warc import read_warc, write_warc
+from tidewindow.sources.warc import WarcReader, read_warc, write_warc
 
 ODD = [("u1", "<p>é</p>\r\n\r\nWARC/1.0\r\n"), ("u2", ""), ("u3", None), (None, "no address"), ("u\r\nWARC-Type: x", "x"), ("u1", "again"), ("long", "ab\n" * 400_000)]
 
@@ -73,3 +74,12 @@ def test_last_capture_of_each_source(spark, tmp_path):
     write_warc(spark.createDataFrame(pages, "url string, date string, html string"), str(tmp_path / "a"))
     got = captured_pages(spark, str(tmp_path / "a"), {"a": "u1", "b": "u2", "c": "u3", "d": "u4"})
     assert [got[k].first()["html"] for k in "ab"] == ["new", "one"] and got["c"] is None and got["d"] is None and got["a"].columns == ["page", "url", "html"]
+
+
+def test_filters_on_addresses_reach_the_reader(tmp_path):
+    reader = WarcReader({"path": str(tmp_path)})
+    given = [StringStartsWith(("url",), "https://"), EqualTo(("url",), "https://a"), GreaterThan(("page",), 1)]
+    assert list(reader.pushFilters(given)) == given  # Spark applies them again
+    head = lambda url, kind="resource": {"warc-type": kind} | ({"warc-target-uri": url} if url else {})
+    assert [reader._wanted(head(u)) for u in ("https://a", "https://b", "http://a", None)] == [True, False, False, False]
+    assert not reader._wanted(head("https://a", "request"))
