@@ -1,5 +1,5 @@
 import json
-from datetime import date, datetime, timezone
+from datetime import date, datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -153,6 +153,31 @@ def test_replay(spark):
     assert runs == {("a", 1, 8), ("a", 16, 19), ("b", 3, 4)}
 
 
+def sequential(days, gap):
+    """Entries of one route from its days (day, pct, endDate), each step as the ledger's."""
+    entries = []
+    for day, pct, end in sorted(days):
+        e = next((e for e in entries if (day - e[1]).days <= gap and not (e[3] and e[3] < day)), None)
+        if e is None:
+            entries.append([day, day, pct, end])
+        else:
+            e[1], e[2], e[3] = day, max(e[2], pct), end or e[3]
+    return entries
+
+
+@pytest.mark.parametrize("gap", [1, 3])
+def test_replay_is_that_of_single_days_without_python_workers(spark, gap):
+    import random
+
+    draw = random.Random(5)
+    d = lambda n: date(2026, 1, 1) + timedelta(days=n)
+    routes = {f"r{k}": [(d(n), float(draw.randrange(9)), d(n + draw.randrange(-2, 5)) if draw.random() < 0.4 else None) for n in range(40) if draw.random() < 0.6] for k in range(60)}
+    rows = L.replay(spark.createDataFrame([(i, *x) for i, days in routes.items() for x in days], "id string, day date, pct double, endDate date"), gap=gap)
+    assert sorted(map(str, (tuple(r) for r in rows.collect()))) == sorted(str((i, *e)) for i, days in routes.items() for e in sequential(days, gap))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Pandas" not in plan and "Arrow" not in plan
+
+
 def test_best_bonus_and_unmapped(spark):
     raw = [("Amex", "Avianca", 20.0, "07/30/26", "u1"), ("Amex", "LifeMiles", 25.0, "", "u2"), ("Amex", "Avianca", 25.0, "07/31/26", "u3"), ("PAYBACK", "Foo", 1.0, "", "u4"), ("Amex", "Foo", 1.0, "", "u5")]
     df = R.resolve_bonuses(spark.createDataFrame([(k, *r) for k, r in enumerate(raw)], "ord bigint, bankName string, partnerName string, pct double, endDateRaw string, sourceUrl string"))

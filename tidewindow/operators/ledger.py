@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from datetime import date
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,36 +68,25 @@ def without_repeats(ledger: DataFrame) -> DataFrame:
     return ledger.withColumn("rn", F.row_number().over(order)).filter("rn = 1").drop("rn")
 
 
-def fold(rows: pd.DataFrame, gap: int = GAP) -> list[dict]:
-    """Entries of one route from its sightings (day, pct, endDate), days ascending."""
-    entries: list[dict] = []
-    for day, pct, end in zip(rows["day"], rows["pct"], rows["endDate"], strict=True):
-        end = None if pd.isna(end) else end
-        e = next((e for e in entries if (day - e["lastSeen"]).days <= gap and not (e["endDate"] is not None and e["endDate"] < day)), None)
-        if e is None:
-            entries.append({"firstSeen": day, "lastSeen": day, "pct": pct, "endDate": end})
-        else:
-            e["lastSeen"], e["pct"] = max(e["lastSeen"], day), max(e["pct"], pct)
-            e["endDate"] = end if end is not None else e["endDate"]
-    return entries
-
-
 def replay(sightings: DataFrame, *, gap: int = GAP) -> DataFrame:
     """The ledger after many days of sightings (id, day, pct, endDate): ``id, firstSeen, lastSeen, pct, endDate``.
 
-    Sightings are reduced to one a route and day first. Without end dates an entry is a run
-    of days with gaps of at most ``gap``, found with window functions; a published end date
-    that passes splits a run, which makes the step a true fold, done per route. A route has
-    a row a day, so a group is as long as the calendar at most.
+    Sightings are reduced to one a route and day first. Days ascend, so only a route's last
+    entry can go on, and window functions tell where one ends: first by a gap of more than
+    ``gap`` days, which makes runs, then by the end date published last in its run. Such a
+    date ends one entry, on the first day after it; an entry opened since has none before
+    it publishes its own.
     """
     daily = sightings.groupBy("id", "day").agg(F.max("pct").alias("pct"), F.max_by("endDate", F.struct("pct", "endDate")).alias("endDate"))
-
-    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame(fold(rows.sort_values("day"), gap), columns=["firstSeen", "lastSeen", "pct", "endDate"])
-        out.insert(0, "id", key[0])
-        return out
-
-    return daily.groupBy("id").applyInPandas(one, "id string, firstSeen date, lastSeen date, pct double, endDate date")
+    order = Window.partitionBy("id").orderBy("day")
+    runs = daily.withColumn("run", F.sum(F.when(F.datediff("day", F.lag("day").over(order)) <= gap, 0).otherwise(1)).over(order))
+    inside = Window.partitionBy("id", "run").orderBy("day")
+    published = F.last("endDate", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    runs = runs.withColumns({"published": published, "day_before": F.lag("day").over(inside), "end_before": F.lag("endDate").over(inside)})
+    passed = (F.col("published") < F.col("day")) & (F.col("end_before").isNotNull() | (F.col("day_before") <= F.col("published")))
+    entries = runs.withColumn("entry", F.sum(F.when(passed, 1).otherwise(0)).over(inside)).groupBy("id", "run", "entry")
+    last_end = F.max_by("endDate", F.when(F.col("endDate").isNotNull(), F.col("day")))
+    return entries.agg(F.min("day").alias("firstSeen"), F.max("day").alias("lastSeen"), F.max("pct").alias("pct"), last_end.alias("endDate")).drop("run", "entry")
 
 
 def runs_of_days(sightings: DataFrame, *, gap: int = GAP) -> DataFrame:
