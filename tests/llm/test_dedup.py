@@ -138,6 +138,17 @@ def test_near_hot_group(spark, monkeypatch):
     assert got == want and 20 < len(set(want.values())) < 200
 
 
+def test_near_reads_whole_texts_once(spark, monkeypatch):
+    """A first and a later round share one join with the texts."""
+    calls, texts_of = [], near_dup._texts_of
+    monkeypatch.setattr(near_dup, "_texts_of", lambda *some: calls.append(1) or texts_of(*some))
+    r = random.Random(5)
+    base = [f"w{r.randrange(400)}" for _ in range(140)]
+    rows = [(k, " ".join(w if r.random() > 0.03 else f"v{r.randrange(30)}" for w in base)) for k in range(60)]
+    got = {x["doc_id"]: x["component_id"] for x in near_duplicates(frame(spark, rows)).collect()}
+    assert got == brute(rows) and len(calls) == 1
+
+
 def test_chunk_of_leaders_reports_joins_only():
     """A chunk against a loop over all pairs: the same components from no more links than joins."""
     texts = [" ".join(f"w{i + j}" for j in range(100)) for i in range(0, 60, 3)]

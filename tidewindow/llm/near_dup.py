@@ -255,13 +255,20 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _texts_of(texts: DataFrame, nodes: DataFrame, once: bool) -> DataFrame:
-    """The rows of ``nodes`` (node, id, th and more) with the text ``t`` of each; an id and a hash tell which where rows repeat an id. ``once``: no id repeats."""
-    nodes = written(nodes, "nodes")  # a small table is joined without a shuffle of the texts
-    found = texts.join(nodes, ["id", "th"]).drop("id", "th")
+    """The rows of ``nodes`` (node, id, th and more) with the text ``t`` of each; an id and a hash tell which where rows repeat an id. ``once``: no id repeats.
+
+    The only shuffle of whole texts, and one at any size, so that what it moves follows the input.
+    """
+    found = texts.join(nodes.hint("merge"), ["id", "th"]).drop("id", "th")
     return written(found if once else found.dropDuplicates(["node"]), "texts")
 
 
-def _first_round(multi: DataFrame, reps: DataFrame, texts: DataFrame, once: bool) -> DataFrame:
+def _some_of(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of those nodes, as a table of their own."""
+    return written(rows.join(written(nodes, "nodes"), "node", "left_semi"), "texts")
+
+
+def _first_round(multi: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
     """Links of classes with the leader of a bucket they are in."""
     sig = reps.select("node", "n", *_SIG)
     pairs = multi.filter("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
@@ -271,7 +278,7 @@ def _first_round(multi: DataFrame, reps: DataFrame, texts: DataFrame, once: bool
     pairs = pairs.filter(100 * F.least("na", "nb") >= 75 * F.greatest("na", "nb")).filter(estimate(differ) >= CUT)
     pairs = written(pairs.select("a", "b"), "pairs")
     need = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    some = _texts_of(texts, reps.select("node", "id", "th").join(need, "node", "left_semi"), once)
+    some = _some_of(texts.select("node", "t"), need)
     for side in "ab":
         pairs = pairs.join(some.select(F.col("node").alias(side), F.col("t").alias(f"t{side}")), side)
     return pairs.select("a", "b", "ta", "tb").mapInArrow(lambda b: released(_confirm(b)), "a bigint, b bigint")
@@ -291,7 +298,7 @@ def _open(rows: DataFrame, leaders: int, turn: int) -> DataFrame:
     return rows.join(open_, "bk").select("bk", "node", "c", "n", "chunks", ((F.col("c") != F.col("top")) & (drawn < F.col("share"))).alias("leads"))
 
 
-def _later_rounds(multi: DataFrame, reps: DataFrame, texts: DataFrame, found: DataFrame, once: bool) -> DataFrame:
+def _later_rounds(multi: DataFrame, reps: DataFrame, texts: DataFrame, found: DataFrame) -> DataFrame:
     """``found`` (node, root) with the components joined that still meet in a bucket and are linked."""
     rows = multi.filter("node <> lead").select("bk", "node").join(found, "node", "left").select("bk", "node", F.coalesce("root", "node").alias("c"))
     rows = rows.join(reps.select("node", "n"), "node")
@@ -300,9 +307,8 @@ def _later_rounds(multi: DataFrame, reps: DataFrame, texts: DataFrame, found: Da
         rows = written(_open(rows, leaders, turn), "open")
         if rows.isEmpty():
             return found
-        nodes = rows.select("node").distinct()
         if some is None:
-            some = _texts_of(texts, reps.select("node", "id", "th", *_SIG).join(nodes, "node", "left_semi"), once)
+            some = _some_of(texts, rows.select("node").distinct())
         chunk = F.pmod(F.xxhash64("node", F.lit(3)), F.col("chunks"))
         told = rows.select("bk", F.explode(F.when(F.col("leads"), F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1))).alias("chunk"), F.lit(True).alias("leads"), "node", "c", "n")
         told = told.unionByName(rows.select("bk", chunk.alias("chunk"), F.lit(False).alias("leads"), "node", "c", "n"))
@@ -339,9 +345,10 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id")
     multi = written(rows.join(buckets.select("bk", "lead"), "bk"), "buckets")
     repeated = written(linkable.groupBy("id").agg(F.count("*").alias("m")).filter("m > 1").select("id"), "repeated")
     once = repeated.isEmpty()
-    edges = _first_round(multi, reps, texts, once)
+    held = _texts_of(texts, reps.select("node", "id", "th", *_SIG).join(multi.select("node").distinct(), "node", "left_semi"), once)
+    edges = _first_round(multi, reps, held)
     found = components(edges if once else edges.unionByName(_of_one_id(linkable, reps, repeated)))
-    found = _later_rounds(multi, reps, texts, found, once)
+    found = _later_rounds(multi, reps, held, found)
     members = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
     lowest = members.join(reps.select("node", "least"), "node").groupBy("root").agg(F.min("least").alias("lowest"))
     of_class = reps.select("f0", "f1", "n", "least", "node").join(members.join(lowest, "root").select("node", "lowest"), "node", "left")
