@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from tidewindow.llm import token_output
 from tidewindow.llm.bpe_automaton import WordBpe, bpe_encode, bpe_round_trip
 from tidewindow.llm.common import tokenizer_json
 from tidewindow.llm.token_counts import RankMerger, token_counts
@@ -39,6 +40,17 @@ def test_counts_and_chunks():
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == want
 
 
+def test_chunks_that_came_again_outlive_a_full_memo(monkeypatch):
+    """A cut of the memo had left the last texts' chunks alone, so that frequent ones were encoded anew."""
+    monkeypatch.setattr(token_output, "MEMO", 60)
+    lib, texts = library("byte_bpe_50k.json"), ["often seen. ", " often seen. ", *(f" w{k}x v{k}y u{k}z" for k in range(80))]
+    coder = ChunkEncoder(tokenizer_json("byte_bpe_50k.json"))
+    got = [coder.encode([t])[0] for t in [*texts[:3], texts[1], *texts[3:24]]]
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [lib.encode(t, add_special_tokens=False).ids for t in [*texts[:3], texts[1], *texts[3:24]]]
+    assert len(coder.memo) <= 60 and " often" in coder.memo and " w0x" not in coder.memo
+    assert [np.frombuffer(g, "<u4").tolist() for g in coder.encode(texts)] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_automaton():
     lib, texts = library("word_bpe_49k.json"), ODD + noise()
     bpe = WordBpe(tokenizer_json("word_bpe_49k.json"))

@@ -46,7 +46,7 @@ BLANK = r"\t-\r \x85\xa0  -     　"
 LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 #: A text falls into these chunks, and the tokenizer never merges over their bounds.
 CHUNKS = rf" ?[{LETTERS}]+(?=[ .,\n])| ?[^{BLANK}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+"
-#: Chunks whose ids a Python worker remembers at most; then only those of its last batch stay.
+#: Chunks whose ids a Python worker remembers at most; then only those stay that came again, where they are three quarters as many at most, else those of its last batch.
 MEMO = 700_000
 NO_ID = -(1 << 63)
 #: Bytes of ids and documents at which a file ends, bytes of text of a partition, and wanted documents of a reading task, on average.
@@ -72,6 +72,7 @@ class ChunkEncoder:
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.chunks = re.compile(CHUNKS).findall
         self.memo: dict[str, bytes] = {}
+        self.again: set[str] = set()  # chunks found in the memo since it was last cut
         self.length = np.zeros(self.library.get_vocab_size(), np.int64)  # of a token, in bytes
         for token, i in self.library.get_vocab().items():
             self.length[i] = len(token)
@@ -79,17 +80,19 @@ class ChunkEncoder:
 
     def _learn(self, chunks: list[str]) -> None:
         """Chunks that begin with a space, joined, are a text that falls into them again; token lengths tell the bounds."""
-        joined = [w for w in chunks if self.spaced(w)]
+        joined, other = [], []
+        for w in chunks:
+            (joined if self.spaced(w) else other).append(w)
         for at in range(0, len(joined), 20_000):
             some = joined[at : at + 20_000]
-            ids = np.array(self.library.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.cumsum(np.fromiter((len(w.encode()) for w in some), np.int64, len(some)))
+            text = "".join(some)
+            ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.cumsum(np.fromiter(map(len, some if text.isascii() else map(str.encode, some)), np.int64, len(some)))
             at_token = np.cumsum(self.length[ids])
             bounds = np.searchsorted(at_token, ends)
             if not np.array_equal(at_token[bounds], ends):
                 raise ValueError("tokens cross the bounds of chunks")
             self._keep(some, ids.tobytes(), np.r_[0, bounds + 1])
-        other = [w for w in chunks if not self.spaced(w)]
         for at in range(0, len(other), 20_000):
             some = other[at : at + 20_000]
             got = self.library.encode(some, is_pretokenized=True, add_special_tokens=False)
@@ -103,11 +106,15 @@ class ChunkEncoder:
         whole = [any(s in t for s in self.specials) for t in texts]
         parts = [[] if w else self.chunks(t) for t, w in zip(texts, whole, strict=True)]
         memo = self.memo
-        words = {w for p in parts for w in p}
-        new = [w for w in words if w not in memo]
+        words = set().union(*parts)
+        new = words.difference(memo)
+        again = words - new
         if len(memo) + len(new) > MEMO:
-            memo = self.memo = {w: memo[w] for w in words if w in memo}
-        self._learn(new)
+            kept = self.again | again
+            memo = self.memo = {w: memo[w] for w in (kept if len(kept) + len(new) <= 3 * MEMO // 4 else again)}
+            self.again = set()
+        self.again |= again
+        self._learn(list(new))
         return [
             np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if w else b"".join(map(memo.__getitem__, p))
             for t, w, p in zip(texts, whole, parts, strict=True)
