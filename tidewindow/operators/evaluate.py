@@ -112,7 +112,8 @@ def bootstrap_delta(rows: DataFrame, *, by: str = "cut", key: str = "ship", ref:
     """One row ``delta, lo, hi, pNeg, clusters``: the gain in Brier score over ``ref`` and its 95 % interval when whole clusters are drawn.
 
     Draw i of the generator is a function of i, so all draws are columns of one range; each
-    is joined to its cluster's sums, and replicates are sums of those.
+    is joined to its cluster's sums, and replicates are sums of those. Without rows there are
+    no clusters and no draws: ``pNeg`` is not a number, ``delta``, ``lo`` and ``hi`` are null.
     """
     spark = rows.sparkSession
     g = clusters(rows, by, key=key, ref=ref)
@@ -121,7 +122,8 @@ def bootstrap_delta(rows: DataFrame, *, by: str = "cut", key: str = "ship", ref:
     drawn = slots.select("rep", F.floor(uniform_draw(seed, F.col("rep") * F.col("G") + F.col("j") + 1) * F.col("G")).cast("int").alias("g"))
     draws = drawn.join(g, "g").groupBy("rep").agg((F.sum("e_ref") / F.sum("n") - F.sum("e_key") / F.sum("n")).alias("d"))
     low, high = int(reps * 0.025), int(reps * 0.975)
-    ordered = draws.agg(F.sort_array(F.collect_list("d")).alias("d"), (F.sum((F.col("d") <= 0).cast("int")) / F.count("*")).alias("pNeg"))  # as long as `reps`
+    below = F.when(F.count("*") > 0, F.sum((F.col("d") <= 0).cast("int")) / F.count("*")).otherwise(float("nan"))
+    ordered = draws.agg(F.sort_array(F.collect_list("d")).alias("d"), below.alias("pNeg"))  # as long as `reps`
     return ordered.join(F.broadcast(size)).select("delta", F.get("d", F.lit(low)).alias("lo"), F.get("d", F.lit(high)).alias("hi"), "pNeg", F.col("G").cast("int").alias("clusters"))
 
 
