@@ -51,6 +51,38 @@ def test_chunks_that_came_again_outlive_a_full_memo(monkeypatch):
     assert [np.frombuffer(g, "<u4").tolist() for g in coder.encode(texts)] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_new_words_are_merged_by_the_model_alone():
+    """The library's splitter sees only chunks that are no single word."""
+    coder, lib, seen = ChunkEncoder(tokenizer_json("byte_bpe_50k.json")), library("byte_bpe_50k.json"), []
+
+    class Noted:
+        def encode_batch_fast(self, texts, **how):
+            seen.extend(texts)
+            return lib.encode_batch_fast(texts, **how)
+
+        def encode(self, text, **how):
+            seen.append(text)
+            return lib.encode(text, **how)
+
+    coder.library = Noted()
+    texts = ["Größe éxitoso words here. \nNext's a3 (line)\n\n", "words here, once more"]
+    for _ in range(2):  # new, then from the memo
+        assert [np.frombuffer(g, "<u4").tolist() for g in coder.encode(texts)] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+    assert "a3" in "".join(seen) and not [w for w in ("Größe", "éxitoso", "words", "here", "more") if w in "".join(seen)]
+    assert len("".join(seen)) < 60, "chunks of the second time are not encoded"
+
+
+def test_texts_of_a_full_memo_are_whole(monkeypatch):
+    """New chunks get their ids after their text was put together, also where the memo is cut between."""
+    monkeypatch.setattr(token_output, "MEMO", 25)
+    lib, texts = library("byte_bpe_50k.json"), [*ODD, *noise(120)]
+    coder, r = ChunkEncoder(tokenizer_json("byte_bpe_50k.json")), random.Random(3)
+    for _ in range(60):
+        some = r.sample(texts, r.randint(1, 3))
+        assert [np.frombuffer(g, "<u4").tolist() for g in coder.encode(some)] == [e.ids for e in lib.encode_batch(some, add_special_tokens=False)]
+        assert not coder.again.holes and not coder.memo.keys() & coder.again.keys()
+
+
 def test_automaton():
     lib, texts = library("word_bpe_49k.json"), ODD + noise()
     bpe = WordBpe(tokenizer_json("word_bpe_49k.json"))

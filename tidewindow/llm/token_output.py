@@ -21,6 +21,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import codecs
 import re
 import struct
 import uuid
@@ -36,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewindow.llm.common import shared_dir, small_batches, text_or_empty, written
+from tidewindow.llm.common import byte_alphabet, shared_dir, small_batches, text_or_empty, written
 
 #: Fixed values of the seekable zstandard format.
 SEEK_MAGIC, SKIPPABLE, IDS_MAGIC = 0x8F92EAB1, 0x184D2A5E, 0x184D2A50
@@ -45,7 +46,7 @@ BLANK = r"\t-\r \x85\xa0  -     　"
 #: Letters after which a space, stop or comma surely ends what the tokenizer merges.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 #: A text falls into these chunks, and the tokenizer never merges over their bounds.
-CHUNKS = rf" ?[{LETTERS}]+(?=[ .,\n])| ?[^{BLANK}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+"
+CHUNKS = rf" ?[{LETTERS}]++(?=[ .,\n])| ?[^{BLANK}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+"
 #: Chunks whose ids a Python worker remembers at most; then only those stay that came again, where they are three quarters as many at most, else those of its last batch.
 MEMO = 700_000
 NO_ID = -(1 << 63)
@@ -57,6 +58,22 @@ _FILES = pa.schema([("file_no", pa.int64()), ("file", pa.string()), ("first_id",
 _FILES_SQL = "file_no bigint, file string, first_id bigint, last_id bigint, documents bigint, tokens bigint"
 
 
+class CameAgain(dict):
+    """Ids of chunks that were in the memo and came again, and have left it. A chunk that is new gets a hole for its ids."""
+
+    def __init__(self, memo: dict[str, bytes]):
+        super().__init__()
+        self.memo = memo
+        self.holes: dict[str, bytearray] = {}
+
+    def __missing__(self, chunk: str) -> bytes | bytearray:
+        ids = self.memo.pop(chunk, None)
+        if ids is None:
+            return self.holes.setdefault(chunk, bytearray())
+        self[chunk] = ids
+        return ids
+
+
 class ChunkEncoder:
     """Ids of whole texts: the tokenizers library encodes each new chunk once.
 
@@ -64,61 +81,76 @@ class ChunkEncoder:
     """
 
     def __init__(self, tokenizer: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_str(tokenizer)
         self.library.no_padding()
         self.library.no_truncation()
+        self.merger = Tokenizer(self.library.model)  # of words in the alphabet of the vocabulary, a line each
+        self.merger.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
+        letters = byte_alphabet()
+        letters[0x0A] = "\n"
+        self.alphabet = "".join(letters)
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.chunks = re.compile(CHUNKS).findall
         self.memo: dict[str, bytes] = {}
-        self.again: set[str] = set()  # chunks found in the memo since it was last cut
+        self.again = CameAgain(self.memo)
         self.length = np.zeros(self.library.get_vocab_size(), np.int64)  # of a token, in bytes
         for token, i in self.library.get_vocab().items():
             self.length[i] = len(token)
+        self.word = re.compile(f" ?[{LETTERS}]+").fullmatch
         self.spaced = re.compile(f" [^{BLANK}]").match
+        self.blank = re.compile(f"[{BLANK}]").match
 
     def _learn(self, chunks: list[str]) -> None:
-        """Chunks that begin with a space, joined, are a text that falls into them again; token lengths tell the bounds."""
-        joined, other = [], []
+        """Puts chunks into the memo. A word is one pre-token, so the model alone merges it. Of the others, those
+        that begin with a space, joined, are a text that falls into them again, as do those
+        without blanks, a line each; token lengths tell the bounds.
+        """
+        words, spaced, lines, blank = [], [], [], []
         for w in chunks:
-            (joined if self.spaced(w) else other).append(w)
-        for at in range(0, len(joined), 20_000):
-            some = joined[at : at + 20_000]
-            text = "".join(some)
-            ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.cumsum(np.fromiter(map(len, some if text.isascii() else map(str.encode, some)), np.int64, len(some)))
-            at_token = np.cumsum(self.length[ids])
-            bounds = np.searchsorted(at_token, ends)
-            if not np.array_equal(at_token[bounds], ends):
-                raise ValueError("tokens cross the bounds of chunks")
-            self._keep(some, ids.tobytes(), np.r_[0, bounds + 1])
-        for at in range(0, len(other), 20_000):
-            some = other[at : at + 20_000]
-            got = self.library.encode(some, is_pretokenized=True, add_special_tokens=False)
-            self._keep(some, np.array(got.ids, "<u4").tobytes(), np.searchsorted(np.array(got.word_ids, np.int64), np.arange(len(some) + 1)))
-
-    def _keep(self, chunks: list[str], ids: bytes, bounds: np.ndarray) -> None:
-        cut = (bounds * 4).tolist()
-        self.memo.update((w, ids[a:b]) for w, a, b in zip(chunks, cut[:-1], cut[1:], strict=True))
+            (words if self.word(w) else spaced if self.spaced(w) else blank if self.blank(w) else lines).append(w)
+        for some in _parts(words):
+            text = codecs.charmap_decode("\n".join(some).encode(), "strict", self.alphabet)[0]
+            self._cut(some, self.merger, text, 0)
+        for some in _parts(spaced):
+            self._cut(some, self.library, "".join(some), 0)
+        for some in _parts(lines):
+            self._cut(some, self.library, "".join(f"{w}\n" for w in some) + "x", 1)
+        for w in blank:
+            self.memo[w] = np.array(self.library.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _cut(self, chunks: list[str], coder, text: str, after: int) -> None:
+        """Cuts the ids of a text into those of its chunks, each of which ``after`` tokens of one byte follow."""
+        ids = np.array(coder.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.cumsum(np.fromiter(map(len, chunks if text.isascii() else map(str.encode, chunks)), np.int64, len(chunks)) + after)
+        at_token = np.cumsum(self.length[ids])
+        bounds = np.searchsorted(at_token, ends)
+        if not np.array_equal(at_token[bounds], ends):
+            raise ValueError("tokens cross the bounds of chunks")
+        data, first, last = ids.tobytes(), (np.r_[0, bounds[:-1] + 1] * 4).tolist(), ((bounds + 1 - after) * 4).tolist()
+        self.memo.update((w, data[a:b]) for w, a, b in zip(chunks, first, last, strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         whole = [any(s in t for s in self.specials) for t in texts]
         parts = [[] if w else self.chunks(t) for t, w in zip(texts, whole, strict=True)]
-        memo = self.memo
-        words = set().union(*parts)
-        new = words.difference(memo)
-        again = words - new
-        if len(memo) + len(new) > MEMO:
-            kept = self.again | again
-            memo = self.memo = {w: memo[w] for w in (kept if len(kept) + len(new) <= 3 * MEMO // 4 else again)}
-            self.again = set()
-        self.again |= again
+        rows = [list(map(self.again.__getitem__, p)) for p in parts]
+        new, self.again.holes = self.again.holes, {}
+        if len(self.again) + len(self.memo) + len(new) > MEMO:
+            self.memo = dict(self.again)
+            if len(self.memo) + len(new) > 3 * MEMO // 4:
+                self.memo = {w: self.memo[w] for w in set().union(*parts) if w in self.memo}
+            self.again = CameAgain(self.memo)
         self._learn(list(new))
-        return [
-            np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if w else b"".join(map(memo.__getitem__, p))
-            for t, w, p in zip(texts, whole, parts, strict=True)
-        ]
+        for w, hole in new.items():
+            hole += self.memo[w]
+        return [np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if w else b"".join(row) for t, w, row in zip(texts, whole, rows, strict=True)]
+
+
+def _parts(chunks: list[str]) -> Iterator[list[str]]:
+    """Chunks that are encoded together."""
+    for at in range(0, len(chunks), 20_000):
+        yield chunks[at : at + 20_000]
 
 
 _encoders: dict[int, ChunkEncoder] = {}
